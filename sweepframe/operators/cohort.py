@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sweepframe.functions.scalars import ratio
 from sweepframe.operators.keyed import attach, positions
+from sweepframe.session import write_table
 
 
 def std_error(x: str) -> Column:
@@ -65,11 +66,12 @@ def quantiles(
     a plain aggregate.
     """
     by = list(by)
-    counted = (
+    counted = write_table(
         df.filter(F.col(value).isNotNull())
         .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("_count"))
-    )
+        .agg(F.count(F.lit(1)).alias("_count")),
+        "value-counts",
+    ).df
     ranked = positions(counted, by, [value], "_before", weight="_count")
     placed = attach(ranked, counted.groupBy(*by).agg(F.sum("_count").alias("n")), by)
 

@@ -38,7 +38,7 @@ LRC1_GRID = (4.0, 4.5, 5.0, 5.5, 6.0)
 LRC2_GRID = (1.5, 1.75, 2.0, 2.25, 2.5)
 #: An accepted step this small (relative), or an improvement this small
 #: (relative to the residual), ends the iteration.
-STEP_TOLERANCE, GAIN_TOLERANCE = 1e-9, 1e-10
+STEP_TOLERANCE, GAIN_TOLERANCE = 1e-8, 1e-8
 
 
 # --- grid over the two log rates ------------------------------------------------
@@ -189,12 +189,14 @@ _UPPER = [(a, b) for a in range(5) for b in range(a, 5)]
 def normal_sums(t: np.ndarray, y: np.ndarray, p: np.ndarray):
     """Residual sum of squares, J'J and J'r of one sweep at parameters ``p``."""
     k1, k2 = np.exp(p[1]), np.exp(p[3])
-    e1, e2 = np.exp(-k1 * t), np.exp(-k2 * t)
-    jac = np.column_stack(
-        [e1, -p[0] * k1 * t * e1, e2, -p[2] * k2 * t * e2, np.ones_like(t)]
-    )
-    res = y - (p[0] * e1 + p[2] * e2 + p[4])
-    return float(res @ res), jac.T @ jac, jac.T @ res
+    jac = np.empty((5, len(t)))
+    np.exp(-k1 * t, out=jac[0])
+    np.exp(-k2 * t, out=jac[2])
+    np.multiply(jac[0], (-p[0] * k1) * t, out=jac[1])
+    np.multiply(jac[2], (-p[2] * k2) * t, out=jac[3])
+    jac[4] = 1.0
+    res = y - p[0] * jac[0] - p[2] * jac[2] - p[4]
+    return float(res @ res), jac @ jac.T, jac @ res
 
 
 def fresh_state(p: np.ndarray) -> dict:
@@ -210,8 +212,8 @@ def advance(s: dict, sse: float, jtj: np.ndarray, jtr: np.ndarray, max_passes: i
     s["passes"] += 1
     if np.isfinite(sse) and sse <= s["sse"]:
         gain = s["sse"] - sse
-        step = np.max(np.abs(s["trial"] - s["p"]) / (1e-8 + np.abs(s["p"])))
         moved = s["passes"] > 1
+        step = (np.abs(s["trial"] - s["p"]) / (1e-8 + np.abs(s["p"]))).max()
         s.update(p=s["trial"], sse=sse, jtj=jtj, jtr=jtr)
         s["damping"] = max(s["damping"] / 10, 1e-12)
         if moved and (step < STEP_TOLERANCE or gain <= GAIN_TOLERANCE * sse):
@@ -228,10 +230,10 @@ def advance(s: dict, sse: float, jtj: np.ndarray, jtr: np.ndarray, max_passes: i
     if s["passes"] >= max_passes:
         s["status"] = "max_passes"
         return
-    scale = np.diag(s["jtj"]).copy()
-    scale[scale <= 0] = 1e-12
+    damped = s["jtj"].copy()
+    damped.flat[::6] += s["damping"] * np.maximum(damped.flat[::6], 1e-12)
     try:
-        delta = np.linalg.solve(s["jtj"] + s["damping"] * np.diag(scale), s["jtr"])
+        delta = np.linalg.solve(damped, s["jtr"])
     except np.linalg.LinAlgError as problem:
         s.update(status="failed", error=str(problem))
         return

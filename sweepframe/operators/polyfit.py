@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sweepframe.functions.scalars import ratio
 from sweepframe.functions.student import t_p_value
 from sweepframe.operators.keyed import attach
+from sweepframe.session import write_table
 
 
 def critical_voltage(
@@ -86,7 +87,7 @@ def quadratic_fit(
         }
     )
     c0, c1, c2, vc = (F.col(c) for c in ("c0", "c1", "c2", "v_crit"))
-    return solved.withColumns(
+    named = solved.withColumns(
         {
             "b0": c0 - c1 * vc + c2 * vc * vc,
             "b1": c1 - 2 * c2 * vc,
@@ -97,6 +98,8 @@ def quadratic_fit(
             ),
         }
     ).drop("raw_det")
+    # one short row per group, used by several later tables: solve it once
+    return write_table(named, "quadratic").df
 
 
 def _solve(row: tuple[str, str, str]) -> Column:
