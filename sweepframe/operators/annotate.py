@@ -57,11 +57,17 @@ def shifted_time(anchor: float, offset: float = 0.001, t: str = "t") -> Column:
 def nearest(value: str, at: float, tolerance: float, t: str = "t") -> Column:
     """Aggregate: ``value`` at the sample closest to time ``at``.
 
-    NULL when no sample lies within ``tolerance``.
+    The earlier of two equally close samples wins; NULL when no sample lies
+    within ``tolerance``. Built from aggregates with plain numeric buffers, so
+    Spark can hash-aggregate instead of sorting the samples.
     """
-    gap = F.abs(F.col(t) - F.lit(at))
-    found = F.min_by(F.col(value), F.struct(gap, F.col(t)))
-    return F.when(F.min(gap) <= F.lit(tolerance), found)
+    time = F.col(t)
+    before = F.when(time.between(at - tolerance, at), time)
+    after = F.when((time > at) & (time <= at + tolerance), time)
+    gap_before = F.lit(at) - F.max(before)
+    gap_after = F.min(after) - F.lit(at)
+    take_later = gap_before.isNull() | (gap_after < gap_before)
+    return F.when(take_later, F.min_by(value, after)).otherwise(F.max_by(value, before))
 
 
 def step_voltage(p: Protocol) -> Column:

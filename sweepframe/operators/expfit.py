@@ -97,39 +97,54 @@ def grid_candidates(
             for a, b in pairs
         ]
     )
+    stages = F.transform(F.transform(F.col("_grid"), _cofactors), _amplitudes)
     return sums.select(*keys, "n", "sy", "syy", grid.alias("_grid")).select(
         *keys,
         "n",
         F.array_sort(
-            F.filter(F.transform("_grid", _solve_point), lambda c: c["sse"].isNotNull())
+            F.filter(F.transform(stages, _residual), lambda c: c["sse"].isNotNull())
         ).alias("candidates"),
     )
 
 
-def _solve_point(g: Column) -> Column:
-    """Linear parameters and residual of one grid point, by Cramer's rule."""
-    m33, r3 = F.col("n"), F.col("sy")
+# Cramer's rule in three steps, each reading the fields of the one before, so that
+# no intermediate is worked out twice.
+
+
+def _cofactors(g: Column) -> Column:
+    m33 = F.col("n")
     m11, m12, m13, m22, m23 = (g[c] for c in ("m11", "m12", "m13", "m22", "m23"))
-    r1, r2 = g["r1"], g["r2"]
-    k11, k12, k13 = m22 * m33 - m23 * m23, m13 * m23 - m12 * m33, m12 * m23 - m13 * m22
-    k22, k23, k33 = m11 * m33 - m13 * m13, m12 * m13 - m11 * m23, m11 * m22 - m12 * m12
-    det = m11 * k11 + m12 * k12 + m13 * k13
-    safe = F.when(F.abs(det) > F.lit(1e-13) * m11 * m22 * m33, det)
-    a1 = (k11 * r1 + k12 * r2 + k13 * r3) / safe
-    a2 = (k12 * r1 + k22 * r2 + k23 * r3) / safe
-    c = (k13 * r1 + k23 * r2 + k33 * r3) / safe
-    sse = F.greatest(
-        F.col("syy") - a1 * r1 - a2 * r2 - c * r3, F.when(safe.isNotNull(), F.lit(0.0))
+    return F.struct(
+        *[g[c].alias(c) for c in ("lrc1", "lrc2", "m11", "m12", "m13", "m22", "r1", "r2")],
+        (m22 * m33 - m23 * m23).alias("k11"),
+        (m13 * m23 - m12 * m33).alias("k12"),
+        (m12 * m23 - m13 * m22).alias("k13"),
+        (m11 * m33 - m13 * m13).alias("k22"),
+        (m12 * m13 - m11 * m23).alias("k23"),
+        (m11 * m22 - m12 * m12).alias("k33"),
+    )
+
+
+def _amplitudes(g: Column) -> Column:
+    r1, r2, r3 = g["r1"], g["r2"], F.col("sy")
+    det = g["m11"] * g["k11"] + g["m12"] * g["k12"] + g["m13"] * g["k13"]
+    solvable = F.abs(det) > F.lit(1e-13) * g["m11"] * g["m22"] * F.col("n")
+    safe = F.when(solvable, det)
+    return F.struct(
+        *[g[c].alias(c) for c in ("lrc1", "lrc2", "r1", "r2")],
+        ((g["k11"] * r1 + g["k12"] * r2 + g["k13"] * r3) / safe).alias("A1"),
+        ((g["k12"] * r1 + g["k22"] * r2 + g["k23"] * r3) / safe).alias("A2"),
+        ((g["k13"] * r1 + g["k23"] * r2 + g["k33"] * r3) / safe).alias("C"),
     )
+
+
+def _residual(g: Column) -> Column:
+    left = F.col("syy") - g["A1"] * g["r1"] - g["A2"] * g["r2"] - g["C"] * F.col("sy")
+    sse = F.greatest(left, F.when(g["C"].isNotNull(), F.lit(0.0)))
     # field order is sort order: residual first, then the rates as tie-break
+    names = ("lrc1", "lrc2", "A1", "A2", "C")
     return F.struct(
-        F.round(sse, 9).alias("sse_key"),
-        g["lrc1"].alias("lrc1"),
-        g["lrc2"].alias("lrc2"),
-        a1.alias("A1"),
-        a2.alias("A2"),
-        c.alias("C"),
-        sse.alias("sse"),
+        F.round(sse, 9).alias("sse_key"), *[g[c].alias(c) for c in names], sse.alias("sse")
     )
 
 
@@ -180,64 +195,75 @@ STATE = T.StructType(
         T.StructField("damping", T.DoubleType()),
         T.StructField("passes", T.IntegerType()),
         T.StructField("status", T.StringType()),
-        T.StructField("error", T.StringType()),
     ]
 )
 _UPPER = [(a, b) for a in range(5) for b in range(a, 5)]
 
 
 def normal_sums(t: np.ndarray, y: np.ndarray, p: np.ndarray):
-    """Residual sum of squares, J'J and J'r of one sweep at parameters ``p``."""
-    k1, k2 = np.exp(p[1]), np.exp(p[3])
-    jac = np.empty((5, len(t)))
-    np.exp(-k1 * t, out=jac[0])
-    np.exp(-k2 * t, out=jac[2])
-    np.multiply(jac[0], (-p[0] * k1) * t, out=jac[1])
-    np.multiply(jac[2], (-p[2] * k2) * t, out=jac[3])
-    jac[4] = 1.0
-    res = y - p[0] * jac[0] - p[2] * jac[2] - p[4]
-    return float(res @ res), jac @ jac.T, jac @ res
-
-
-def fresh_state(p: np.ndarray) -> dict:
+    """Residual sum of squares, J'J and J'r of one trace at several points ``p[k]``."""
+    k1, k2 = np.exp(p[:, 1:2]), np.exp(p[:, 3:4])
+    jac = np.empty((len(p), 5, len(t)))
+    np.exp(-k1 * t, out=jac[:, 0])
+    np.exp(-k2 * t, out=jac[:, 2])
+    np.multiply(jac[:, 0], (-p[:, 0:1] * k1) * t, out=jac[:, 1])
+    np.multiply(jac[:, 2], (-p[:, 2:3] * k2) * t, out=jac[:, 3])
+    jac[:, 4] = 1.0
+    res = y - p[:, 0:1] * jac[:, 0] - p[:, 2:3] * jac[:, 2] - p[:, 4:5]
+    jtj = jac @ jac.transpose(0, 2, 1)
+    return (res * res).sum(axis=1), jtj, (jac @ res[:, :, None])[:, :, 0]
+
+
+def fresh_state(points: np.ndarray) -> dict[str, np.ndarray]:
+    """State of several independent iterations, one row each."""
+    points = np.array(points, dtype=float).reshape(-1, 5)
+    m = len(points)
     return {
-        "p": np.asarray(p, float), "trial": np.asarray(p, float), "sse": np.inf,
-        "jtj": None, "jtr": None, "damping": 1e-3, "passes": 0,
-        "status": "running", "error": None,
+        "p": points.copy(),
+        "trial": points.copy(),
+        "sse": np.full(m, np.inf),
+        "jtj": np.zeros((m, 5, 5)),
+        "jtr": np.zeros((m, 5)),
+        "damping": np.full(m, 1e-3),
+        "passes": np.zeros(m, dtype=int),
+        "status": np.full(m, "running", dtype="U10"),
     }
 
 
-def advance(s: dict, sse: float, jtj: np.ndarray, jtr: np.ndarray, max_passes: int):
-    """Accept or reject the trial point, then propose the next one."""
-    s["passes"] += 1
-    if np.isfinite(sse) and sse <= s["sse"]:
-        gain = s["sse"] - sse
-        moved = s["passes"] > 1
-        step = (np.abs(s["trial"] - s["p"]) / (1e-8 + np.abs(s["p"]))).max()
-        s.update(p=s["trial"], sse=sse, jtj=jtj, jtr=jtr)
-        s["damping"] = max(s["damping"] / 10, 1e-12)
-        if moved and (step < STEP_TOLERANCE or gain <= GAIN_TOLERANCE * sse):
-            s["status"] = "converged"
-            return
-    elif s["jtj"] is None:
-        s.update(status="failed", error="no finite starting point")
-        return
-    else:
-        s["damping"] *= 10
-        if s["damping"] > 1e12:
-            s["status"] = "converged"
-            return
-    if s["passes"] >= max_passes:
-        s["status"] = "max_passes"
-        return
-    damped = s["jtj"].copy()
-    damped.flat[::6] += s["damping"] * np.maximum(damped.flat[::6], 1e-12)
-    try:
-        delta = np.linalg.solve(damped, s["jtr"])
-    except np.linalg.LinAlgError as problem:
-        s.update(status="failed", error=str(problem))
-        return
-    s["trial"] = s["p"] + delta
+def advance(s: dict[str, np.ndarray], k: np.ndarray, sse, jtj, jtr, max_passes: int):
+    """One Levenberg-Marquardt step of the running rows ``k``.
+
+    Judges their trial points by the new sums, keeps or rejects them, and
+    proposes the next trial points.
+    """
+    moved = s["passes"][k] > 0
+    s["passes"][k] += 1
+    ok = np.isfinite(sse) & np.isfinite(jtj).all(axis=(1, 2)) & (sse <= s["sse"][k])
+    s["status"][k[~ok & ~moved]] = "failed"
+    gain = s["sse"][k] - sse
+    step = np.abs(s["trial"][k] - s["p"][k]) / (1e-8 + np.abs(s["p"][k]))
+    still = (step.max(axis=1) < STEP_TOLERANCE) | (gain <= GAIN_TOLERANCE * sse)
+    good = k[ok]
+    s["p"][good], s["sse"][good] = s["trial"][good], sse[ok]
+    s["jtj"][good], s["jtr"][good] = jtj[ok], jtr[ok]
+    s["damping"][k] = np.where(
+        ok, np.maximum(s["damping"][k] / 10, 1e-12), s["damping"][k] * 10
+    )
+    s["status"][k[(ok & moved & still) | (s["damping"][k] > 1e12)]] = "converged"
+    running = k[s["status"][k] == "running"]
+    s["status"][running[s["passes"][running] >= max_passes]] = "max_passes"
+    running = running[s["passes"][running] < max_passes]
+    if len(running):
+        # unit diagonal plus damping: positive definite, so always solvable
+        root = np.sqrt(np.maximum(np.einsum("kii->ki", s["jtj"][running]), 1e-12))
+        scaled = s["jtj"][running] / (root[:, :, None] * root[:, None, :])
+        scaled[:, range(5), range(5)] += s["damping"][running][:, None]
+        delta = np.linalg.solve(scaled, (s["jtr"][running] / root)[:, :, None])[:, :, 0]
+        s["trial"][running] = s["p"][running] + delta / root
+
+
+def running_rows(s: dict[str, np.ndarray]) -> np.ndarray:
+    return np.flatnonzero(s["status"] == "running")
 
 
 def refine_fit(
@@ -286,34 +312,20 @@ def refine_fit(
     return _report(states, keys)
 
 
-def _pack(s: dict) -> dict:
-    def listed(a):
-        return None if a is None else [float(x) for x in np.ravel(a)]
+def _listed(a: np.ndarray) -> list[float]:
+    return [float(x) for x in np.ravel(a)]
+
 
+def _row(s: dict[str, np.ndarray], k: int) -> dict:
+    """One state row in the types of the state table."""
     return {
-        "p": listed(s["p"]), "trial": listed(s["trial"]),
-        "sse": float(s["sse"]) if np.isfinite(s["sse"]) else None,
-        "jtj": listed(s["jtj"]), "jtr": listed(s["jtr"]),
-        "damping": float(s["damping"]), "passes": int(s["passes"]),
-        "status": s["status"], "error": s["error"],
+        "p": _listed(s["p"][k]), "trial": _listed(s["trial"][k]),
+        "sse": float(s["sse"][k]), "jtj": _listed(s["jtj"][k]),
+        "jtr": _listed(s["jtr"][k]), "damping": float(s["damping"][k]),
+        "passes": int(s["passes"][k]), "status": str(s["status"][k]),
     }
 
 
-def _unpack(row: dict) -> dict:
-    s = dict(row)
-    s["p"], s["trial"] = np.array(row["p"]), np.array(row["trial"])
-    s["sse"] = np.inf if row["sse"] is None else row["sse"]
-    s["jtj"] = None if row["jtj"] is None else np.array(row["jtj"]).reshape(5, 5)
-    s["jtr"] = None if row["jtr"] is None else np.array(row["jtr"])
-    return s
-
-
-def _failed(n_pass: int, why: str) -> dict:
-    s = fresh_state(np.full(5, np.nan))
-    s.update(status="failed", error=why, passes=n_pass, p=None, trial=None)
-    return s
-
-
 def _state_fields(keys: list[str], like: DataFrame) -> T.StructType:
     key_fields = [like.schema[k] for k in keys]
     return T.StructType([*key_fields, T.StructField("n", T.LongType()), *STATE.fields])
@@ -323,23 +335,22 @@ def _refine_grouped(
     slim: DataFrame, begin: DataFrame, keys: list[str], max_passes: int
 ) -> DataFrame:
     schema = _state_fields(keys, begin)
+    arrow = to_arrow_schema(schema)
 
     def fit(trace: pa.Table, point: pa.Table) -> pa.Table:
-        tt, yy = trace.column("_t").to_numpy(), trace.column("_y").to_numpy()
-        best = _failed(0, "no solvable starting point")
-        for start in point.column("starts")[0].as_py() or []:
-            s = fresh_state(np.array(start))
-            with np.errstate(all="ignore"):
-                while s["status"] == "running":
-                    advance(s, *normal_sums(tt, yy, s["trial"]), max_passes)
-            if s["status"] != "failed" and (
-                best["status"] == "failed" or s["sse"] < best["sse"]
-            ):
-                best = s
-        row = {k: point.column(k)[0].as_py() for k in [*keys, "n"]} | _pack(best)
-        return pa.Table.from_pylist([row], schema=arrow)
+        t, y = trace.column("_t").to_numpy(), trace.column("_y").to_numpy()
+        row = {k: point.column(k)[0].as_py() for k in [*keys, "n"]}
+        starts = point.column("starts")[0].as_py()
+        if not starts:
+            row |= dict.fromkeys(STATE.names) | {"passes": 0, "status": "failed"}
+            return pa.Table.from_pylist([row], schema=arrow)
+        s = fresh_state(np.array(starts))
+        with np.errstate(all="ignore"):
+            while len(k := running_rows(s)):
+                advance(s, k, *normal_sums(t, y, s["trial"][k]), max_passes)
+        best = int(np.argmin(np.where(s["status"] == "failed", np.inf, s["sse"])))
+        return pa.Table.from_pylist([row | _row(s, best)], schema=arrow)
 
-    arrow = to_arrow_schema(schema)
     # a fixed number of partitions: the work per byte is high, so small inputs
     # must not be merged into a few tasks
     spread = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -359,70 +370,68 @@ def _refine_by_passes(
     schema = T.StructType(
         [*_state_fields(keys, begin).fields, T.StructField("start", T.IntegerType())]
     )
-    names = [f.name for f in STATE.fields]
-    initial = begin.select(*keys, "n", F.posexplode("starts").alias("start", "p")).select(
-        *keys, "n", F.col("p"), F.col("p").alias("trial"),
-        F.lit(None).cast("double").alias("sse"),
-        F.lit(None).cast("array<double>").alias("jtj"),
-        F.lit(None).cast("array<double>").alias("jtr"),
-        F.lit(1e-3).alias("damping"), F.lit(0).alias("passes"),
-        F.lit("running").alias("status"), F.lit(None).cast("string").alias("error"),
+    zeros = F.array_repeat(F.lit(0.0), 25), F.array_repeat(F.lit(0.0), 5)
+    initial = begin.select(
+        *keys, "n", F.posexplode_outer("starts").alias("start", "p")
+    ).select(
+        *keys, "n", "p", F.col("p").alias("trial"), F.lit(math.inf).alias("sse"),
+        zeros[0].alias("jtj"), zeros[1].alias("jtr"), F.lit(1e-3).alias("damping"),
+        F.lit(0).alias("passes"),
+        F.when(F.col("p").isNull(), "failed").otherwise("running").alias("status"),
         "start",
     )
-    none = begin.filter(F.size("starts") == 0).select(
-        *keys, "n", *[F.lit(None).cast(f.dataType).alias(f.name) for f in STATE.fields[:-2]],
-        F.lit("failed").alias("status"),
-        F.lit("no solvable starting point").alias("error"), F.lit(0).alias("start"),
-    )
-    state = write_table(initial.unionByName(none).select(*schema.names), "fit-state").df
+    state = write_table(initial, "fit-state").df
 
     def update(batches):
         for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                sums = row.pop("sums")
-                if row["status"] == "running":
-                    s = _unpack({k: _plain(row[k]) for k in names})
-                    jtj = np.zeros((5, 5))
-                    for (a, b), value in zip(_UPPER, sums[1:16], strict=True):
-                        jtj[a, b] = jtj[b, a] = value
-                    with np.errstate(all="ignore"):
-                        advance(s, sums[0], jtj, np.array(sums[16:]), max_passes)
-                    row |= _pack(s)
-                out.append(row)
-            yield pd.DataFrame(out, columns=schema.names)
+            k = np.flatnonzero(pdf["status"].to_numpy() == "running")
+            if len(k):
+                run = pdf.iloc[k]
+                s = {
+                    "p": np.stack(run["p"].to_list()),
+                    "trial": np.stack(run["trial"].to_list()),
+                    "sse": run["sse"].to_numpy().copy(),
+                    "jtj": np.stack(run["jtj"].to_list()).reshape(-1, 5, 5),
+                    "jtr": np.stack(run["jtr"].to_list()),
+                    "damping": run["damping"].to_numpy().copy(),
+                    "passes": run["passes"].to_numpy().copy(),
+                    "status": run["status"].to_numpy().astype("U10"),
+                }
+                sums = np.stack(run["sums"].to_list()).astype(float)
+                jtj = np.zeros((len(k), 5, 5))
+                for m, (a, b) in enumerate(_UPPER):
+                    jtj[:, a, b] = jtj[:, b, a] = sums[:, 1 + m]
+                with np.errstate(all="ignore"):
+                    advance(s, np.arange(len(k)), sums[:, 0], jtj, sums[:, 16:], max_passes)
+                fresh = pd.DataFrame([_row(s, j) for j in range(len(k))], index=run.index)
+                for name in STATE.names:
+                    pdf[name] = fresh[name].reindex(pdf.index).where(
+                        pdf.index.isin(run.index), pdf[name]
+                    )
+            yield pdf[schema.names]
 
     for _ in range(max_passes):
         running = state.filter(F.col("status") == "running")
         if running.isEmpty():
             break
-        trial = [F.col("trial")[k] for k in range(5)]
-        open_points = running.select(
-            *keys, "start", *[x.alias(f"_p{k}") for k, x in enumerate(trial)]
+        points = running.select(
+            *keys, "start", *[F.col("trial")[k].alias(f"_p{k}") for k in range(5)]
         )
-        sums = _pass_sums(rows, open_points, keys)
         state = write_table(
-            state.join(sums, [*keys, "start"], "left")
+            state.join(_pass_sums(rows, points, keys), [*keys, "start"], "left")
             .select(*schema.names, "sums")
             .mapInPandas(update, schema),
             "fit-state",
         ).df
     usable = F.when(F.col("status") != "failed", F.col("sse"))
-    packed = F.struct("n", *names)
-    order = F.struct(F.coalesce(usable, F.lit(float("inf"))), F.col("start"))
+    order = F.struct(F.coalesce(usable, F.lit(math.inf)), F.col("start"))
     return (
         state.groupBy(*keys)
-        .agg(F.min_by(packed, order).alias("best"))
+        .agg(F.min_by(F.struct("n", *STATE.names), order).alias("best"))
         .select(*keys, "best.*")
     )
 
 
-def _plain(value):
-    if value is None or (isinstance(value, float) and np.isnan(value)):
-        return None
-    return value
-
-
 def _pass_sums(rows: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
     """Sums of one iteration: residual, J'J (upper half) and J'r per point."""
     by_sweep = points.groupBy(*keys).agg(
@@ -459,10 +468,12 @@ def _report(states: DataFrame, keys: list[str]) -> DataFrame:
     """Named parameters, their variances and the fit statistics."""
     ok = F.col("status") != "failed"
     terms = {x: F.when(ok, F.get("p", F.lit(k))) for k, x in enumerate(TERMS)}
-    inverse = inverse_diagonal(F.col("jtj"))
+    inverse = inverse_diagonal(F.when(ok, F.col("jtj")))
     named = states.select(
-        *keys, "n", *[c.alias(x) for x, c in terms.items()], "sse", "passes", "status",
-        "error", (F.col("status") == "converged").alias("is_conv"),
+        *keys, "n", *[c.alias(x) for x, c in terms.items()],
+        F.when(ok, F.col("sse")).alias("sse"), "passes", "status",
+        F.when(~ok, "no usable starting point").alias("error"),
+        (F.col("status") == "converged").alias("is_conv"),
         inverse.alias("_unscaled"),
     )
     out = fit_stats(named)

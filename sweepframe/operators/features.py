@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sweepframe.functions.scalars import ratio
 from sweepframe.operators.annotate import SWEEP_KEYS, step_voltage
-from sweepframe.operators.keyed import attach_aggregates
+from sweepframe.operators.keyed import attach
 from sweepframe.protocol import Protocol, Window
 
 
@@ -63,20 +63,21 @@ def tail_norm(
 ) -> DataFrame:
     """Tail currents relative to the sweeps at the two extreme step voltages.
 
+    Of several sweeps at the highest (lowest) step the last (first) one counts.
+
     The recording-wide values come from an aggregate joined back, so a
     recording with any number of sweeps is fine.
     """
-    known = F.col(v).isNotNull()
-    full = attach_aggregates(
-        features,
-        by,
-        {
-            "_peak_tail": F.max_by("i_tail", F.when(known, F.struct(v, "sweep"))),
-            "i_tail_ss_full": F.min_by(
-                "i_tail_ss", F.when(known, F.struct(v, "sweep"))
-            ),
-        },
+    known = features.filter(F.col(v).isNotNull())
+    per_step = known.groupBy(*by, v).agg(
+        F.max_by("i_tail", "sweep").alias("_tail"),
+        F.min_by("i_tail_ss", "sweep").alias("_tail_ss"),
+    )
+    extremes = per_step.groupBy(*by).agg(
+        F.max_by("_tail", v).alias("_peak_tail"),
+        F.min_by("_tail_ss", v).alias("i_tail_ss_full"),
     )
+    full = attach(features, extremes, by)
     return full.withColumns(
         {
             "norm_tail": ratio("i_tail", "_peak_tail"),

@@ -22,10 +22,16 @@ from sweepframe.session import write_table
 def critical_voltage(
     df: DataFrame, keys: Sequence[str], v: str = "v", i: str = "i"
 ) -> DataFrame:
-    """Voltage with the smallest absolute current; ties go to the smallest voltage."""
-    usable = F.col(i).isNotNull() & F.col(v).isNotNull()
-    closest = F.when(usable, F.struct(F.abs(F.col(i)), F.col(v)))
-    return df.groupBy(*keys).agg(F.min_by(v, closest).alias("v_crit"))
+    """Voltage with the smallest absolute current; ties go to the smallest voltage.
+
+    The smallest current per voltage comes first: that step hash-aggregates and
+    leaves few rows for the tie-break.
+    """
+    usable = df.filter(F.col(i).isNotNull() & F.col(v).isNotNull())
+    lowest = usable.groupBy(*keys, v).agg(F.min(F.abs(F.col(i))).alias("_low"))
+    return lowest.groupBy(*keys).agg(
+        F.min_by(v, F.struct("_low", v)).alias("v_crit")
+    )
 
 
 def near_critical(
