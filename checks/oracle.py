@@ -266,8 +266,8 @@ ORACLE: dict[str, str] = {
                {r('i_tail / nullif(i_tail_ss, 0)', 8, 'frac_tail')},
                {r('i_inst + (i_ss - i_inst) / 2', 8, 'thresh')}, t_half
         FROM w LEFT JOIN half USING (user_id)""",
-    "q_zero_crossing_mean": rf"""
-        SELECT user_id, {r("avg(CAST(regexp_extract(props, '(\d+)', 1) AS INT))"
+    "q_zero_crossing_mean": f"""
+        SELECT user_id, {r("avg(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT))"
                            " FILTER (abs(value - 50) < 5)", 8, 'mp')}
         FROM events GROUP BY user_id""",
     "q_phase_filter": f"""WITH {SWEPT},

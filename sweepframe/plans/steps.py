@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sweepframe.operators.annotate import (
     SWEEP_KEYS,
     add_lookup,
-    cut,
     flip,
     shifted_time,
 )
@@ -26,37 +25,54 @@ from sweepframe.operators.crossing import smoothed_half_time
 from sweepframe.operators.features import sweep_features
 from sweepframe.operators.keyed import attach
 from sweepframe.operators.polyfit import quadratic_fit, reversal
-from sweepframe.operators.reshape import gather
-from sweepframe.protocol import Protocol
+from sweepframe.operators.reshape import gather, spread
+from sweepframe.protocol import Protocol, Window
 from sweepframe.session import write_table
 
 META = ("id", "channel", "Pip", "file")
 
 
+def phases(p: Protocol) -> dict[str, tuple[Window, float, str]]:
+    """Per half-time: its phase, the anchor of its clock and its threshold."""
+    tail = {"tapp50_tail": (p.tail_phase(), p.t_post, "thresh_tail")}
+    if not p.has_prepulse:
+        return {"tapp50": (p.test_phase(), p.t_test, "thresh")} | tail
+    return {
+        "tapp50_pre": (p.pre_phase(), p.t_pre, "thresh"),
+        "tapp50_test": (p.test_phase(), p.t_test, "thresh_test"),
+    } | tail
+
+
 def half_times(samples: DataFrame, features: DataFrame, p: Protocol) -> DataFrame:
     """Half-times of every phase of the protocol joined to the sweep features.
 
     Thresholds are in units of the raw current, so the raw trace is smoothed.
+    The phases do not overlap, so one scan and one shuffle serve all of them.
     """
-    if p.has_prepulse:
-        phases = {
-            "tapp50_pre": (p.pre_phase(), p.t_pre, "thresh"),
-            "tapp50_test": (p.test_phase(), p.t_test, "thresh_test"),
-        }
-    else:
-        phases = {"tapp50": (p.test_phase(), p.t_test, "thresh")}
-    phases["tapp50_tail"] = (p.tail_phase(), p.t_post, "thresh_tail")
     keys = list(SWEEP_KEYS)
-    out = features
-    for name, (window, anchor, threshold) in phases.items():
-        slim = samples.select(*keys, "sample_idx", "t", "i")
-        part = cut(slim, window).withColumn("t_fit", shifted_time(anchor, p.t_offset))
-        with_level = attach(part, features.select(*keys, threshold), keys)
-        half = smoothed_half_time(
-            with_level, threshold, keys, order=p.sg_order, length=p.sg_length, name=name
+    parts = phases(p)
+
+    def by_phase(value: Callable[[tuple[Window, float, str]], Column]) -> Column:
+        return F.coalesce(
+            *[F.when(part[0].holds("t"), value(part)) for part in parts.values()]
         )
-        out = out.join(half, keys, "left")
-    return out
+
+    name_of = {part[2]: name for name, part in parts.items()}
+    labelled = samples.select(*keys, "sample_idx", "t", "i").withColumns(
+        {
+            "phase": by_phase(lambda part: F.lit(name_of[part[2]])),
+            "t_fit": by_phase(lambda part: shifted_time(part[1], p.t_offset)),
+        }
+    )
+    levels = [part[2] for part in parts.values()]
+    with_level = attach(
+        labelled.filter(F.col("phase").isNotNull()), features.select(*keys, *levels), keys
+    ).withColumn("level", by_phase(lambda part: F.col(part[2])))
+    half = smoothed_half_time(
+        with_level, "level", [*keys, "phase"], order=p.sg_order, length=p.sg_length
+    )
+    wide = spread(half, keys, "phase", "t_half", list(parts))
+    return features.join(wide, keys, "left")
 
 
 def summarise(

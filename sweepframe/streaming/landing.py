@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sweepframe.session import write_table
 from sweepframe.sources.tables import write_summaries
 from sweepframe.sources.traces import decoded, read_traces
 
@@ -45,7 +46,9 @@ def summarise_new_files(
             samples = read_traces(
                 batch.sparkSession, paths, n_per_sweep, glob=glob, **read_options
             )
-            write_summaries(summarise(samples), out)
+            # a summary reads its samples more than once: parse the text once
+            landed = write_table(samples, "samples").df
+            write_summaries(summarise(landed), out)
 
     query = (
         names.writeStream.foreachBatch(run)
