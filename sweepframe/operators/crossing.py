@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sweepframe.operators.annotate import SWEEP_KEYS
-from sweepframe.operators.keyed import BLOCK, with_blocks
+from sweepframe.operators.keyed import BLOCK, by_block, with_blocks
 from sweepframe.operators.smooth import projection, smooth_part
 
 
@@ -82,18 +82,16 @@ def smoothed_half_time(
         [f for f in slim.schema.fields if f.name in keys]
         + [T.StructField(name, T.DoubleType())]
     )
-    per_block = pieces.groupBy(*keys, "_block").applyInArrow(
-        _block_search(proj, list(keys), value, threshold, t, idx, name), schema
+    per_block = by_block(pieces, keys, idx).applyInArrow(
+        _block_search(proj, list(keys), value, threshold, t, name), schema
     )
     return per_block.groupBy(*keys).agg(F.min(name).alias(name))
 
 
 def _block_search(
-    proj: np.ndarray, keys: list[str], value: str, threshold: str, t: str, idx: str,
-    name: str,
+    proj: np.ndarray, keys: list[str], value: str, threshold: str, t: str, name: str
 ) -> Callable[[pa.Table], pa.Table]:
     def search(table: pa.Table) -> pa.Table:
-        table = table.sort_by(idx)
         y = table.column(value).to_numpy().astype(float)
         level = table.column(threshold).to_numpy().astype(float)
         own = table.column("_own").to_numpy()

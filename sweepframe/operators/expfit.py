@@ -288,6 +288,8 @@ def refine_fit(
     slim = samples.filter(F.col(y).isNotNull() & F.col(t).isNotNull()).select(
         *keys, F.col(t).cast("double").alias("_t"), F.col(y).cast("double").alias("_y")
     )
+    # read by the grid and by the refinement: cut and normalise the traces once
+    slim = write_table(slim, "fit-samples").df
     begin = write_table(
         grid_candidates(slim, keys, "_t", "_y", lrc1, lrc2).select(
             *keys,
@@ -366,7 +368,7 @@ def _refine_by_passes(
     The state is one row per sweep and start. It is written after every pass,
     which cuts the lineage and keeps finished work when executors are lost.
     """
-    rows = write_table(attach(slim, begin.select(*keys), keys, "inner"), "fit-samples").df
+    rows = write_table(attach(slim, begin.select(*keys), keys, "inner"), "long-sweeps").df
     schema = T.StructType(
         [*_state_fields(keys, begin).fields, T.StructField("start", T.IntegerType())]
     )

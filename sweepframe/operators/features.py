@@ -11,6 +11,7 @@ from sweepframe.functions.scalars import ratio
 from sweepframe.operators.annotate import SWEEP_KEYS, step_voltage
 from sweepframe.operators.keyed import attach
 from sweepframe.protocol import Protocol, Window
+from sweepframe.session import write_table
 
 
 def mean_where(value: str, condition: Column) -> Column:
@@ -98,4 +99,5 @@ def sweep_features(
     means = window_means(
         samples, p.feature_windows(), keys, extra={"v_pulse": step_voltage(p)}
     )
-    return tail_norm(derive(means, p.has_prepulse))
+    # the tail values read this table twice; the samples are scanned once
+    return tail_norm(derive(write_table(means, "window-means").df, p.has_prepulse))

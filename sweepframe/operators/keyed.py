@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -177,3 +177,16 @@ def with_blocks(
     return df.withColumn("_block", F.explode(blocks)).withColumn(
         "_own", F.col("_block") == F.floor(pos / F.lit(size))
     )
+
+
+def by_block(pieces: DataFrame, keys: Sequence[str], idx: str) -> GroupedData:
+    """Group blocks for work in Python; each group arrives in order of ``idx``.
+
+    That work is heavy per byte, so the number of partitions is fixed: adaptive
+    execution would merge small inputs by size into a few tasks. Sorting by the
+    keys and ``idx`` at once takes the place of the sort that grouping needs.
+    """
+    spread = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = [*keys, "_block"]
+    ordered = pieces.repartition(spread, *block).sortWithinPartitions(*block, idx)
+    return ordered.groupBy(*block)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from sweepframe.operators.annotate import SWEEP_KEYS
-from sweepframe.operators.keyed import BLOCK, with_blocks
+from sweepframe.operators.keyed import BLOCK, by_block, with_blocks
 
 
 def projection(order: int, length: int) -> np.ndarray:
@@ -60,16 +60,15 @@ def savgol(
     halo = length - 1
     pieces = with_blocks(samples, halo, halo, idx, max(block, length))
     schema = T.StructType([*samples.schema.fields, T.StructField(name, T.DoubleType())])
-    return pieces.groupBy(*keys, "_block").applyInArrow(
-        _block_smoother(proj, value, idx, samples.columns, name), schema
+    return by_block(pieces, keys, idx).applyInArrow(
+        _block_smoother(proj, value, samples.columns, name), schema
     )
 
 
 def _block_smoother(
-    proj: np.ndarray, value: str, idx: str, columns: list[str], name: str
+    proj: np.ndarray, value: str, columns: list[str], name: str
 ) -> Callable[[pa.Table], pa.Table]:
     def smooth(table: pa.Table) -> pa.Table:
-        table = table.sort_by(idx)
         y = table.column(value).to_numpy().astype(float)
         smoothed = pa.array(smooth_part(y, proj), from_pandas=True)
         table = table.select([*columns, "_own"]).append_column(name, smoothed)
