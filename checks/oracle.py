@@ -297,6 +297,8 @@ ORACLE: dict[str, str] = {
     "q_landed_table": f"""WITH {TRACE}
         SELECT user_id, count(*) AS n, sum(i) AS sum_i FROM ev
         WHERE event_type = 'click' GROUP BY user_id""",
+    "q_trace_files": """
+        SELECT event_id, round(value * 100) AS i, true AS in_place FROM events""",
     "q_preview": """SELECT event_id, user_id, event_type, value FROM events
         ORDER BY ts, event_id LIMIT 6""",
     "q_union_protocols": """

@@ -51,9 +51,9 @@ from sweepframe.operators.normalise import (
 )
 from sweepframe.operators.smooth import savgol
 from sweepframe.protocol import Window
-from sweepframe.session import shared_dir, write_table
+from sweepframe.session import scratch_path, write_table
 from sweepframe.sources import arrays, tables
-from sweepframe.sources.traces import text_lines
+from sweepframe.sources.traces import read_traces, text_lines
 
 PER_SWEEP = 16
 #: Open windows on the sample number of a whole trace.
@@ -244,7 +244,7 @@ def nest_unnest(spark, sf):
 def summary_files(spark, sf):
     """Cohort curves written as CSV folders per group, read back as one table."""
     curves = cohort_curve(spark, sf).select("event_type", "sample_idx", "n", "i_avg")
-    path = write_dir(spark, "summary-csv")
+    path = scratch_path(spark, "summary-csv")
     tables.write_summaries(curves, path, "event_type", csv=True)
     back = tables.read_summaries(spark, path, ["sample_idx", "n", "i_avg"])
     return back.select(
@@ -257,7 +257,7 @@ def summary_files(spark, sf):
 
 def landed_table(spark, sf):
     """Samples landed as Parquet per event type and read back with pruning."""
-    path = write_dir(spark, "landed")
+    path = scratch_path(spark, "landed")
     tables.write_table(trace(spark, sf, "event_type"), path, "event_type")
     back = tables.read_table(spark, path).filter(F.col("event_type") == "click")
     return back.groupBy("user_id").agg(
@@ -265,10 +265,21 @@ def landed_table(spark, sf):
     )
 
 
-def write_dir(spark: SparkSession, label: str) -> str:
-    import uuid
+def trace_files(spark, sf):
+    """Events written as trace text, read back with their line positions.
 
-    return f"{shared_dir(spark)}/sweepframe/{label}-{uuid.uuid4().hex}"
+    Each line carries the position it was written at, in the place of the time.
+    """
+    path = scratch_path(spark, "trace-text")
+    written_at = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33)).cast("double")
+    table(spark, sf, "events").select(
+        F.concat_ws("\t", written_at, hundredths("value"), "event_id").alias("value")
+    ).write.text(path)
+    back = read_traces(spark, path, PER_SWEEP, strict=False, meta=())
+    pos = (F.col("sweep") - 1) * PER_SWEEP + F.col("sample_idx")
+    return back.select(
+        F.col("v").cast("long").alias("event_id"), "i", (pos == F.col("t")).alias("in_place")
+    )
 
 
 def preview(spark, sf):
@@ -623,6 +634,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_nest_unnest": nest_unnest,
     "q_summary_files": summary_files,
     "q_landed_table": landed_table,
+    "q_trace_files": trace_files,
     "q_preview": preview,
     "q_union_protocols": union_protocols,
     "q_baseline_norm": baseline_norm,

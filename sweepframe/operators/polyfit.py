@@ -24,14 +24,14 @@ def critical_voltage(
 ) -> DataFrame:
     """Voltage with the smallest absolute current; ties go to the smallest voltage.
 
-    The smallest current per voltage comes first: that step hash-aggregates and
-    leaves few rows for the tie-break.
+    Three small steps with plain numeric buffers, which Spark hash-aggregates:
+    the smallest current per voltage, the smallest voltage per such current,
+    and the voltage of the smallest current.
     """
     usable = df.filter(F.col(i).isNotNull() & F.col(v).isNotNull())
-    lowest = usable.groupBy(*keys, v).agg(F.min(F.abs(F.col(i))).alias("_low"))
-    return lowest.groupBy(*keys).agg(
-        F.min_by(v, F.struct("_low", v)).alias("v_crit")
-    )
+    per_voltage = usable.groupBy(*keys, v).agg(F.min(F.abs(F.col(i))).alias("_low"))
+    untied = per_voltage.groupBy(*keys, "_low").agg(F.min(v).alias("_v"))
+    return untied.groupBy(*keys).agg(F.min_by("_v", "_low").alias("v_crit"))
 
 
 def near_critical(

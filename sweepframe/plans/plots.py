@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sweepframe.functions.scalars import step_grid
 from sweepframe.operators.annotate import SWEEP_KEYS, cut, shifted_time
 from sweepframe.operators.cohort import box_stats, inside_limits
 from sweepframe.operators.keyed import attach
+from sweepframe.operators.polyfit import predict
 from sweepframe.operators.reshape import gather
 from sweepframe.operators.smooth import savgol
 from sweepframe.protocol import Protocol, Window
@@ -59,6 +61,13 @@ def smoothed_trace(
     )
 
 
+def polynomial_overlay(
+    fits: DataFrame, keys: Sequence[str] = ("id", "channel", "time")
+) -> DataFrame:
+    """Fitted parabolas from -120 to 100 mV in steps of 1 mV."""
+    return predict(fits, step_grid(-120, 100), keys, "v_pulse")
+
+
 def fit_overlay(parameters: DataFrame) -> DataFrame:
     """Component parameters in long form."""
     return gather(

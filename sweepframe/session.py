@@ -32,6 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     global _local_dir
     configured = spark.conf.get("spark.checkpoint.dir", "")
+    configured = configured or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
@@ -44,6 +45,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """Fresh path for one intermediate table.
+
+    All tables of an application share one folder, so that folder can be removed
+    when the application is over.
+    """
+    application = spark.sparkContext.applicationId
+    return f"{shared_dir(spark)}/sweepframe/{application}/{label}-{uuid.uuid4().hex}"
+
+
 @dataclass(frozen=True)
 class Written:
     """A table on the shared folder together with its measured row count."""
@@ -60,7 +71,7 @@ def write_table(df: DataFrame, label: str) -> Written:
     caller whether the table may be broadcast.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sweepframe/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     return Written(spark.read.schema(df.schema).parquet(path), seen.get["rows"])

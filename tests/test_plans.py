@@ -114,6 +114,7 @@ def test_reversals_across_cells(spark):
     fits = {(r.id, r.time): r.e_rev for r in deact.fits.collect()}
     assert len(fits) == 14
     assert fits["a", 3.0] == pytest.approx(-85) and fits["a", 600.0] == pytest.approx(-73)
+    assert plots.polynomial_overlay(deact.fits).count() == 14 * 221
     per_id = {r.id: r for r in deact.per_id.collect()}
     assert per_id["a"].e_rev_shift == pytest.approx(-12)
     assert per_id["a"].prepulse == "deactivating"
