@@ -168,6 +168,7 @@ def tail_norm_ref(spark, sf):
     idx = F.col("sample_idx")
     out = tail_norm_by_reference(
         swept(spark, sf),
+        phase=F.lit(True),
         zero=LAST3.holds(idx) & (F.col("sweep") == 1),
         one=FIRST3.holds(idx),
         anchor=0.0,

@@ -36,6 +36,7 @@ def _beta_inc(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
         d = 1 / np.where(np.abs(d) < tiny, tiny, d)
         h = d.copy()
         for m in range(1, 300):
+            last = h
             for num in (
                 m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)),
                 -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1)),
@@ -45,6 +46,8 @@ def _beta_inc(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
                 c = 1 + num / c
                 c = np.where(np.abs(c) < tiny, tiny, c)
                 h = h * d * c
+            if np.nanmax(np.abs(h / last - 1), initial=0.0) < 1e-15:
+                break
         low = np.where(z <= 0, 0.0, front * h / p)
     return np.where(swap, 1 - low, low)
 

@@ -12,6 +12,7 @@ from sweepframe.operators.annotate import SWEEP_KEYS, cut, shifted_time
 from sweepframe.operators.features import mean_where
 from sweepframe.operators.keyed import attach, attach_aggregates
 from sweepframe.protocol import Protocol, Window
+from sweepframe.session import write_table
 
 
 def to_baseline(
@@ -116,22 +117,23 @@ def phase_norm(
     keys: Sequence[str] = SWEEP_KEYS,
     t_offset: float = 0.001,
     name: str = "i_norm",
+    extra: dict[str, Column] | None = None,
+    only: Column | None = None,
 ) -> DataFrame:
     """Scale one phase of each sweep so that ``zero`` maps to 0 and ``one`` to 1.
 
     Activating traces take their zero from the onset and their one from the
-    settled end; deactivating traces the other way round.
+    settled end; deactivating traces the other way round. ``extra`` aggregates
+    are taken over the whole sweep in the same pass, and ``only`` keeps the
+    sweeps that satisfy a condition on them.
     """
     part = cut(samples, phase)
-    out = attach_aggregates(
-        part,
-        keys,
-        {
-            "offset": mean_where("i", zero.holds("t")),
-            "_one": mean_where("i", one.holds("t")),
-        },
+    per_sweep = (samples if extra else part).groupBy(*keys).agg(
+        mean_where("i", zero.holds("t")).alias("offset"),
+        mean_where("i", one.holds("t")).alias("_one"),
+        *[c.alias(n) for n, c in (extra or {}).items()],
     )
-    return _scaled(out, anchor, t_offset, name)
+    return _scaled(_attach_kept(part, per_sweep, keys, only), anchor, t_offset, name)
 
 
 def tail_phase_norm(
@@ -140,16 +142,19 @@ def tail_phase_norm(
     keys: Sequence[str] = SWEEP_KEYS,
     by: Sequence[str] = ("recording",),
     name: str = "i_norm",
+    extra: dict[str, Column] | None = None,
+    only: Column | None = None,
 ) -> DataFrame:
     """Scale tails to their onset, with one zero for the whole recording.
 
     The zero is the settled end of the reference sweep, because the other
-    sweeps do not always relax completely.
+    sweeps do not always relax completely. The reference sweep counts even if
+    ``only`` drops it.
     """
-    part = cut(samples, p.tail_phase())
     settled = p.settled(p.t_steady).holds("t")
     return tail_norm_by_reference(
-        part,
+        samples,
+        phase=p.tail_phase().holds("t"),
         zero=settled & (F.col("sweep") == F.lit(p.ref_sweep)),
         one=p.onset(p.t_post).holds("t"),
         anchor=p.t_post,
@@ -157,11 +162,14 @@ def tail_phase_norm(
         by=by,
         t_offset=p.t_offset,
         name=name,
+        extra=extra,
+        only=only,
     )
 
 
 def tail_norm_by_reference(
-    part: DataFrame,
+    samples: DataFrame,
+    phase: Column,
     zero: Column,
     one: Column,
     anchor: float,
@@ -169,22 +177,36 @@ def tail_norm_by_reference(
     by: Sequence[str],
     t_offset: float = 0.001,
     name: str = "i_norm",
+    extra: dict[str, Column] | None = None,
+    only: Column | None = None,
 ) -> DataFrame:
     """Zero from one condition over the recording, one from a condition per sweep.
 
     Both means come from one pass: sums per sweep, then the recording's zero
     from the sums of its sweeps.
     """
-    per_sweep = part.groupBy(*keys).agg(
+    part = samples.filter(phase)
+    per_sweep = (samples if extra else part).groupBy(*keys).agg(
         mean_where("i", one).alias("_one"),
         F.sum(F.when(zero, F.col("i"))).alias("_zero_sum"),
         F.count(F.when(zero, F.col("i"))).alias("_zero_n"),
+        *[c.alias(n) for n, c in (extra or {}).items()],
     )
+    # used for the reference and for the sweeps: scan the samples once
+    per_sweep = write_table(per_sweep, "sweep-means").df
     reference = per_sweep.groupBy(*by).agg(
         ratio(F.sum("_zero_sum"), F.sum("_zero_n")).alias("offset")
     )
     stats = attach(per_sweep.drop("_zero_sum", "_zero_n"), reference, by)
-    return _scaled(attach(part, stats, keys), anchor, t_offset, name)
+    return _scaled(_attach_kept(part, stats, keys, only), anchor, t_offset, name)
+
+
+def _attach_kept(
+    part: DataFrame, per_sweep: DataFrame, keys: Sequence[str], only: Column | None
+) -> DataFrame:
+    if only is None:
+        return attach(part, per_sweep, keys)
+    return attach(part, per_sweep.filter(only), keys, "inner")
 
 
 def _scaled(df: DataFrame, anchor: float, t_offset: float, name: str) -> DataFrame:

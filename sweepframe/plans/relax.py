@@ -18,7 +18,6 @@ from sweepframe.operators.expfit import (
     refine_fit,
     time_constants,
 )
-from sweepframe.operators.keyed import attach_aggregates
 from sweepframe.operators.normalise import phase_norm, tail_phase_norm
 from sweepframe.protocol import Protocol
 from sweepframe.session import write_table
@@ -43,20 +42,13 @@ class RelaxationFits:
         return component_curves(self.by_component, grid, keys)
 
 
-def with_step_voltage(
-    samples: DataFrame, p: Protocol, keys: Sequence[str] = SWEEP_KEYS
-) -> DataFrame:
-    return attach_aggregates(samples, keys, {"v_pulse": step_voltage(p)})
-
-
 def test_pulse(
     samples: DataFrame, p: Protocol, keys: Sequence[str] = SWEEP_KEYS
 ) -> DataFrame:
     """Normalised deactivation on the test pulse, steps below -20 mV."""
-    low = with_step_voltage(samples, p, keys).filter(F.col("v_pulse") < -20)
     return phase_norm(
-        low, p.test_phase(), p.settled(p.t_post), p.onset(p.t_test), p.t_test, keys,
-        p.t_offset,
+        samples, p.test_phase(), p.settled(p.t_post), p.onset(p.t_test), p.t_test, keys,
+        p.t_offset, extra={"v_pulse": step_voltage(p)}, only=F.col("v_pulse") < -20,
     )
 
 
@@ -65,8 +57,9 @@ def tail(samples: DataFrame, p: Protocol, keys: Sequence[str] = SWEEP_KEYS) -> D
 
     The zero comes from the reference sweep, whatever its own step voltage.
     """
-    scaled = tail_phase_norm(with_step_voltage(samples, p, keys), p, keys)
-    return scaled.filter(F.col("v_pulse") > 0)
+    return tail_phase_norm(
+        samples, p, keys, extra={"v_pulse": step_voltage(p)}, only=F.col("v_pulse") > 0
+    )
 
 
 def fit(relaxation: DataFrame, keys: Sequence[str] = SWEEP_KEYS) -> RelaxationFits:
