@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sweepframe.operators.annotate import SWEEP_KEYS
-from sweepframe.operators.keyed import BLOCK, by_block, with_blocks
+from sweepframe.operators.keyed import (
+    BLOCK,
+    collect_blocks,
+    or_nan,
+    split_lists,
+    with_blocks,
+)
 from sweepframe.operators.smooth import projection, smooth_part
 
 
@@ -73,36 +79,37 @@ def smoothed_half_time(
 ) -> DataFrame:
     """``first_crossing`` of the smoothed trace in a single shuffle of the samples.
 
-    Each block is smoothed and searched in one go and returns at most one row.
+    The threshold is one value per key. Each block is smoothed and searched in
+    one go and returns one number.
     """
     proj = projection(order, length)
+    size = max(block, length)
+
+    @F.arrow_udf(T.DoubleType())
+    def search_blocks(
+        places: pa.Array, values: pa.Array, times: pa.Array, levels: pa.Array, numbers: pa.Array
+    ) -> pa.Array:
+        level = levels.to_numpy(zero_copy_only=False).astype(float)
+        number = numbers.to_numpy(zero_copy_only=False)
+        columns = (split_lists(c) for c in (places, values, times))
+        first = []
+        for k, (place, y, when) in enumerate(zip(*columns, strict=True)):
+            order_of = np.argsort(place, kind="stable")
+            side = np.sign(smooth_part(y[order_of], proj) - level[k])
+            step = np.diff(side)
+            own = place[order_of][:-1] // size == number[k]
+            hits = when[order_of][:-1][np.isfinite(step) & (step != 0) & own]
+            first.append(float(hits.min()) if len(hits) else None)
+        return pa.array(first, pa.float64())
+
     slim = samples.select(*dict.fromkeys([*keys, idx, t, value, threshold]))
-    pieces = with_blocks(slim, length - 1, length, idx, max(block, length))
-    schema = T.StructType(
-        [f for f in slim.schema.fields if f.name in keys]
-        + [T.StructField(name, T.DoubleType())]
+    blocks = collect_blocks(
+        with_blocks(slim, length - 1, length, idx, size),
+        keys,
+        {"_place": F.col(idx), "_y": or_nan(value), "_when": or_nan(t)},
+        _level=F.min(threshold),
     )
-    per_block = by_block(pieces, keys, idx).applyInArrow(
-        _block_search(proj, list(keys), value, threshold, t, name), schema
+    found = blocks.select(
+        *keys, search_blocks("_place", "_y", "_when", "_level", "_block").alias(name)
     )
-    return per_block.groupBy(*keys).agg(F.min(name).alias(name))
-
-
-def _block_search(
-    proj: np.ndarray, keys: list[str], value: str, threshold: str, t: str, name: str
-) -> Callable[[pa.Table], pa.Table]:
-    def search(table: pa.Table) -> pa.Table:
-        y = table.column(value).to_numpy().astype(float)
-        level = table.column(threshold).to_numpy().astype(float)
-        own = table.column("_own").to_numpy()
-        side = np.sign(smooth_part(y, proj) - level)
-        turn = np.zeros(len(y), dtype=bool)
-        step = np.diff(side)
-        turn[:-1] = np.isfinite(step) & (step != 0)
-        hits = np.flatnonzero(turn & own)
-        row = table.select(keys).slice(0, 1 if len(hits) else 0)
-        times = table.column(t).to_numpy()[hits]
-        first = [float(times.min())] if len(hits) else []
-        return row.append_column(name, pa.array(first, pa.float64()))
-
-    return search
+    return found.filter(F.col(name).isNotNull()).groupBy(*keys).agg(F.min(name).alias(name))

@@ -13,7 +13,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, GroupedData
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -179,14 +182,35 @@ def with_blocks(
     )
 
 
-def by_block(pieces: DataFrame, keys: Sequence[str], idx: str) -> GroupedData:
-    """Group blocks for work in Python; each group arrives in order of ``idx``.
+def collect_blocks(
+    pieces: DataFrame, keys: Sequence[str], arrays: dict[str, Column], **per_key: Column
+) -> DataFrame:
+    """One row per block with its samples in arrays, for work in Python.
 
-    That work is heavy per byte, so the number of partitions is fixed: adaptive
-    execution would merge small inputs by size into a few tasks. Sorting by the
-    keys and ``idx`` at once takes the place of the sort that grouping needs.
+    The arrays are aligned with each other but in no particular order; none may
+    contain NULL. Arrays of numbers cross to Python far cheaper than rows. That
+    work is heavy per byte, so the number of partitions is fixed: adaptive
+    execution would merge small inputs by size into a few tasks.
     """
     spread = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     block = [*keys, "_block"]
-    ordered = pieces.repartition(spread, *block).sortWithinPartitions(*block, idx)
-    return ordered.groupBy(*block)
+    return (
+        pieces.repartition(spread, *block)
+        .groupBy(*block)
+        .agg(
+            *[F.collect_list(c).alias(n) for n, c in arrays.items()],
+            *[c.alias(n) for n, c in per_key.items()],
+        )
+    )
+
+
+def split_lists(lists: pa.ListArray) -> list[np.ndarray]:
+    """The lists of an Arrow column as numpy arrays."""
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    return np.split(lists.flatten().to_numpy(zero_copy_only=False), ends[:-1])
+
+
+def or_nan(c: Column | str) -> Column:
+    """NULL as NaN, so that collected arrays stay aligned."""
+    column = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(column.cast("double"), F.lit(float("nan")))

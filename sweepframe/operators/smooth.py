@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sweepframe.operators.annotate import SWEEP_KEYS
-from sweepframe.operators.keyed import BLOCK, by_block, with_blocks
+from sweepframe.operators.keyed import (
+    BLOCK,
+    collect_blocks,
+    or_nan,
+    split_lists,
+    with_blocks,
+)
 
 
 def projection(order: int, length: int) -> np.ndarray:
@@ -57,21 +64,34 @@ def savgol(
     if length % 2 == 0 or order >= length:
         raise ValueError("length must be odd and larger than order")
     proj = projection(order, length)
-    halo = length - 1
-    pieces = with_blocks(samples, halo, halo, idx, max(block, length))
-    schema = T.StructType([*samples.schema.fields, T.StructField(name, T.DoubleType())])
-    return by_block(pieces, keys, idx).applyInArrow(
-        _block_smoother(proj, value, samples.columns, name), schema
-    )
-
 
-def _block_smoother(
-    proj: np.ndarray, value: str, columns: list[str], name: str
-) -> Callable[[pa.Table], pa.Table]:
-    def smooth(table: pa.Table) -> pa.Table:
-        y = table.column(value).to_numpy().astype(float)
-        smoothed = pa.array(smooth_part(y, proj), from_pandas=True)
-        table = table.select([*columns, "_own"]).append_column(name, smoothed)
-        return table.filter(table.column("_own")).drop_columns(["_own"])
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def smooth_blocks(positions: pa.Array, values: pa.Array) -> pa.Array:
+        out = []
+        pairs = zip(split_lists(positions), split_lists(values), strict=True)
+        for place, y in pairs:
+            order_of = np.argsort(place, kind="stable")
+            smoothed = np.empty(len(y))
+            smoothed[order_of] = smooth_part(y[order_of], proj)
+            out.append(smoothed)
+        return pa.ListArray.from_arrays(
+            np.cumsum([0, *map(len, out)], dtype=np.int32),
+            np.concatenate(out) if out else np.empty(0),
+        )
 
-    return smooth
+    halo = length - 1
+    inner = [F.col(c) for c in samples.columns if c not in keys]
+    blocks = collect_blocks(
+        with_blocks(samples, halo, halo, idx, max(block, length)),
+        keys,
+        {
+            "_place": F.col(idx),
+            "_y": or_nan(value),
+            "_sample": F.struct(*inner, F.col("_own")),
+        },
+    ).withColumn("_s", smooth_blocks("_place", "_y"))
+    rows = blocks.select(*keys, F.inline(F.arrays_zip("_sample", "_s"))).filter("_sample._own")
+    return rows.select(
+        *[F.col(c) if c in keys else F.col("_sample")[c].alias(c) for c in samples.columns],
+        F.when(~F.isnan("_s"), F.col("_s")).alias(name),
+    )
