@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sweepframe.functions.scalars import (
     first_number,
@@ -29,7 +29,7 @@ from sweepframe.functions.scalars import (
 )
 from sweepframe.functions.student import t_p_value, t_quantile
 from sweepframe.operators.annotate import SWEEP_KEYS
-from sweepframe.operators.keyed import attach
+from sweepframe.operators.keyed import attach, matched, split_lists
 from sweepframe.session import GROUP_ROWS, limit, write_table
 
 TERMS = ("A1", "lrc1", "A2", "lrc2", "C")
@@ -336,28 +336,38 @@ def _state_fields(keys: list[str], like: DataFrame) -> T.StructType:
 def _refine_grouped(
     slim: DataFrame, begin: DataFrame, keys: list[str], max_passes: int
 ) -> DataFrame:
-    schema = _state_fields(keys, begin)
-    arrow = to_arrow_schema(schema)
-
-    def fit(trace: pa.Table, point: pa.Table) -> pa.Table:
-        t, y = trace.column("_t").to_numpy(), trace.column("_y").to_numpy()
-        row = {k: point.column(k)[0].as_py() for k in [*keys, "n"]}
-        starts = point.column("starts")[0].as_py()
-        if not starts:
-            row |= dict.fromkeys(STATE.names) | {"passes": 0, "status": "failed"}
-            return pa.Table.from_pylist([row], schema=arrow)
-        s = fresh_state(np.array(starts))
-        with np.errstate(all="ignore"):
-            while len(k := running_rows(s)):
-                advance(s, k, *normal_sums(t, y, s["trial"][k]), max_passes)
-        best = int(np.argmin(np.where(s["status"] == "failed", np.inf, s["sse"])))
-        return pa.Table.from_pylist([row | _row(s, best)], schema=arrow)
+    """All iterations of a sweep at once, on its samples as two number arrays."""
+    state_type = to_arrow_type(STATE)
+    nothing = dict.fromkeys(STATE.names) | {"passes": 0, "status": "failed"}
+
+    @F.arrow_udf(STATE)
+    def fit(times: pa.Array, values: pa.Array, starts: pa.Array) -> pa.Array:
+        out = []
+        traces = zip(split_lists(times), split_lists(values), starts.to_pylist(), strict=True)
+        for t, y, points in traces:
+            if not points:
+                out.append(nothing)
+                continue
+            s = fresh_state(np.array(points))
+            with np.errstate(all="ignore"):
+                while len(k := running_rows(s)):
+                    advance(s, k, *normal_sums(t, y, s["trial"][k]), max_passes)
+            out.append(_row(s, int(np.argmin(np.where(s["status"] == "failed", np.inf, s["sse"])))))
+        return pa.array(out, state_type)
 
     # a fixed number of partitions: the work per byte is high, so small inputs
     # must not be merged into a few tasks
     spread = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    traces = slim.repartition(spread, *keys).groupBy(*keys)
-    return traces.cogroup(begin.groupBy(*keys)).applyInArrow(fit, schema)
+    traces = (
+        slim.repartition(spread, *keys)
+        .groupBy(*keys)
+        .agg(F.collect_list("_t").alias("_ts"), F.collect_list("_y").alias("_ys"))
+    )
+    return (
+        matched(traces, begin, keys, "inner")
+        .withColumn("_fit", fit("_ts", "_ys", "starts"))
+        .select(*keys, "n", "_fit.*")
+    )
 
 
 def _refine_by_passes(
@@ -420,7 +430,7 @@ def _refine_by_passes(
             *keys, "start", *[F.col("trial")[k].alias(f"_p{k}") for k in range(5)]
         )
         state = write_table(
-            state.join(_pass_sums(rows, points, keys), [*keys, "start"], "left")
+            matched(state, _pass_sums(rows, points, keys), [*keys, "start"])
             .select(*schema.names, "sums")
             .mapInPandas(update, schema),
             "fit-state",

@@ -3,6 +3,7 @@
 A plain window over a group puts the whole group into one task. The helpers
 here give the same answers with groups of any size:
 
+* ``matched``     joins on keys, NULL included;
 * ``attach``      brings one row per group back to the rows of the group;
 * ``positions``   numbers rows (or accumulates weights) inside a group;
 * ``with_blocks`` cuts a sweep into blocks of neighbouring samples plus the
@@ -12,6 +13,7 @@ here give the same answers with groups of any size:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,21 @@ BLOCK = 16_384
 HEAVY_SHARE = 0.001
 
 
+def matched(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left"
+) -> DataFrame:
+    """Equi-join that also matches NULL keys with each other.
+
+    Grouping treats NULL as a value (a file name without its third token, say),
+    so joining a group's result back must do the same.
+    """
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(
+        lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys]
+    )
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def attach(
     rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "left"
 ) -> DataFrame:
@@ -42,7 +59,7 @@ def attach(
     keys = list(keys)
     table = write_table(per_key, "per-key")
     if table.rows <= limit(spark, BROADCAST_ROWS):
-        joined = rows.join(F.broadcast(table.df), keys, how)
+        joined = matched(rows, F.broadcast(table.df), keys, how)
     else:
         joined = _salted_join(rows, table.df, keys, how)
     added = [c for c in per_key.columns if c not in keys]
@@ -64,21 +81,21 @@ def _salted_join(
         )
     )
     row_hash = F.xxhash64(*[F.col(c) for c in rows.columns])
-    left = rows.join(heavy, keys, "left").withColumn(
+    left = matched(rows, heavy, keys).withColumn(
         "_salt",
         F.when(F.col("_salts").isNull(), F.lit(0))
         .otherwise(F.pmod(row_hash, F.col("_salts")))
         .cast("int"),
     )
     right = (
-        per_key.join(heavy, keys, "left")
+        matched(per_key, heavy, keys)
         .withColumn(
             "_salt",
             F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)),
         )
         .drop("_salts")
     )
-    return left.drop("_salts").join(right, [*keys, "_salt"], how)
+    return matched(left.drop("_salts"), right, [*keys, "_salt"], how)
 
 
 def attach_aggregates(
@@ -152,8 +169,7 @@ def positions(
         F.lit(0).cast("long"),
     )
     return (
-        cut.withColumn(name, local)
-        .join(F.broadcast(carry), [*keys, "_piece"], "left")
+        matched(cut.withColumn(name, local), F.broadcast(carry), [*keys, "_piece"])
         .withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0).cast("long")))
         .select(*df.columns, name)
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sweepframe.functions.scalars import ratio
 from sweepframe.operators.annotate import SWEEP_KEYS, cut, shifted_time
 from sweepframe.operators.features import mean_where
-from sweepframe.operators.keyed import attach, attach_aggregates
+from sweepframe.operators.keyed import attach, attach_aggregates, matched
 from sweepframe.protocol import Protocol, Window
 from sweepframe.session import write_table
 
@@ -103,7 +103,7 @@ def pair_baseline(
     right = measures.filter(~is_base).select(
         *keys, *carry, F.col(potential).alias(f"{potential}_treated")
     )
-    return left.join(right, keys, "left").withColumn(
+    return matched(left, right, keys).withColumn(
         f"{potential}_shift", F.col(f"{potential}_treated") - F.col(potential)
     )
 

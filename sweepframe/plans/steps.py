@@ -23,7 +23,7 @@ from sweepframe.operators.cohort import (
 )
 from sweepframe.operators.crossing import smoothed_half_time
 from sweepframe.operators.features import sweep_features
-from sweepframe.operators.keyed import attach
+from sweepframe.operators.keyed import attach, matched
 from sweepframe.operators.polyfit import quadratic_fit, reversal
 from sweepframe.operators.reshape import gather, spread
 from sweepframe.protocol import Protocol, Window
@@ -72,7 +72,7 @@ def half_times(samples: DataFrame, features: DataFrame, p: Protocol) -> DataFram
         with_level, "level", [*keys, "phase"], order=p.sg_order, length=p.sg_length
     )
     wide = spread(half, keys, "phase", "t_half", list(parts))
-    return features.join(wide, keys, "left")
+    return matched(features, wide, keys)
 
 
 def summarise(
@@ -114,7 +114,7 @@ def cell_measures_deactivating(
         pick_ratio("i_ss", "i_inst", "sweep", sweep).alias("fold_100"),
         F.lit("deactivating").alias("prepulse"),
     )
-    return own.join(_shift(fits), ["id", "channel"], "left")
+    return matched(own, _shift(fits), ["id", "channel"])
 
 
 def cell_measures_activating(
@@ -127,7 +127,7 @@ def cell_measures_activating(
         pick("tapp50_tail", "sweep", last).alias("tapp50_tail_100"),
         F.lit("activating").alias("prepulse"),
     )
-    return own.join(_shift(fits), ["id", "channel"], "left")
+    return matched(own, _shift(fits), ["id", "channel"])
 
 
 def _shift(fits: DataFrame) -> DataFrame:

@@ -63,6 +63,18 @@ def test_attach(skewed, tight, request):
     assert np.array_equal(got["last"].to_numpy(float), want.to_numpy(float), equal_nan=True)
 
 
+@pytest.mark.parametrize("tight", [False, True])
+def test_null_is_a_key_like_any_other(spark, tight, request):
+    if tight:
+        request.getfixturevalue("tight_limits")
+    rows = [(None, k) for k in range(40)] + [("a", k) for k in range(40)]
+    df = spark.createDataFrame(rows, "k string, ts int").repartition(5)
+    numbered = positions(df, ["k"], ["ts"], "pos")
+    assert numbered.filter("pos <> ts").count() == 0
+    counted = attach(df, df.groupBy("k").agg(F.max("ts").alias("last")), ["k"])
+    assert counted.filter("last = 39").count() == 80
+
+
 def test_blocks_carry_neighbours(spark):
     df = spark.range(25).select(F.col("id").alias("sample_idx"))
     got = with_blocks(df, 3, 2, size=10).toPandas()
