@@ -295,8 +295,8 @@ ORACLE: dict[str, str] = {
         SELECT event_type, sample_idx, count(*) AS n, {r('avg(i)', 6, 'i_avg')}
         FROM sw GROUP BY event_type, sample_idx""",
     "q_landed_table": f"""WITH {TRACE}
-        SELECT user_id, count(*) AS n, sum(i) AS sum_i FROM ev
-        WHERE event_type = 'click' GROUP BY user_id""",
+        SELECT user_id, event_type, count(*) AS n, sum(i) AS sum_i FROM ev
+        GROUP BY user_id, event_type""",
     "q_trace_files": """
         SELECT event_id, round(value * 100) AS i, true AS in_place FROM events""",
     "q_preview": """SELECT event_id, user_id, event_type, value FROM events

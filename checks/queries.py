@@ -257,11 +257,10 @@ def summary_files(spark, sf):
 
 
 def landed_table(spark, sf):
-    """Samples landed as Parquet per event type and read back with pruning."""
+    """Samples landed as Parquet, one folder per event type, and read back."""
     path = scratch_path(spark, "landed")
     tables.write_table(trace(spark, sf, "event_type"), path, "event_type")
-    back = tables.read_table(spark, path).filter(F.col("event_type") == "click")
-    return back.groupBy("user_id").agg(
+    return tables.read_table(spark, path).groupBy("user_id", "event_type").agg(
         F.count(F.lit(1)).alias("n"), F.sum("i").alias("sum_i")
     )
 

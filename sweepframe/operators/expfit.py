@@ -201,9 +201,12 @@ _UPPER = [(a, b) for a in range(5) for b in range(a, 5)]
 
 
 def normal_sums(t: np.ndarray, y: np.ndarray, p: np.ndarray):
-    """Residual sum of squares, J'J and J'r of one trace at several points ``p[k]``."""
+    """Residual sum of squares, J'J and J'r at points ``p[k]``.
+
+    ``t`` and ``y`` are one trace for all points, or one row per point.
+    """
     k1, k2 = np.exp(p[:, 1:2]), np.exp(p[:, 3:4])
-    jac = np.empty((len(p), 5, len(t)))
+    jac = np.empty((len(p), 5, t.shape[-1]))
     np.exp(-k1 * t, out=jac[:, 0])
     np.exp(-k2 * t, out=jac[:, 2])
     np.multiply(jac[:, 0], (-p[:, 0:1] * k1) * t, out=jac[:, 1])
@@ -342,17 +345,28 @@ def _refine_grouped(
 
     @F.arrow_udf(STATE)
     def fit(times: pa.Array, values: pa.Array, starts: pa.Array) -> pa.Array:
-        out = []
-        traces = zip(split_lists(times), split_lists(values), starts.to_pylist(), strict=True)
-        for t, y, points in traces:
-            if not points:
-                out.append(nothing)
-                continue
-            s = fresh_state(np.array(points))
-            with np.errstate(all="ignore"):
-                while len(k := running_rows(s)):
-                    advance(s, k, *normal_sums(t, y, s["trial"][k]), max_passes)
-            out.append(_row(s, int(np.argmin(np.where(s["status"] == "failed", np.inf, s["sse"])))))
+        ts, ys, points = split_lists(times), split_lists(values), starts.to_pylist()
+        out = [nothing] * len(points)
+        by_length: dict[int, list[int]] = {}
+        for j, own in enumerate(points):
+            if own:
+                by_length.setdefault(len(ts[j]), []).append(j)
+        for n, members in by_length.items():
+            # traces of equal length advance together, some tens of MB at a time
+            width = max(1, 1_000_000 // n)
+            for first in range(0, len(members), width):
+                chunk = members[first : first + width]
+                t, y = (np.stack([x[j] for j in chunk]) for x in (ts, ys))
+                owner = np.repeat(np.arange(len(chunk)), [len(points[j]) for j in chunk])
+                s = fresh_state(np.concatenate([np.array(points[j]) for j in chunk]))
+                with np.errstate(all="ignore"):
+                    while len(k := running_rows(s)):
+                        sums = normal_sums(t[owner[k]], y[owner[k]], s["trial"][k])
+                        advance(s, k, *sums, max_passes)
+                quality = np.where(s["status"] == "failed", np.inf, s["sse"])
+                for m, j in enumerate(chunk):
+                    mine = np.flatnonzero(owner == m)
+                    out[j] = _row(s, int(mine[np.argmin(quality[mine])]))
         return pa.array(out, state_type)
 
     # a fixed number of partitions: the work per byte is high, so small inputs
