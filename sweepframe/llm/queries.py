@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sweepframe.llm import quality, token_counts
+from sweepframe.llm import bpe, mixing, quality, token_counts
 
 #: Folder of the public vocabulary files; its ``path(name)`` is used if importable.
 TOKENIZERS = "/opt/tokenizers"
@@ -28,14 +28,22 @@ def op2_quality_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(quality.ledger(table(spark, sf, "documents")))
 
 
+def op3_source_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.assigned(table(spark, sf, "documents")).drop("digest")
+
+
 def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.counted(
         table(spark, sf, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096
     )
 
 
+def op8_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.digests(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_ledger, op6_token_counts)
+    f.__name__: f for f in (op2_quality_ledger, op3_source_mix, op6_token_counts, op8_bpe_round_trip)
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -88,3 +96,44 @@ SELECT *,
        OR word_chars < 2 * n_words OR word_chars > 25 * n_words) AS kept
 FROM m
 """
+
+ORACLE["op3_source_mix"] = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
+         CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k
+  FROM documents
+),
+s AS (
+  SELECT k, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS most,
+         1 + (row_number() OVER (ORDER BY k) - 1) % 3 AS weight
+  FROM d GROUP BY k
+),
+o AS (
+  SELECT *, sum(source_size) OVER ()
+           - coalesce(sum(most) OVER (ORDER BY most / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+         sum(weight) OVER (ORDER BY most / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free
+  FROM s
+),
+f AS (SELECT *, most::DOUBLE * free <= rest::DOUBLE * weight AS is_full FROM o),
+e AS (
+  SELECT (sum(source_size) - coalesce(sum(most) FILTER (is_full), 0))::DOUBLE AS rest,
+         sum(weight) FILTER (NOT is_full)::DOUBLE AS free
+  FROM f
+),
+t AS (
+  SELECT k, source_size,
+         CASE WHEN is_full THEN most::DOUBLE ELSE e.rest * weight / e.free END AS target
+  FROM f, e
+),
+p AS (
+  SELECT d.*, source_size, target, floor(target)::BIGINT AS budget,
+         coalesce(sum(size) OVER (PARTITION BY k ORDER BY md5('42:' || coalesce(doc_id::VARCHAR, 'null')), doc_id
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN t USING (k)
+)
+SELECT doc_id, source, size, source_size, target,
+       CASE WHEN source_size = 0 THEN 0
+            ELSE (budget // source_size) * size
+                 + least(greatest(budget % source_size - before, 0), size) END::BIGINT AS taken
+FROM p
+"""
