@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sweepframe.llm import bpe, mixing, quality, token_counts
+from sweepframe.llm import bpe, exact, mixing, quality, simhash, token_counts
 
 #: Folder of the public vocabulary files; its ``path(name)`` is used if importable.
 TOKENIZERS = "/opt/tokenizers"
@@ -32,6 +32,14 @@ def op3_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.assigned(table(spark, sf, "documents")).drop("digest")
 
 
+def op4_simhash_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.groups(table(spark, sf, "documents"))
+
+
+def op5_exact_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return exact.groups(table(spark, sf, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.counted(
         table(spark, sf, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096
@@ -43,7 +51,14 @@ def op8_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_ledger, op3_source_mix, op6_token_counts, op8_bpe_round_trip)
+    f.__name__: f for f in (
+        op2_quality_ledger,
+        op3_source_mix,
+        op4_simhash_groups,
+        op5_exact_groups,
+        op6_token_counts,
+        op8_bpe_round_trip,
+    )
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -137,3 +152,12 @@ SELECT doc_id, source, size, source_size, target,
                  + least(greatest(budget % source_size - before, 0), size) END::BIGINT AS taken
 FROM p
 """
+
+ORACLE["op5_exact_groups"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
+)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       row_number() OVER (PARTITION BY norm ORDER BY doc_id) = 1 AS kept, sha256(norm) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY norm)
+"""
