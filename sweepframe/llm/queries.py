@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sweepframe.llm import bpe, exact, mixing, quality, simhash, token_counts
+from sweepframe.llm import bpe, exact, mixing, quality, simhash, token_counts, warc
+from sweepframe.session import scratch_path
 
 #: Folder of the public vocabulary files; its ``path(name)`` is used if importable.
 TOKENIZERS = "/opt/tokenizers"
@@ -46,6 +47,19 @@ def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op7_warc_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    kind = pages.schema["page_id"].dataType
+    found = warc.read(warc.write(pages, scratch_path(spark, "warc")), payloads=False)
+    return found.select(
+        found.page.cast(kind).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        found.refers_to.cast(kind).alias("refers_to"),
+    )
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -57,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_simhash_groups,
         op5_exact_groups,
         op6_token_counts,
+        op7_warc_round_trip,
         op8_bpe_round_trip,
     )
 }
@@ -161,3 +176,18 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        row_number() OVER (PARTITION BY norm ORDER BY doc_id) = 1 AS kept, sha256(norm) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY norm)
 """
+
+ORACLE["op7_warc_round_trip"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda k:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                ((('0x' || substr(hex, (k // 4 * 5 + 1)::INT, 5))::INT >> (15 - 5 * (k % 4))::INT) & 31) + 1, 1)),
+         'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM f
+"""
