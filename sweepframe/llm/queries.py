@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sweepframe.llm import bpe, exact, mixing, quality, simhash, token_counts, warc
+from sweepframe.llm import bpe, exact, mixing, pii, quality, simhash, token_counts, warc
 from sweepframe.session import scratch_path
 
 #: Folder of the public vocabulary files; its ``path(name)`` is used if importable.
@@ -64,6 +64,10 @@ def op8_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op10_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.digests(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op2_quality_ledger,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_token_counts,
         op7_warc_round_trip,
         op8_bpe_round_trip,
+        op10_personal_data,
     )
 }
 
