@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sweepframe.llm import bpe, exact, mixing, pii, quality, simhash, token_counts, warc
+from sweepframe.llm import bpe, exact, mixing, pii, quality, simhash, substrings, token_counts, warc
 from sweepframe.session import scratch_path
 
 #: Folder of the public vocabulary files; its ``path(name)`` is used if importable.
@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_repeated_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    found = substrings.without_repeats(table(spark, sf, "documents"), texts=False)
+    return found.withColumnRenamed("kept", "kept_sha256")
+
+
 def op2_quality_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(quality.ledger(table(spark, sf, "documents")))
 
@@ -70,6 +75,7 @@ def op10_personal_data(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
+        op1_repeated_substrings,
         op2_quality_ledger,
         op3_source_mix,
         op4_simhash_groups,
@@ -85,6 +91,32 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLE: dict[str, str] = {}
 
+ORACLE["op1_repeated_substrings"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(doc_id, 9223372036854775807) AS num, doc_id,
+         regexp_extract_all(coalesce(text, ''), '{WORD}') AS w
+  FROM documents
+),
+wins AS (
+  SELECT r, num, i, array_to_string(w[i:i + 12], ' ') AS win
+  FROM (SELECT r, num, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)
+),
+again AS (
+  SELECT r, i FROM wins QUALIFY min(num) OVER (PARTITION BY win) < num
+),
+gone AS (
+  SELECT DISTINCT r, i + k AS p FROM again, (SELECT unnest(range(13)) AS k)
+),
+each_word AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n
+  FROM each_word ANTI JOIN gone USING (r, p) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
 ORACLE["op2_quality_ledger"] = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
