@@ -412,16 +412,16 @@ def _first_pass(part: pa.RecordBatch, window: int, texts: bool) -> pa.RecordBatc
     rise, fall, text_of = rise[going], fall[going], text_of[going]
     ranges = np.column_stack([rise - w.first[text_of], fall - w.first[text_of]]).ravel()
     held = np.append(0, np.cumsum(2 * np.bincount(text_of, minlength=part.num_rows)))
-    goes_on = pa.array(more > 0)
+    number = np.arange(part.num_rows)
+    ends, goes_on = pa.array(number, mask=more > 0), pa.array(number, mask=more == 0)
     counts, removed, kept = _result(w, covered, texts)
-    none = pa.scalar(None, pa.string())
     return pa.RecordBatch.from_arrays(
         [
             part.column("id"),
             counts,
             removed,
-            pc.if_else(goes_on, none, kept),
-            pc.if_else(goes_on, part.column("text"), none),
+            kept.take(ends),
+            part.column("text").take(goes_on),
             _lists(held, ranges, pa.int32()),
             _lists(offsets, names.name(place, place + window).view(np.int64), pa.int64()),
             _lists(offsets, other.name(place, place + window).view(np.int64), pa.int64()),
