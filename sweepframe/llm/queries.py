@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sweepframe.llm import bpe, exact, mixing, pii, quality, simhash, substrings, token_counts, warc
+from sweepframe.llm import bpe, exact, lines, mixing, pii, quality, simhash, substrings, token_counts, warc
 from sweepframe.session import scratch_path
 
 #: Folder of the public vocabulary files; its ``path(name)`` is used if importable.
@@ -69,6 +69,11 @@ def op8_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_repeated_lines(spark: SparkSession, sf: str) -> DataFrame:
+    found = lines.without_repeats(table(spark, sf, "documents"), texts=False)
+    return found.withColumnRenamed("kept", "kept_sha256")
+
+
 def op10_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return pii.digests(table(spark, sf, "documents"))
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_token_counts,
         op7_warc_round_trip,
         op8_bpe_round_trip,
+        op9_repeated_lines,
         op10_personal_data,
     )
 }
@@ -228,3 +234,33 @@ SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
        CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM f
 """
+
+ORACLE["op9_repeated_lines"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS num,
+         string_split(coalesce(text, ''), chr(10)) AS t
+  FROM documents
+),
+every_line AS (SELECT r, num, unnest(t) AS line, unnest(range(1, len(t) + 1)) AS i FROM d),
+spoken AS (
+  SELECT r, num, line, i, row_number() OVER (PARTITION BY r ORDER BY i) AS pos
+  FROM every_line WHERE regexp_matches(line, '{WORD}')
+),
+wins AS (
+  SELECT r, num, pos, line AS l1, lead(line) OVER w AS l2, lead(line, 2) OVER w AS l3
+  FROM spoken WINDOW w AS (PARTITION BY r ORDER BY pos)
+),
+again AS (
+  SELECT r, pos FROM wins WHERE l3 IS NOT NULL
+  QUALIFY min((num, pos)) OVER (PARTITION BY l1, l2, l3) < (num, pos)
+),
+gone AS (
+  SELECT DISTINCT r, i FROM (SELECT r, pos + unnest(range(3)) AS pos FROM again) JOIN spoken USING (r, pos)
+),
+kept AS (
+  SELECT r, string_agg(line, chr(10) ORDER BY i) AS kept FROM every_line ANTI JOIN gone USING (r, i) GROUP BY r
+)
+SELECT doc_id, (SELECT count(*) FROM spoken WHERE spoken.r = d.r) AS n_lines,
+       (SELECT count(*) FROM gone WHERE gone.r = d.r) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
