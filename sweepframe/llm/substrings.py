@@ -478,7 +478,7 @@ def without_repeats(
     per_doc = marks.groupBy(F.col("id").alias("num")).agg(
         F.collect_list(F.struct("kind", "first", "count", "name")).alias("marks")
     )
-    marked = source.join(per_doc, "num", "left").select("id", "text", "marks")
+    marked = source.join(per_doc.hint("merge"), "num", "left").select("id", "text", "marks")
     found = _each_slice(marked, lambda part: _first_pass(part, window, texts), FIRST)
     found = write_table(found.withColumn("row", F.monotonically_increasing_id()), "passed").df
     going = found.where("text IS NOT NULL").withColumn("num", F.coalesce("id", F.lit(NO_ID)))
