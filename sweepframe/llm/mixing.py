@@ -182,10 +182,10 @@ def mixed(
         F.col("taken").alias("__taken"),
     )
     joined = docs.join(
-        plan, F.col(id_col).eqNullSafe(F.col("__id")) & (F.md5(F.col(text_col)) == F.col("__digest"))
+        plan.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.md5(F.col(text_col)) == F.col("__digest"))
     )
     left = F.least(F.col("__taken") - F.col("__copy") * F.col("__size"), F.col("__size"))
     first_words = F.concat(F.lit(f"^(?:{SPACES}*+{WORD}++){{"), left.cast("string"), F.lit("}+"))
-    cut = F.regexp_extract(F.col(text_col), first_words, F.lit(0))
+    cut = F.call_function("regexp_extract", F.col(text_col), first_words, F.lit(0))
     text = F.when(left < F.col("__size"), cut).otherwise(F.col(text_col))
     return joined.withColumn(text_col, text).select(*docs.columns)

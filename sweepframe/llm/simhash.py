@@ -248,4 +248,4 @@ def representatives(
     stay = _components(rows, most).groupBy("root").agg(first.alias("first"))
     stay = stay.select(F.col("first.id").alias("__id"), F.col("first.digest").alias("__digest"))
     same = F.col(id_col).eqNullSafe(F.col("__id")) & F.md5(F.col(text_col)).eqNullSafe(F.col("__digest"))
-    return docs.join(stay, same, "left_semi")
+    return docs.join(stay.hint("merge"), same, "left_semi")
