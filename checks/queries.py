@@ -247,7 +247,7 @@ def summary_files(spark, sf):
     curves = cohort_curve(spark, sf).select("event_type", "sample_idx", "n", "i_avg")
     path = scratch_path(spark, "summary-csv")
     tables.write_summaries(curves, path, "event_type", csv=True)
-    back = tables.read_summaries(spark, path, ["sample_idx", "n", "i_avg"])
+    back = tables.read_summaries(spark, path, ["event_type", "sample_idx", "n", "i_avg"], text=["event_type"])
     return back.select(
         "event_type",
         F.col("sample_idx").cast("long").alias("sample_idx"),
@@ -514,8 +514,9 @@ def smooth(spark, sf):
 
 
 def smooth_half_time(spark, sf):
-    samples = attach_aggregates(vector_trace(spark, sf), ["vec_id"], {"thresh": F.avg("i")})
-    return smoothed_half_time(samples, "thresh", ["vec_id"], length=11)
+    samples = vector_trace(spark, sf)
+    levels = samples.groupBy("vec_id").agg(F.avg("i").alias("thresh"))
+    return smoothed_half_time(samples, levels, "thresh", ["vec_id"], length=11)
 
 
 def array_to_rows(spark, sf):

@@ -8,6 +8,6 @@ Levels of data, one DataFrame each:
 * cohort:    one row per experimental group
 """
 
-from sweepframe.protocol import CLASSIC, PREPULSE, Protocol, Window
+from sweepframe.protocol import CLASSIC, PREPULSE, RELAXATION, Protocol, Window
 
-__all__ = ["CLASSIC", "PREPULSE", "Protocol", "Window"]
+__all__ = ["CLASSIC", "PREPULSE", "RELAXATION", "Protocol", "Window"]

@@ -13,12 +13,18 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_log_gamma = np.vectorize(math.lgamma, otypes=[float])
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(v) if v > 0 else math.inf for v in x.ravel()]).reshape(x.shape)
 
 
 def _beta_inc(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
-    """I_x(a, b) by the modified Lentz continued fraction, x in [0, 1]."""
+    """I_x(a, b) by the modified Lentz continued fraction, x in [0, 1].
+
+    NaN where the fraction has not converged.
+    """
     with np.errstate(all="ignore"):
+        a, b, x = np.broadcast_arrays(a, b, x)
         swap = x > (a + 1) / (a + b + 2)
         p = np.where(swap, b, a)
         q = np.where(swap, a, b)
@@ -48,32 +54,39 @@ def _beta_inc(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
                 h = h * d * c
             if np.nanmax(np.abs(h / last - 1), initial=0.0) < 1e-15:
                 break
+        h = np.where(np.abs(h / last - 1) < 1e-9, h, np.nan)
         low = np.where(z <= 0, 0.0, front * h / p)
     return np.where(swap, 1 - low, low)
 
 
 def two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     """P(|T| > |t|)."""
-    t, df = np.asarray(t, float), np.asarray(df, float)
-    out = np.full(np.broadcast(t, df).shape, np.nan)
+    t, df = np.broadcast_arrays(np.asarray(t, float), np.asarray(df, float))
+    out = np.full(t.shape, np.nan)
     ok = np.isfinite(t) & (df > 0)
     out[ok] = _beta_inc(df[ok] / 2, 0.5, df[ok] / (df[ok] + t[ok] ** 2))
     return out
 
 
 def quantile(upper: float, df: np.ndarray) -> np.ndarray:
-    """t with P(T <= t) = upper (upper > 0.5), by bisection on each distinct df."""
+    """t with P(T <= t) = upper (upper > 0.5), by bisection on all distinct df at once."""
     df = np.asarray(df, float)
     out = np.full(df.shape, np.nan)
-    for d in np.unique(df[df > 0]):
-        lo, hi = 0.0, 1.0
-        while 1 - two_sided(np.array([hi]), np.array([d]))[0] / 2 < upper:
-            hi *= 2
-        for _ in range(80):
-            mid = (lo + hi) / 2
-            below = 1 - two_sided(np.array([mid]), np.array([d]))[0] / 2 < upper
-            lo, hi = (mid, hi) if below else (lo, mid)
-        out[df == d] = (lo + hi) / 2
+    ok = df > 0
+    each, code = np.unique(df[ok], return_inverse=True)
+    lo, hi = np.zeros(len(each)), np.ones(len(each))
+
+    def below(t: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return 1 - two_sided(t, n) / 2 < upper
+
+    rising = np.arange(len(each))
+    while len(rising := rising[below(hi[rising], each[rising]) & (hi[rising] < 1e300)]):
+        hi[rising] *= 2
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        low = below(mid, each)
+        lo, hi = np.where(low, mid, lo), np.where(low, hi, mid)
+    out[ok] = ((lo + hi) / 2)[code]
     return out
 
 

@@ -15,6 +15,7 @@ from sweepframe.operators.annotate import SWEEP_KEYS
 from sweepframe.operators.keyed import (
     BLOCK,
     collect_blocks,
+    matched,
     or_nan,
     split_lists,
     with_blocks,
@@ -67,6 +68,7 @@ def first_crossing(
 
 def smoothed_half_time(
     samples: DataFrame,
+    levels: DataFrame,
     threshold: str,
     keys: Sequence[str] = SWEEP_KEYS,
     value: str = "i",
@@ -76,11 +78,15 @@ def smoothed_half_time(
     length: int = 101,
     name: str = "t_half",
     block: int = BLOCK,
+    last: str | None = None,
 ) -> DataFrame:
     """``first_crossing`` of the smoothed trace in a single shuffle of the samples.
 
-    The threshold is one value per key. Each block is smoothed and searched in
-    one go and returns one number.
+    ``levels`` has one row per key with its threshold and, if ``last`` names the
+    column, the number of the key's last sample (else one more scan finds it). A copy
+    of that row goes to every block of the key together with the block's samples, so
+    nothing is joined. Each block is smoothed and searched in one go and returns one
+    number.
     """
     proj = projection(order, length)
     size = max(block, length)
@@ -94,6 +100,9 @@ def smoothed_half_time(
         columns = (split_lists(c) for c in (places, values, times))
         first = []
         for k, (place, y, when) in enumerate(zip(*columns, strict=True)):
+            if len(place) == 0:
+                first.append(None)
+                continue
             order_of = np.argsort(place, kind="stable")
             side = np.sign(smooth_part(y[order_of], proj) - level[k])
             step = np.diff(side)
@@ -102,12 +111,23 @@ def smoothed_half_time(
             first.append(float(hits.min()) if len(hits) else None)
         return pa.array(first, pa.float64())
 
-    slim = samples.select(*dict.fromkeys([*keys, idx, t, value, threshold]))
+    slim = samples.select(*dict.fromkeys([*keys, idx, t, value]))
+    if last is None:
+        ends = samples.groupBy(*keys).agg(F.max(idx).alias("_last"))
+        levels, last = matched(levels, ends, keys), "_last"
+    nothing = {"_place": "long", "_y": "double", "_when": "double"}
+    pieces = with_blocks(slim, length - 1, length, idx, size).select(
+        *keys, "_block", F.col(idx).cast("long").alias("_place"), or_nan(value).alias("_y"),
+        or_nan(t).alias("_when"), F.lit(None).cast("double").alias("_level"),
+    )
+    final = F.floor((F.col(last) + F.lit(length - 1)) / F.lit(size))
+    marks = levels.select(
+        *keys, F.explode(F.sequence(F.lit(0).cast("long"), final)).alias("_block"),
+        *[F.lit(None).cast(kind).alias(c) for c, kind in nothing.items()],
+        F.col(threshold).cast("double").alias("_level"),
+    )
     blocks = collect_blocks(
-        with_blocks(slim, length - 1, length, idx, size),
-        keys,
-        {"_place": F.col(idx), "_y": or_nan(value), "_when": or_nan(t)},
-        _level=F.min(threshold),
+        pieces.unionByName(marks), keys, {c: F.col(c) for c in nothing}, _level=F.max("_level")
     )
     found = blocks.select(
         *keys, search_blocks("_place", "_y", "_when", "_level", "_block").alias(name)

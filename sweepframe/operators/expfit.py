@@ -55,17 +55,21 @@ def grid_candidates(
     """Per sweep an array with the solved fit of every grid point, best first.
 
     The grid lives in aggregate columns: samples are neither copied nor
-    collected, and a sweep of any length is summed on the map side.
+    collected, and a sweep of any length is summed on the map side. A sweep
+    without any value has ``n = 0`` and no candidate.
     """
     rates = sorted({*lrc1, *lrc2})
     level = {r: F.exp(-F.lit(math.exp(r)) * F.col(t)) for r in rates}
     label = {r: f"_{k}" for k, r in enumerate(rates)}
-    rows = samples.filter(F.col(y).isNotNull() & F.col(t).isNotNull()).select(
-        *keys, F.col(y).alias("_y"), *[e.alias(f"_e{label[r]}") for r, e in level.items()]
+    usable = F.col(y).isNotNull() & F.col(t).isNotNull()
+    rows = samples.select(
+        *keys,
+        F.when(usable, F.col(y)).alias("_y"),
+        *[F.when(usable, e).alias(f"_e{label[r]}") for r, e in level.items()],
     )
     e = {r: F.col(f"_e{label[r]}") for r in rates}
     wanted = [
-        F.count(F.lit(1)).alias("n"),
+        F.count("_y").alias("n"),
         F.sum("_y").alias("sy"),
         F.sum(F.col("_y") * F.col("_y")).alias("syy"),
     ]
@@ -252,7 +256,8 @@ def advance(s: dict[str, np.ndarray], k: np.ndarray, sse, jtj, jtr, max_passes:
     s["damping"][k] = np.where(
         ok, np.maximum(s["damping"][k] / 10, 1e-12), s["damping"][k] * 10
     )
-    s["status"][k[(ok & moved & still) | (s["damping"][k] > 1e12)]] = "converged"
+    s["status"][k[s["damping"][k] > 1e12]] = "stalled"
+    s["status"][k[ok & moved & still]] = "converged"
     running = k[s["status"][k] == "running"]
     s["status"][running[s["passes"][running] >= max_passes]] = "max_passes"
     running = running[s["passes"][running] < max_passes]
@@ -276,20 +281,26 @@ def refine_fit(
     y: str = "i_norm",
     lrc1: Sequence[float] = LRC1_GRID,
     lrc2: Sequence[float] = LRC2_GRID,
-    starts: int = 3,
     max_passes: int = 100,
 ) -> DataFrame:
-    """Least-squares fit per sweep from its best grid points.
+    """Least-squares fit per sweep: the best of all solvable grid points refined.
 
     Sweeps up to the group limit are refined in one grouped pass, each in its
     own task slice. Longer sweeps are refined together, one aggregate over
-    their samples per iteration, so none is ever gathered in one place. A sweep
-    that cannot be fitted has ``status = 'failed'`` and does not stop the job.
+    their samples per iteration, so none is ever gathered in one place. Both ways
+    take the same steps.
+
+    Every sweep has a row. ``status`` is ``converged``, ``max_passes`` (still
+    improving when the passes ended), ``stalled`` (no step improves any more) or
+    ``failed`` (no values or no solvable grid point; ``error`` says so). Runs jobs.
     """
     keys = list(keys)
     spark = samples.sparkSession
-    slim = samples.filter(F.col(y).isNotNull() & F.col(t).isNotNull()).select(
-        *keys, F.col(t).cast("double").alias("_t"), F.col(y).cast("double").alias("_y")
+    usable = F.col(y).isNotNull() & F.col(t).isNotNull()
+    slim = samples.select(
+        *keys,
+        F.when(usable, F.col(t).cast("double")).alias("_t"),
+        F.when(usable, F.col(y).cast("double")).alias("_y"),
     )
     # read by the grid and by the refinement: cut and normalise the traces once
     slim = write_table(slim, "fit-samples").df
@@ -297,10 +308,7 @@ def refine_fit(
         grid_candidates(slim, keys, "_t", "_y", lrc1, lrc2).select(
             *keys,
             "n",
-            F.transform(
-                F.slice("candidates", 1, starts),
-                lambda c: F.array(*[c[x] for x in TERMS]),
-            ).alias("starts"),
+            F.transform("candidates", lambda c: F.array(*[c[x] for x in TERMS])).alias("starts"),
         ),
         "fit-starts",
     ).df
@@ -360,9 +368,10 @@ def _refine_grouped(
                 owner = np.repeat(np.arange(len(chunk)), [len(points[j]) for j in chunk])
                 s = fresh_state(np.concatenate([np.array(points[j]) for j in chunk]))
                 with np.errstate(all="ignore"):
-                    while len(k := running_rows(s)):
-                        sums = normal_sums(t[owner[k]], y[owner[k]], s["trial"][k])
-                        advance(s, k, *sums, max_passes)
+                    while len(running := running_rows(s)):
+                        for k in np.array_split(running, -(-len(running) * n // 1_000_000)):
+                            sums = normal_sums(t[owner[k]], y[owner[k]], s["trial"][k])
+                            advance(s, k, *sums, max_passes)
                 quality = np.where(s["status"] == "failed", np.inf, s["sse"])
                 for m, j in enumerate(chunk):
                     mine = np.flatnonzero(owner == m)
@@ -372,16 +381,27 @@ def _refine_grouped(
     # a fixed number of partitions: the work per byte is high, so small inputs
     # must not be merged into a few tasks
     spread = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # samples and starting points are dealt together and grouped once, so the samples
+    # are shuffled once and sorted never; a sweep has one row of starting points
+    columns = [*keys, "_t", "_y", "n", "starts"]
+    points = begin.withColumns({"_t": F.lit(None).cast("double"), "_y": F.lit(None).cast("double")})
+    rows = slim.withColumns(
+        {"n": F.lit(None).cast("long"), "starts": F.lit(None).cast("array<array<double>>")}
+    )
     traces = (
-        slim.repartition(spread, *keys)
+        rows.select(*columns)
+        .unionByName(points.select(*columns))
+        .repartition(spread, *keys)
         .groupBy(*keys)
-        .agg(F.collect_list("_t").alias("_ts"), F.collect_list("_y").alias("_ys"))
-    )
-    return (
-        matched(traces, begin, keys, "inner")
-        .withColumn("_fit", fit("_ts", "_ys", "starts"))
-        .select(*keys, "n", "_fit.*")
+        .agg(
+            F.collect_list("_t").alias("_ts"),
+            F.collect_list("_y").alias("_ys"),
+            F.max("n").alias("n"),
+            F.flatten(F.collect_list("starts")).alias("starts"),
+        )
+        .filter(F.col("n").isNotNull())
     )
+    return traces.withColumn("_fit", fit("_ts", "_ys", "starts")).select(*keys, "n", "_fit.*")
 
 
 def _refine_by_passes(
@@ -392,7 +412,8 @@ def _refine_by_passes(
     The state is one row per sweep and start. It is written after every pass,
     which cuts the lineage and keeps finished work when executors are lost.
     """
-    rows = write_table(attach(slim, begin.select(*keys), keys, "inner"), "long-sweeps").df
+    present = slim.filter(F.col("_y").isNotNull())
+    rows = write_table(attach(present, begin.select(*keys), keys, "inner"), "long-sweeps").df
     schema = T.StructType(
         [*_state_fields(keys, begin).fields, T.StructField("start", T.IntegerType())]
     )
@@ -498,7 +519,9 @@ def _report(states: DataFrame, keys: list[str]) -> DataFrame:
     named = states.select(
         *keys, "n", *[c.alias(x) for x, c in terms.items()],
         F.when(ok, F.col("sse")).alias("sse"), "passes", "status",
-        F.when(~ok, "no usable starting point").alias("error"),
+        F.when(~ok & (F.col("n") == 0), "no values")
+        .when(~ok, "no usable starting point")
+        .alias("error"),
         (F.col("status") == "converged").alias("is_conv"),
         inverse.alias("_unscaled"),
     )
@@ -518,12 +541,12 @@ def inverse_diagonal(jtj: pd.Series) -> pd.Series:
             return None
         m = np.array(flat, dtype=float).reshape(5, 5)
         root = np.sqrt(np.where(np.diag(m) > 0, np.diag(m), 1.0))
-        try:
-            scaled = np.linalg.inv(m / np.outer(root, root))
-        except np.linalg.LinAlgError:
+        scaled = m / np.outer(root, root)
+        # beyond this condition the inverse is rounding noise
+        if not np.all(np.isfinite(scaled)) or np.linalg.cond(scaled) > 1e14:
             return None
-        diagonal = np.diag(scaled) / root**2
-        return diagonal if np.all(diagonal >= 0) else None
+        diagonal = np.diag(np.linalg.inv(scaled)) / root**2
+        return diagonal if np.all(np.isfinite(diagonal) & (diagonal >= 0)) else None
 
     return jtj.map(invert)
 
@@ -594,14 +617,19 @@ def components(terms: DataFrame, keys: Sequence[str] = SWEEP_KEYS) -> DataFrame:
 def time_constants(terms: DataFrame, keys: Sequence[str] = SWEEP_KEYS) -> DataFrame:
     """Time constants with limits, labelled fast and slow.
 
-    The transformation reverses order, so the limits change places.
+    The transformation reverses order, so the limits change places. A limit too
+    large for a number is NULL.
     """
     rates = terms.filter(F.col("term").isin("lrc1", "lrc2"))
+
+    def finite(x: Column) -> Column:
+        return F.when(F.abs(x) < math.inf, x)
+
     as_tau = F.struct(
         tau("estimate").alias("tau"),
         "term",
-        F.least(tau("conf_lo"), tau("conf_hi")).alias("conf_lo"),
-        F.greatest(tau("conf_lo"), tau("conf_hi")).alias("conf_hi"),
+        finite(tau("conf_hi")).alias("conf_lo"),
+        finite(tau("conf_lo")).alias("conf_hi"),
     )
     # two rows per sweep by construction of the term table
     pair = rates.groupBy(*keys).agg(F.array_sort(F.collect_list(as_tau)).alias("_pair"))

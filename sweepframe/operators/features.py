@@ -89,7 +89,8 @@ def tail_norm(
 
 
 def sweep_features(
-    samples: DataFrame, p: Protocol, keys: Sequence[str] = SWEEP_KEYS
+    samples: DataFrame, p: Protocol, keys: Sequence[str] = SWEEP_KEYS,
+    extra: dict[str, Column] | None = None,
 ) -> DataFrame:
     """One row per sweep: step voltage, window means, derived values, tail values.
 
@@ -97,7 +98,7 @@ def sweep_features(
     carried along.
     """
     means = window_means(
-        samples, p.feature_windows(), keys, extra={"v_pulse": step_voltage(p)}
+        samples, p.feature_windows(), keys, extra={"v_pulse": step_voltage(p)} | (extra or {})
     )
     # the tail values read this table twice; the samples are scanned once
     return tail_norm(derive(write_table(means, "window-means").df, p.has_prepulse))

@@ -203,8 +203,8 @@ def collect_blocks(
 ) -> DataFrame:
     """One row per block with its samples in arrays, for work in Python.
 
-    The arrays are aligned with each other but in no particular order; none may
-    contain NULL. Arrays of numbers cross to Python far cheaper than rows. That
+    The arrays are aligned with each other but in no particular order; NULL in one is
+    NULL in all and left out. Arrays of numbers cross to Python far cheaper than rows. That
     work is heavy per byte, so the number of partitions is fixed: adaptive
     execution would merge small inputs by size into a few tasks.
     """

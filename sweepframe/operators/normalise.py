@@ -29,12 +29,22 @@ def to_baseline(
 
 def to_extremes(
     df: DataFrame, by: Sequence[str], value: str, key: str,
-    at_max: str = "at_max", at_min: str = "at_min",
+    at_max: str = "at_max", at_min: str = "at_min", tie: str | None = None,
 ) -> DataFrame:
-    """Bring the values at the largest and the smallest key of a group to its rows."""
-    return attach_aggregates(
-        df, by, {at_max: F.max_by(value, key), at_min: F.min_by(value, key)}
+    """Bring the values at the largest and the smallest key of a group to its rows.
+
+    Of several rows at the largest (smallest) key the one with the largest (smallest)
+    ``tie`` counts; without ``tie`` the largest (smallest) value.
+    """
+    tie = tie or value
+    known = df.filter(F.col(key).isNotNull())
+    per_key = known.groupBy(*by, key).agg(
+        F.max_by(value, tie).alias("_top"), F.min_by(value, tie).alias("_bottom")
+    )
+    extremes = per_key.groupBy(*by).agg(
+        F.max_by("_top", key).alias(at_max), F.min_by("_bottom", key).alias(at_min)
     )
+    return attach(df, extremes, by)
 
 
 def percent_block(

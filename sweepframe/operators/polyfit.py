@@ -194,11 +194,14 @@ def reversal(fit: DataFrame, tolerance: float = 10.0) -> DataFrame:
     c0, c1, c2 = F.col("c0"), F.col("c1"), F.col("c2")
     disc = c1 * c1 - 4 * c2 * c0
     root = F.sqrt(F.greatest(disc, F.lit(0.0)))
-    left = ratio(-c1 - root, 2 * c2)
-    right = ratio(-c1 + root, 2 * c2)
-    nearest = F.when(F.abs(left) < F.abs(right), left).when(
-        F.abs(right) < F.abs(left), right
-    ).otherwise(F.least(left, right))
+    # the root next to zero without subtracting nearly equal numbers
+    sign = F.when(c1 < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+    small = ratio(-2 * c0, c1 + sign * root)
+    large = ratio(-c1 - sign * root, 2 * c2)
+    real = F.when(F.abs(small) < F.abs(large), small).when(
+        F.abs(large) < F.abs(small), large
+    ).otherwise(F.coalesce(F.least(small, large), small, large))
+    nearest = F.when(disc < 0, ratio(-c1, 2 * c2)).otherwise(real)
     return (
         fit.withColumn("e_test", F.when(c2 == 0, ratio(-c0, c1)).otherwise(nearest))
         .withColumns(

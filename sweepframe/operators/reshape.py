@@ -22,8 +22,8 @@ def gather(
 def spread(
     df: DataFrame, ids: Sequence[str], key: str, value: str, levels: Sequence[str]
 ) -> DataFrame:
-    """Long to wide for the given levels of ``key``."""
-    return df.groupBy(*ids).pivot(key, list(levels)).agg(F.first(value))
+    """Long to wide for the given levels of ``key``; of several values the largest."""
+    return df.groupBy(*ids).pivot(key, list(levels)).agg(F.max(value))
 
 
 def nest_sweeps(

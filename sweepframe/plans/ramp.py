@@ -18,6 +18,7 @@ from sweepframe.operators.normalise import (
     to_baseline,
 )
 from sweepframe.protocol import Window
+from sweepframe.session import write_table
 from sweepframe.sources.traces import add_condition
 
 RAMP = Window(0.4, 1.4)
@@ -43,7 +44,11 @@ def prepare(samples: DataFrame, potentials: DataFrame | None = None) -> DataFram
 
 def curves_by_id(prepared: DataFrame) -> DataFrame:
     """One average curve per recording, raw and relative to +100 mV at baseline."""
-    averaged = average_sweeps(prepared)
+    return relative_to_baseline(average_sweeps(prepared))
+
+
+def relative_to_baseline(averaged: DataFrame) -> DataFrame:
+    """Averaged curves with the current relative to +100 mV at baseline."""
     baseline = BASELINE_BAND.holds("v_corr") & (F.col("cond") == "baseline")
     return to_baseline(averaged, ["id"], baseline)
 
@@ -69,8 +74,13 @@ def quality(measured: DataFrame) -> DataFrame:
 
 
 def analyse(samples: DataFrame, potentials: DataFrame | None = None) -> RampAnalysis:
-    by_id = curves_by_id(prepare(samples, potentials))
-    measured = measures(by_id)
+    """All tables from one pass over the samples. Runs jobs.
+
+    The averaged curves and the measures are written once; everything else reads them.
+    """
+    averaged = write_table(average_sweeps(prepare(samples, potentials)), "averaged").df
+    by_id = write_table(relative_to_baseline(averaged), "curves-by-id").df
+    measured = write_table(measures(by_id), "ramp-measures").df
     return RampAnalysis(by_id, curves_by_channel(by_id), measured, quality(measured))
 
 

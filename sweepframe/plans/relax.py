@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sweepframe.functions.scalars import step_grid
-from sweepframe.operators.annotate import SWEEP_KEYS, step_voltage
+from sweepframe.operators.annotate import SWEEP_KEYS, flip, step_voltage
 from sweepframe.operators.expfit import (
     component_curves,
     components,
@@ -18,9 +18,11 @@ from sweepframe.operators.expfit import (
     refine_fit,
     time_constants,
 )
+from sweepframe.operators.keyed import matched
 from sweepframe.operators.normalise import phase_norm, tail_phase_norm
 from sweepframe.protocol import Protocol
 from sweepframe.session import write_table
+from sweepframe.sources.tables import write_summaries
 
 #: Prediction grid: 0 to 0.7 s in steps of 0.1 ms.
 GRID_STEPS, GRID_STEP = 7000, 0.0001
@@ -41,24 +43,54 @@ class RelaxationFits:
         grid = step_grid(0, GRID_STEPS, GRID_STEP)
         return component_curves(self.by_component, grid, keys)
 
+    def tables(
+        self, meta: DataFrame | None = None, by: Sequence[str] = ("recording",)
+    ) -> dict[str, DataFrame]:
+        """The three tables kept per recording, without arrays, ``meta`` beside them.
+
+        ``meta`` has one row per recording.
+        """
+        parts = {
+            "glance": self.fits.drop("std_errors"),
+            "estimates": self.terms,
+            "by_component": self.by_component,
+        }
+        if meta is None:
+            return parts
+        return {name: matched(df, meta, by) for name, df in parts.items()}
+
+    def write(
+        self, folder: str, meta: DataFrame | None = None, csv: bool = False,
+        by: str = "recording",
+    ) -> None:
+        """Write those tables below ``folder``; recordings already there are replaced."""
+        for name, df in self.tables(meta, [by]).items():
+            write_summaries(df, f"{folder.rstrip('/')}/{name}", by, csv)
+
 
 def test_pulse(
-    samples: DataFrame, p: Protocol, keys: Sequence[str] = SWEEP_KEYS
+    samples: DataFrame, p: Protocol, keys: Sequence[str] = SWEEP_KEYS, invert: bool = True
 ) -> DataFrame:
-    """Normalised deactivation on the test pulse, steps below -20 mV."""
+    """Normalised deactivation on the test pulse, steps below -20 mV.
+
+    ``invert``: the samples have the sign of the recording.
+    """
     return phase_norm(
-        samples, p.test_phase(), p.settled(p.t_post), p.onset(p.t_test), p.t_test, keys,
+        flip(samples) if invert else samples, p.test_phase(), p.settled(p.t_post), p.onset(p.t_test), p.t_test, keys,
         p.t_offset, extra={"v_pulse": step_voltage(p)}, only=F.col("v_pulse") < -20,
     )
 
 
-def tail(samples: DataFrame, p: Protocol, keys: Sequence[str] = SWEEP_KEYS) -> DataFrame:
+def tail(
+    samples: DataFrame, p: Protocol, keys: Sequence[str] = SWEEP_KEYS, invert: bool = True
+) -> DataFrame:
     """Normalised tails after steps above 0 mV.
 
     The zero comes from the reference sweep, whatever its own step voltage.
+    ``invert``: the samples have the sign of the recording.
     """
     return tail_phase_norm(
-        samples, p, keys, extra={"v_pulse": step_voltage(p)}, only=F.col("v_pulse") > 0
+        flip(samples) if invert else samples, p, keys, extra={"v_pulse": step_voltage(p)}, only=F.col("v_pulse") > 0
     )
 
 

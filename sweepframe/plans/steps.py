@@ -23,7 +23,7 @@ from sweepframe.operators.cohort import (
 )
 from sweepframe.operators.crossing import smoothed_half_time
 from sweepframe.operators.features import sweep_features
-from sweepframe.operators.keyed import attach, matched
+from sweepframe.operators.keyed import matched
 from sweepframe.operators.polyfit import quadratic_fit, reversal
 from sweepframe.operators.reshape import gather, spread
 from sweepframe.protocol import Protocol, Window
@@ -58,21 +58,24 @@ def half_times(samples: DataFrame, features: DataFrame, p: Protocol) -> DataFram
         )
 
     name_of = {part[2]: name for name, part in parts.items()}
+    last = "_last" if "_last" in features.columns else None
     labelled = samples.select(*keys, "sample_idx", "t", "i").withColumns(
         {
             "phase": by_phase(lambda part: F.lit(name_of[part[2]])),
             "t_fit": by_phase(lambda part: shifted_time(part[1], p.t_offset)),
         }
     )
-    levels = [part[2] for part in parts.values()]
-    with_level = attach(
-        labelled.filter(F.col("phase").isNotNull()), features.select(*keys, *levels), keys
-    ).withColumn("level", by_phase(lambda part: F.col(part[2])))
+    level = [
+        F.struct(F.lit(name_of[part[2]]).alias("phase"), F.col(part[2]).alias("level"))
+        for part in parts.values()
+    ]
+    levels = features.select(*keys, *([last] if last else []), F.inline(F.array(*level)))
     half = smoothed_half_time(
-        with_level, "level", [*keys, "phase"], order=p.sg_order, length=p.sg_length
+        labelled.filter(F.col("phase").isNotNull()), levels, "level", [*keys, "phase"],
+        order=p.sg_order, length=p.sg_length, last=last,
     )
     wide = spread(half, keys, "phase", "t_half", list(parts))
-    return matched(features, wide, keys)
+    return matched(features, wide, keys).drop("_last")
 
 
 def summarise(
@@ -80,7 +83,8 @@ def summarise(
 ) -> DataFrame:
     """One row per sweep: features, tail normalisation, half-times, metadata."""
     physiological = flip(samples) if invert else samples
-    features = sweep_features(physiological, p, [*SWEEP_KEYS, *meta])
+    last = {"_last": F.max("sample_idx")}
+    features = sweep_features(physiological, p, [*SWEEP_KEYS, *meta], last)
     return half_times(physiological, write_table(features, "sweep-features").df, p)
 
 

@@ -89,3 +89,5 @@ class Protocol:
 
 CLASSIC = Protocol(probe=1.0)
 PREPULSE = Protocol(probe=0.65, has_prepulse=True)
+#: Relaxation fits read the step 0.2 s into the test pulse.
+RELAXATION = Protocol(probe=0.8)

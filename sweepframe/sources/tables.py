@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sweepframe.operators.keyed import matched
+from sweepframe.session import write_table as landed
 
 # Column names of the summary files and the names used here.
 SUMMARY_NAMES = {
@@ -37,19 +43,29 @@ SUMMARY_NAMES = {
     "tapp50.test": "tapp50_test",
     "tapp50.tail": "tapp50_tail",
 }
-_TEXT = ("id", "channel", "Pip", "file")
+_TEXT = ("id", "channel", "Pip", "file", "recording", "cond")
+
+
+#: Folder columns of written tables; the key itself stays a column of the data, because
+#: folder names lose its type.
+FOLDER, BUCKET = "_folder", "_bucket"
+#: Folders of a summary table.
+BUCKETS = 64
 
 
 def write_table(df: DataFrame, path: str, by: str | None = None, mode: str = "overwrite"):
-    """Write Parquet, one folder per value of ``by``.
+    """Write Parquet, one folder per value of ``by``, which must have few values.
 
-    Rebalancing joins small pieces and splits big ones, so a recording with few
-    rows is one file and a huge one is several. Only folders present in ``df``
-    are replaced: summarising new recordings leaves the others alone.
+    Rebalancing joins small pieces and splits big ones, so a value with few rows is
+    one file and a huge one is several. Only folders present in ``df`` are replaced.
     """
     if by is None:
         df.write.mode(mode).parquet(path)
         return
+    _write_folders(df.withColumn(FOLDER, F.col(by).cast("string")), path, FOLDER, mode)
+
+
+def _write_folders(df: DataFrame, path: str, by: str, mode: str) -> None:
     (
         df.hint("rebalance", by)
         .write.mode(mode)
@@ -60,35 +76,64 @@ def write_table(df: DataFrame, path: str, by: str | None = None, mode: str = "ov
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """A written table with the columns it was written from."""
+    return spark.read.parquet(path).drop(FOLDER, BUCKET)
+
 
+def write_summaries(
+    df: DataFrame, path: str, by: str = "recording", csv: bool = False, buckets: int = BUCKETS
+):
+    """Add summaries to a table; recordings that are in it already are replaced.
 
-def write_summaries(df: DataFrame, path: str, by: str = "recording", csv: bool = False):
-    """One summary folder per recording, Parquet or CSV with header, no row names."""
-    if not csv:
-        write_table(df, path, by)
+    Parquet has a fixed number of folders, so millions of recordings are not millions
+    of files: a folder that gets new recordings is written again with the others it
+    holds. The number of folders must not change between writes. Runs jobs.
+
+    CSV has a folder per recording with header and no row names, for exchange.
+    """
+    if csv:
+        (
+            df.withColumn(FOLDER, F.col(by).cast("string"))
+            .hint("rebalance", FOLDER)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .option("header", True)
+            .partitionBy(FOLDER)
+            .csv(path)
+        )
         return
-    (
-        df.hint("rebalance", by)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("header", True)
-        .partitionBy(by)
-        .csv(path)
-    )
+    new = df.withColumn(BUCKET, F.pmod(F.xxhash64(by), F.lit(buckets)).cast("int"))
+    spark = df.sparkSession
+    if _exists(spark, path):
+        new = landed(new, "new-summaries").df
+        touched = new.select(BUCKET).distinct()
+        old = spark.read.parquet(path)
+        old = old.join(F.broadcast(touched), BUCKET, "left_semi")
+        old = matched(old, new.select(by).distinct(), [by], "left_anti")
+        # the folders are read and replaced: go through the shared folder
+        new = landed(new.unionByName(old, allowMissingColumns=True), "summaries").df
+    _write_folders(new, path, BUCKET, "overwrite")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def read_summaries(
-    spark: SparkSession, path: str | list[str], header: list[str], glob: str = "*.csv"
+    spark: SparkSession, path: str | list[str], header: list[str], glob: str = "*.csv",
+    text: Sequence[str] = (),
 ) -> DataFrame:
     """All summary files as one table with known types.
 
+    Columns are numbers but for the metadata and those named in ``text``.
+
     ``header`` lists the columns of the files in order; an empty first name is
     the row-name column and is dropped. Dotted names become snake case.
     """
     kinds = []
     for k, name in enumerate(header):
-        kind = "int" if name == "sweep" else "string" if name in _TEXT else "double"
+        kind = "int" if name == "sweep" else "string" if name in (*_TEXT, *text) else "double"
         kinds.append(f"`{name or '_row'}` {'string' if k == 0 and not name else kind}")
     raw = (
         spark.read.option("header", True)
@@ -98,5 +143,5 @@ def read_summaries(
         .schema(", ".join(kinds))
         .csv(path)
     )
-    kept = [c for c in raw.columns if c != "_row"]
+    kept = [c for c in raw.columns if c not in ("_row", FOLDER)]
     return raw.select(*[raw[f"`{c}`"].alias(SUMMARY_NAMES.get(c, c)) for c in kept])

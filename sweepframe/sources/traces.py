@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fnmatch import fnmatch
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -83,6 +84,13 @@ def parse_sample(line: Column) -> list[Column]:
     ]
 
 
+def _folders(path: str | list[str], glob: str) -> int:
+    """Number of folders named by the paths of folders and files."""
+    paths = [path] if isinstance(path, str) else path
+    parts = [p.rstrip("/").rpartition("/") for p in paths]
+    return len({a if fnmatch(name, glob) else f"{a}/{name}" for a, _, name in parts})
+
+
 def read_traces(
     spark: SparkSession,
     path: str | list[str],
@@ -101,6 +109,9 @@ def read_traces(
 
     A recording whose length is not a multiple of ``n_per_sweep`` stops the job
     when ``strict``; otherwise its last rows have ``complete = false``.
+
+    A recording is named by its file, and by its whole path when more than one folder
+    is read. Runs a job that counts the lines, and fixes the session's file splits.
     """
     fix_splits(spark)
     lines = (
@@ -117,10 +128,10 @@ def read_traces(
         .withColumn("_row", F.monotonically_increasing_id())
     )
     # one row per file split; a file has as many as its bytes / split size
-    in_file = W.partitionBy("_path")
+    in_file, of_name = W.partitionBy("_path"), W.partitionBy("_name")
     ordered = in_file.orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
     splits = (
-        lines.groupBy("_path", "_start")
+        lines.groupBy("_path", "_name", "_start")
         .agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_lines"))
         .withColumns(
             {
@@ -129,6 +140,12 @@ def read_traces(
             }
         )
     )
+    by_path = recursive or _folders(path, glob) > 1
+    if not by_path:
+        # a pattern in the path may reach into several folders
+        shared = F.min("_path").over(of_name) != F.max("_path").over(of_name)
+        splits = splits.withColumn("_shared", shared)
+    splits = splits.drop("_name")
     placed = attach(lines, splits, ["_path", "_start"])
     local = F.col("_row") - F.col("_first")
     ragged = F.col("n_samples") % n_per_sweep != 0
@@ -146,7 +163,14 @@ def read_traces(
                 F.concat(F.lit("incomplete last sweep: "), F.col("_path"))
             ).cast("long"),
         ).otherwise(pos)
-    recording = decoded(F.col("_path" if recursive else "_name"))
+    if not by_path:
+        pos = F.when(
+            F.col("_shared"),
+            F.raise_error(
+                F.concat(F.lit("files of several folders share the name "), F.col("_name"))
+            ).cast("long"),
+        ).otherwise(pos)
+    recording = decoded(F.col("_path" if by_path else "_name"))
     name = decoded(F.col("_name"))
     samples = placed.select(
         recording.alias("recording"),

@@ -26,12 +26,13 @@ def samples(spark):
         2: biexp(a1=0.5, l1=5.3, a2=0.45, l2=1.8, c=0.02),
         3: biexp(noise=0.01, seed=4),
         4: (np.zeros(3), np.ones(3)),
-    }).cache()
+        5: (np.linspace(0, 0.1, 4), np.full(4, np.nan)),
+    }).withColumn("i_norm", F.nanvl("i_norm", F.lit(None))).cache()
 
 
 def check(fits):
     got = {r.sweep: r for r in fits.collect()}
-    assert set(got) == {1, 2, 3, 4}
+    assert set(got) == {1, 2, 3, 4, 5}
     truth = {1: (0.65, 5.0, 0.35, 2.0, 0.0), 2: (0.5, 5.3, 0.45, 1.8, 0.02)}
     for k, want in truth.items():
         assert got[k].status == "converged" and got[k].is_conv
@@ -40,6 +41,7 @@ def check(fits):
     assert got[3].sigma == pytest.approx(0.01, rel=0.1)
     assert got[3].df_residual == 2995
     assert got[4].status == "failed" and got[4].A1 is None and got[4].error
+    assert got[5].status == "failed" and got[5].n == 0 and got[5].error == "no values"
     return got
 
 
@@ -48,23 +50,86 @@ def test_recovers_parameters_in_one_grouped_pass(samples):
 
 
 def test_recovers_parameters_without_gathering_a_sweep(samples, tight_limits):
-    check(expfit.refine_fit(samples, KEYS, starts=2, max_passes=30))
+    check(expfit.refine_fit(samples, KEYS, max_passes=30))
 
 
 def test_mixed_lengths(spark, samples):
     from sweepframe.session import GROUP_ROWS
 
-    more = samples.unionByName(frame(spark, {5: biexp(n=400)}))
+    more = samples.unionByName(frame(spark, {6: biexp(n=400)}))
     spark.conf.set(GROUP_ROWS[0], "1000")
     try:
-        got = {r.sweep: r for r in expfit.refine_fit(more, KEYS, starts=1, max_passes=30).collect()}
+        got = {r.sweep: r for r in expfit.refine_fit(more, KEYS, max_passes=30).collect()}
     finally:
         spark.conf.unset(GROUP_ROWS[0])
-    assert sorted(got) == [1, 2, 3, 4, 5]
-    assert got[5].A1 == pytest.approx(0.65, abs=1e-5)
+    assert sorted(got) == [1, 2, 3, 4, 5, 6]
+    assert got[6].A1 == pytest.approx(0.65, abs=1e-5)
     assert got[1].lrc2 == pytest.approx(2.0, abs=1e-6)
 
 
+def test_both_solvers_agree(spark):
+    """On noisy traces: same parameters, residuals, status and number of passes."""
+    from sweepframe.session import GROUP_ROWS
+
+    noisy = frame(spark, {k: biexp(n=120, noise=0.05, seed=k) for k in range(1, 5)}).cache()
+    one = {r.sweep: r for r in expfit.refine_fit(noisy, KEYS, max_passes=9).collect()}
+    spark.conf.set(GROUP_ROWS[0], "5")
+    try:
+        other = {r.sweep: r for r in expfit.refine_fit(noisy, KEYS, max_passes=9).collect()}
+    finally:
+        spark.conf.unset(GROUP_ROWS[0])
+    for k, r in one.items():
+        assert (r.status, r.passes) == (other[k].status, other[k].passes)
+        assert r.sse == pytest.approx(other[k].sse, rel=1e-9)
+        assert [r[x] for x in expfit.TERMS] == pytest.approx([other[k][x] for x in expfit.TERMS], rel=1e-5, abs=1e-7)
+
+
+def test_more_starts_never_fit_worse(samples):
+    """All grid points are refined: no better residual is left from any of them."""
+    got = {r.sweep: r.sse for r in expfit.refine_fit(samples, KEYS).collect()}
+    t, y = biexp(noise=0.01, seed=4)
+    for lrc1 in expfit.LRC1_GRID:
+        for lrc2 in expfit.LRC2_GRID:
+            x = np.column_stack([np.exp(-np.exp(lrc1) * t), np.exp(-np.exp(lrc2) * t), np.ones_like(t)])
+            a1, a2, c = np.linalg.lstsq(x, y, rcond=None)[0]
+            s = expfit.fresh_state(np.array([[a1, lrc1, a2, lrc2, c]]))
+            with np.errstate(all="ignore"):
+                while len(k := expfit.running_rows(s)):
+                    expfit.advance(s, k, *expfit.normal_sums(t[None], y[None], s["trial"][k]), 100)
+            assert got[3] <= s["sse"][0] * (1 + 1e-9)
+
+
+def test_limits_are_numbers_or_null(spark):
+    terms = spark.createDataFrame(
+        [("r", 1, "lrc1", 5.0, -900.0, 910.0), ("r", 1, "lrc2", 2.0, 1.5, 2.5)],
+        "recording string, sweep int, term string, estimate double, conf_lo double, conf_hi double",
+    )
+    got = {r.term: r for r in expfit.time_constants(terms, KEYS).collect()}
+    assert got["lrc1"].conf_hi is None and got["lrc1"].conf_lo == 0
+    assert got["lrc2"].conf_lo == pytest.approx(np.exp(-2.5)) and got["lrc2"].conf_hi == pytest.approx(np.exp(-1.5))
+
+
+def test_t_functions_travel_after_use(spark):
+    """A call on the driver must not change what is sent to the tasks."""
+    import sweepframe
+    from pyspark import cloudpickle
+
+    from sweepframe.functions.student import t_p_value, t_quantile, two_sided
+
+    two_sided(np.array([1.0]), np.array([5.0]))
+    cloudpickle.register_pickle_by_value(sweepframe)
+    try:
+        df = spark.range(1, 2001).select(
+            t_p_value(F.lit(2.0), F.col("id").cast("double")).alias("p"),
+            t_quantile(F.lit(0.975), F.col("id").cast("double")).alias("q"),
+        )
+        rows = df.collect()
+    finally:
+        cloudpickle.unregister_pickle_by_value(sweepframe)
+    assert rows[9].p == pytest.approx(0.0733880348, abs=1e-9)
+    assert rows[9].q == pytest.approx(2.2281388520, abs=1e-8)
+
+
 def test_grid_is_brute_force_best(samples):
     got = {r.sweep: r for r in expfit.grid_fit(samples, KEYS).collect()}
     t, y = biexp(a1=0.5, l1=5.3, a2=0.45, l2=1.8, c=0.02)

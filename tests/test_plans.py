@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sweepframe.operators import features as feat
 from sweepframe.operators.normalise import phase_norm, tail_phase_norm
 from sweepframe.plans import plots, ramp, relax, steps
+from sweepframe.sources.tables import read_summaries, read_table
 from sweepframe.sources.traces import read_traces
 from sweepframe.streaming.landing import summarise_new_files
 from tests.synthetic import DT, N, protocol, recording
@@ -14,7 +15,7 @@ from tests.synthetic import DT, N, protocol, recording
 META = ["id", "channel", "Pip", "file"]
 
 
-def with_meta(pdf, id_, channel="Trek2b-FL", pip="5K-Na", file="baseline.001.txt"):
+def with_meta(pdf, id_, channel="Chan7x", pip="5K-Na", file="baseline.001.txt"):
     return pdf.assign(id=id_, channel=channel, Pip=pip, file=file)
 
 
@@ -143,7 +144,7 @@ def ramp_samples(spark):
             g = 1.5 if cond == "baseline" else 0.15
             for sweep in (1, 2):
                 parts.append(pd.DataFrame({
-                    "recording": f"{id_}-{cond}", "id": id_, "channel": "Trek2b-FL",
+                    "recording": f"{id_}-{cond}", "id": id_, "channel": "Chan7x",
                     "Pip": "5K-Na", "file": f"{cond}.001.txt", "sweep": sweep,
                     "sample_idx": np.arange(len(t)), "t": t,
                     "i": -(g * (v - 6.8 + 60) + (0.5 if sweep == 1 else -0.5)), "v": -v,
@@ -166,13 +167,13 @@ def test_ramp_analysis(spark):
     assert quality["a"].block == pytest.approx(90) and quality["b"].block is None
     curve = out.by_channel.filter("cond = 'baseline'").first()
     assert curve.n == 2 and curve.i_lo == pytest.approx(curve.i_avg)
-    assert ramp.pairs_per_group(out.quality, "Trek2b-FL").first().n == 1
+    assert ramp.pairs_per_group(out.quality, "Chan7x").first().n == 1
     assert [r.id for r in ramp.complete_ids(out.quality).collect()] == ["a"]
-    assert ramp.quality_scatter(out.quality, "Trek2b-FL").count() == 1
-    assert plots.cohort_iv(out.by_channel, "Trek2b-FL").count() == 2 * 499
+    assert ramp.quality_scatter(out.quality, "Chan7x").count() == 1
+    assert plots.cohort_iv(out.by_channel, "Chan7x").count() == 2 * 499
     near = plots.cohort_iv_near_zero(out.by_channel, -20.0, 50.0)
     assert 0 < near.count() < 2 * 499
-    box = plots.recording_box(out.quality, "Trek2b-FL", "block").first()
+    box = plots.recording_box(out.quality, "Chan7x", "block").first()
     assert box.median == pytest.approx(90)
 
 
@@ -201,7 +202,7 @@ def relaxing_recording(spark):
 def test_relaxation_fits(spark):
     p = protocol(probe=0.8)
     samples = relaxing_recording(spark)
-    fits = relax.fit(relax.test_pulse(samples, p))
+    fits = relax.fit(relax.test_pulse(samples, p, invert=False))
     speed = {(r.sweep, r.speed): r for r in fits.by_component.collect()}
     assert {k[0] for k in speed} == {1, 3}  # steps below -20 mV
     assert speed[1, "fast"].tau == pytest.approx(np.exp(-5), rel=1e-4)
@@ -210,7 +211,7 @@ def test_relaxation_fits(spark):
     assert fits.component_curves().count() == 4 * 7001
     taus = fits.taus.filter("sweep = 1").toPandas()
     assert (taus["conf_lo"].astype(float) <= taus["tau"]).all()
-    tails = relax.fit(relax.tail(samples, p))
+    tails = relax.fit(relax.tail(samples, p, invert=False))
     parts = {(r.sweep, r.speed): r for r in tails.by_component.collect()}
     assert {k[0] for k in parts} == {2}
     assert parts[2, "slow"].tau == pytest.approx(np.exp(-2.2), rel=1e-4)
@@ -218,6 +219,53 @@ def test_relaxation_fits(spark):
     assert overlay.count() == 6
 
 
+def test_relaxation_from_recorded_text(spark, tmp_path):
+    """Files hold the sign of the recording; both plans turn it before they choose."""
+    folder = tmp_path / "in"
+    write_trace(folder, "007 ch 5K-Na one.001.txt", relaxing_recording(spark).toPandas())
+    p = protocol(probe=0.8)
+    samples = read_traces(spark, str(folder), N)
+    fits = relax.fit(relax.test_pulse(samples, p))
+    speed = {(r.sweep, r.speed): r.tau for r in fits.by_component.collect()}
+    assert {k[0] for k in speed} == {1, 3}
+    assert speed[1, "fast"] == pytest.approx(np.exp(-5), rel=1e-3)
+    tails = relax.fit(relax.tail(samples, p))
+    parts = {(r.sweep, r.speed): r.tau for r in tails.by_component.collect()}
+    assert {k[0] for k in parts} == {2}
+    assert parts[2, "slow"] == pytest.approx(np.exp(-2.2), rel=1e-3)
+    meta = samples.select("recording", *META).distinct()
+    for csv in (False, True):
+        out = str(tmp_path / f"fits{csv}")
+        tails.write(out, meta, csv=csv)
+        tails.write(out, meta, csv=csv)
+        if csv:
+            header = tails.tables(meta)["by_component"].columns
+            back = read_summaries(spark, f"{out}/by_component", header, text=["speed"])
+        else:
+            back = read_table(spark, f"{out}/by_component")
+            assert read_table(spark, f"{out}/glance").count() == 1
+            assert read_table(spark, f"{out}/estimates").count() == 5
+        rows = back.collect()
+        assert {(r.id, r.speed) for r in rows} == {("007", "fast"), ("007", "slow")}
+
+
+def test_ramp_reads_samples_once(spark):
+    """The samples are behind the written averages: no later table goes back to them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    samples = ramp_samples(spark)
+    counted = samples.mapInPandas(count, samples.schema)
+    out = ramp.analyse(counted)
+    for df in (out.by_id, out.by_channel, out.measures, out.quality):
+        df.collect()
+    assert seen.value == samples.count()
+
+
 def test_smoothed_trace_table(spark, two_recordings):
     df, _ = two_recordings
     p = protocol()
@@ -249,12 +297,12 @@ def test_new_files_are_summarised_once(spark, tmp_path):
         )
 
     run()
-    first = spark.read.parquet(out).toPandas()
+    first = read_table(spark, out).toPandas()
     assert len(first) == 2 and set(first["id"]) == {"c1"}
     assert sorted(first["v_pulse"]) == [-120, 60]
     write_trace(folder, "c2 ch 5K-Na two.001.txt", recording("x", (0.0, 20.0, 40.0)))
     run()
-    assert spark.read.parquet(out).groupBy("id").count().orderBy("id").collect()[1]["count"] == 3
+    assert read_table(spark, out).groupBy("id").count().orderBy("id").collect()[1]["count"] == 3
 
 
 def test_files_to_half_times(spark, tmp_path):

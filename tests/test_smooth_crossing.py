@@ -89,6 +89,18 @@ def test_crossing_rules(spark, block):
     assert got == {("a", 1): 1, ("a", 3): 0, ("b", 1): 8}
 
 
+def levels(df):
+    return df.select("recording", "sweep", "thresh").distinct()
+
+
+def test_samples_are_shuffled_once(spark, tight_limits):
+    df = frame(spark, {("a", 1): np.linspace(0, 1, 200)}, {"thresh": 0.5})
+    known = levels(df).withColumn("last", F.lit(199))
+    out = smoothed_half_time(df, known, "thresh", last="last")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
+
+
 @pytest.mark.parametrize("block", [101, 128, 16_384])
 def test_fused_half_time_equals_two_steps(spark, block):
     rng = np.random.default_rng(5)
@@ -96,7 +108,7 @@ def test_fused_half_time_equals_two_steps(spark, block):
     sweeps = {("a", k): 1 - np.exp(-t / (40 * k)) + rng.normal(0, 0.05, 700) for k in (1, 2, 3)}
     df = frame(spark, sweeps, {"thresh": 0.5})
     two = first_crossing(savgol(df), "i_smooth", "thresh").toPandas()
-    one = smoothed_half_time(df, "thresh", block=block).toPandas()
+    one = smoothed_half_time(df, levels(df), "thresh", block=block).toPandas()
     key = ["recording", "sweep"]
     pd.testing.assert_frame_equal(
         one.sort_values(key, ignore_index=True), two.sort_values(key, ignore_index=True)
@@ -108,4 +120,4 @@ def test_null_threshold_gives_no_row(spark):
     df = frame(spark, {("a", 1): np.linspace(0, 1, 200)})
     df = df.withColumn("thresh", F.lit(None).cast("double"))
     assert first_crossing(df, "i", "thresh").count() == 0
-    assert smoothed_half_time(df, "thresh").count() == 0
+    assert smoothed_half_time(df, levels(df), "thresh").count() == 0

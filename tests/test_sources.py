@@ -121,14 +121,47 @@ def test_summary_csv_with_row_names(spark, tmp_path):
 def test_summaries_of_one_recording_are_replaced_alone(spark, tmp_path, csv):
     path = str(tmp_path / "out")
     schema = "recording string, sweep int, i_ss double"
-    first = spark.createDataFrame([("a", 1, 1.0), ("b", 1, 2.0)], schema)
+    first = spark.createDataFrame([("007", 1, 1.0), ("b", 1, 2.0)], schema)
     tables.write_summaries(first, path, csv=csv)
     tables.write_summaries(spark.createDataFrame([("b", 1, 5.0)], schema), path, csv=csv)
     if csv:
-        back = tables.read_summaries(spark, path, ["sweep", "i_ss"])
+        back = tables.read_summaries(spark, path, ["recording", "sweep", "i_ss"])
     else:
         back = tables.read_table(spark, path)
-    assert {(r.recording, r.i_ss) for r in back.collect()} == {("a", 1.0), ("b", 5.0)}
+    assert {(r.recording, r.i_ss) for r in back.collect()} == {("007", 1.0), ("b", 5.0)}
+    assert back.schema["recording"].dataType.simpleString() == "string"
+
+
+def test_summaries_share_folders(spark, tmp_path):
+    """Recordings in the same folder as a replaced one stay as they are."""
+    path = str(tmp_path / "out")
+    schema = "recording string, sweep int, i_ss double"
+    rows = [(f"{k:03d}", s, float(k)) for k in range(40) for s in (1, 2)]
+    tables.write_summaries(spark.createDataFrame(rows, schema), path, buckets=3)
+    new = [("005", 1, -1.0), ("100", 1, 100.0)]
+    tables.write_summaries(spark.createDataFrame(new, schema), path, buckets=3)
+    got = sorted((r.recording, r.sweep, r.i_ss) for r in tables.read_table(spark, path).collect())
+    assert got == sorted([r for r in rows if r[0] != "005"] + new)
+    assert len(list((tmp_path / "out").glob("_bucket=*"))) <= 3
+
+
+def test_partitioned_table_keeps_text_keys(spark, tmp_path):
+    df = spark.createDataFrame([("007", 1), ("7", 2), (None, 3)], "k string, v int")
+    tables.write_table(df, str(tmp_path / "t"), "k")
+    back = tables.read_table(spark, str(tmp_path / "t"))
+    assert {tuple(r) for r in back.collect()} == {tuple(r) for r in df.collect()}
+
+
+def test_equal_names_in_two_folders_are_two_recordings(spark, tmp_path):
+    for folder in ("x", "y"):
+        write_file(tmp_path / folder, "a c p f.txt", 10)
+    got = read_traces(spark, [str(tmp_path / "x"), str(tmp_path / "y")], 5)
+    assert got.select("recording").distinct().count() == 2
+    assert got.groupBy("recording").count().collect()[0]["count"] == 10
+    files = [str(tmp_path / f / "a c p f.txt") for f in ("x", "y")]
+    assert read_traces(spark, files, 5).select("recording").distinct().count() == 2
+    with pytest.raises(SparkRuntimeException, match="share the name"):
+        read_traces(spark, str(tmp_path / "*"), 5).collect()
 
 
 def test_acquisition_block(spark):
