@@ -7,8 +7,10 @@ neighbouring names are paired and the distinct pairs sorted and named, until eac
 document has one name. Names come from whole contents, not from hashes, so equal
 names mean equal texts.
 
-Every naming is a grouping (partial sums make hot blocks small) and a range sort, so
-no group meets in one task; hot names are only joined to, which adaptive joins split.
+Every naming is a grouping, in which partial sums make hot blocks small, and a sort of
+what each task has left; a name is the task's number and the place in its order. Hot names
+are only joined to, which adaptive joins split. Texts are joined by shuffles at every size,
+because the keys of shared texts grow with the corpus.
 
 Defined results: a NULL text is empty; of equal texts the smallest id stays, NULL
 ids last; of rows that share the id as well one stays; empty tables give empty
@@ -34,9 +36,10 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _named(distinct: DataFrame, columns: list[str]) -> DataFrame:
-    """Distinct rows with an integer ``name`` each, by their place in sorted order."""
-    ordered = distinct.repartitionByRange(*columns).sortWithinPartitions(*columns)
+def _named(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The distinct values of some columns, sorted, with an integer ``name`` each."""
+    distinct = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("seen")).drop("seen")
+    ordered = distinct.sortWithinPartitions(*columns)
     return write_table(ordered.withColumn("name", F.monotonically_increasing_id()), "names").df
 
 
@@ -47,8 +50,8 @@ def _identities(texts: DataFrame, block: int) -> DataFrame:
     cut = F.when(F.col("norm") == "", F.array(F.lit(""))).otherwise(cut)
     blocks = texts.select("row", cut.alias("blocks"))
     blocks = blocks.select("row", F.size("blocks").alias("n"), F.posexplode("blocks").alias("i", "block"))
-    names = _named(blocks.groupBy("block").agg(F.count(F.lit(1)).alias("seen")).drop("seen"), ["block"])
-    line = write_table(blocks.join(names, "block").select("row", "n", "i", "name"), "line").df
+    names = _named(blocks, ["block"])
+    line = write_table(blocks.join(names.hint("merge"), "block").select("row", "n", "i", "name"), "line").df
     done, round_ = [], 0
     while True:
         done.append(line.where("n = 1").select("row", F.lit(round_).alias("round"), "name"))
@@ -64,7 +67,7 @@ def _identities(texts: DataFrame, block: int) -> DataFrame:
             F.coalesce(F.max(F.when(side == 1, F.col("name"))), F.lit(-1)).alias("b"),
         )
         pairs = write_table(pairs, "pairs").df
-        names = _named(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("seen")).drop("seen"), ["a", "b"])
+        names = _named(pairs, ["a", "b"])
         line = write_table(
             pairs.join(names, ["a", "b"]).select("row", "n", F.col("half").alias("i"), "name"), "line"
         ).df
@@ -100,7 +103,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
     keyed = keyed.select(F.col("doc.id").alias("id"), "norm", "length", "head")
     hashed = keyed.withColumn("text_sha256", F.sha2("norm", 256))
     light = write_table(hashed.drop("norm"), "light").df
-    shared = _shared(light)
+    shared = _shared(light).hint("merge")
     alone = light.join(shared, ["length", "head"], "left_anti").select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
@@ -113,10 +116,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
 def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they are. Runs jobs."""
     keyed = _with_keys(docs, text_col)
-    shared = _shared(keyed)
+    shared = _shared(keyed).hint("merge")
     alone = keyed.join(shared, ["length", "head"], "left_anti").select("doc.*")
     rows = keyed.join(shared, ["length", "head"], "left_semi").select("doc", "norm")
     rows = write_table(rows.withColumn("row", F.monotonically_increasing_id()), "candidates").df
     found = _grouped(rows.select("row", F.col(f"doc.{id_col}").alias("id"), "norm"), block)
-    kept = rows.join(found.where("kept").select("row"), "row", "left_semi").select("doc.*")
+    kept = rows.join(found.where("kept").select("row").hint("merge"), "row", "left_semi").select("doc.*")
     return alone.unionByName(kept)
