@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 from checks.queries import LRC1, LRC2, MEASURE_CODE, REGION_OFFSET
-from sweepframe.operators.smooth import projection
 
 TRACE = """
 ev AS (
@@ -131,10 +131,23 @@ tr AS (
 
 
 def _weights() -> str:
-    """Smoothing weights (window row, offset in the window) as a literal table."""
-    proj = projection(3, 11)
+    """Smoothing weights (window row, offset in the window) as a literal table.
+
+    Cubic through 11 equidistant points, exactly, from the orthogonal polynomials of
+    -5 .. 5: each is x times the last minus a multiple of the one before.
+    """
+    x = [Fraction(k) for k in range(-5, 6)]
+    polynomials = [[Fraction(1)] * 11, x]
+    for _ in range(2):
+        a, b = polynomials[-2:]
+        back = sum(u * u for u in b) / sum(u * u for u in a)
+        polynomials.append([u * w - back * v for u, w, v in zip(x, b, a)])
+
+    def weight(r: int, k: int) -> float:
+        return float(sum(p[r] * p[k] / sum(u * u for u in p) for p in polynomials))
+
     return ", ".join(
-        f"({r}, {k}, {float(proj[r, k])!r}::DOUBLE)" for r in range(11) for k in range(11)
+        f"({r}, {k}, {weight(r, k)!r}::DOUBLE)" for r in range(11) for k in range(11)
     )
 
 
@@ -233,7 +246,72 @@ _sse_var = "sse / nullif(greatest(n - 3, 0), 0)"
 _sst = "(syy - sy*sy/n)"
 _loglik = f"(-n / 2.0 * ({math.log(2 * math.pi)!r} + ln(nullif(sse, 0) / n) + 1))"
 
+KNOWN = """
+k AS (
+  SELECT vec_id, vec_id % 50 = 0 AS empty,
+         0.6 + least(greatest(round(embedding[1]::DOUBLE * 100) / 1000, -0.3), 0.3) AS a1,
+         4.4 + vec_id % 7 / 10.0::DOUBLE AS l1,
+         0.4 + least(greatest(round(embedding[2]::DOUBLE * 100) / 1000, -0.3), 0.3) AS a2,
+         1.6 + vec_id % 9 / 10.0::DOUBLE AS l2,
+         0.05 + vec_id % 5 / 100.0::DOUBLE AS c
+  FROM embeddings
+),
+terms AS (
+  SELECT vec_id, empty, unnest(['A1', 'lrc1', 'A2', 'lrc2', 'C']) AS term,
+         unnest([a1, l1, a2, l2, c]) AS value
+  FROM k
+)"""
+
+
+def _known(name: str, digits: int = 6) -> str:
+    return f"CASE WHEN NOT empty THEN round({name}, {digits}) + 0.0 END"
+
+
 ORACLE: dict[str, str] = {
+    "q_biexp_refine": f"""WITH {KNOWN}
+        SELECT vec_id, CASE WHEN empty THEN 0 ELSE 300 END::BIGINT AS n, empty AS failed,
+               CASE WHEN empty THEN 'no values' END AS error, {_known('a1')} AS "A1",
+               {_known('l1')} AS lrc1, {_known('a2')} AS "A2", {_known('l2')} AS lrc2,
+               {_known('c')} AS "C", CASE WHEN empty THEN -5 ELSE 295 END::BIGINT AS df_residual
+        FROM k""",
+    "q_refine_terms": f"""WITH {KNOWN}
+        SELECT vec_id, term, {_known('value')} AS estimate, {_known('0.0')} AS std_error,
+               {_known('0.0')} AS p_value, {_known('value', 4)} AS conf_lo,
+               {_known('value', 4)} AS conf_hi,
+               CASE WHEN empty THEN -5 ELSE 295 END::DOUBLE AS df_residual
+        FROM terms""",
+    "q_refine_taus": f"""WITH {KNOWN}
+        SELECT vec_id, {_known('exp(-value)', 5)} AS tau, term, {_known('exp(-value)', 5)} AS conf_lo,
+               {_known('exp(-value)', 5)} AS conf_hi,
+               CASE WHEN term = 'lrc1' THEN 'fast' ELSE 'slow' END AS component
+        FROM terms WHERE term LIKE 'lrc%'""",
+    "q_refine_noise": """
+        SELECT vec_id, len(embedding)::BIGINT AS n, true AS no_worse, true AS flat FROM embeddings""",
+    "q_extremal_tail": f"""WITH {SWEPT},
+        f AS (
+          SELECT user_id AS recording, sweep, max(round(i / 2000)) FILTER (sample_idx = 2) AS v_pulse,
+                 sum(i) FILTER (sample_idx < 4) AS i_tail, sum(i) FILTER (sample_idx >= 4) AS i_tail_ss
+          FROM sw GROUP BY 1, 2
+        ),
+        e AS (
+          SELECT recording, arg_max(i_tail, (v_pulse, sweep)) AS peak,
+                 arg_min(i_tail_ss, (v_pulse, sweep)) AS low
+          FROM (SELECT recording, sweep, v_pulse, coalesce(i_tail, 'nan') AS i_tail,
+                       coalesce(i_tail_ss, 'nan') AS i_tail_ss FROM f WHERE v_pulse IS NOT NULL)
+          GROUP BY recording
+        ),
+        n AS (SELECT recording, CASE WHEN NOT isnan(peak) THEN peak END AS peak,
+                     CASE WHEN NOT isnan(low) THEN low END AS low FROM e)
+        SELECT recording, sweep, v_pulse, i_tail, i_tail_ss, {r('low', 8, 'i_tail_ss_full')},
+               {r('i_tail / nullif(peak, 0)', 8, 'norm_tail')}, {r('i_tail - low', 8, 'td_tail')},
+               {r('(i_tail + low) / 2', 8, 'thresh_tail')}
+        FROM f LEFT JOIN n USING (recording)""",
+    "q_probe_beside": f"""WITH {SWEPT}
+        SELECT user_id, sweep, max(i) FILTER (sample_idx = 8) AS near_8,
+               max(i) FILTER (sample_idx = 9) AS near_9,
+               coalesce(max(i) FILTER (sample_idx = 8), max(i) FILTER (sample_idx = 9)) AS earlier,
+               NULL::DOUBLE AS out_of_reach
+        FROM sw GROUP BY user_id, sweep""",
     "q_half_time": f"WITH {LEVEL} SELECT user_id, t_half FROM half",
     "q_sweep_number": f"""WITH {TRACE},
         tot AS (SELECT user_id, count(*) AS total FROM ev GROUP BY user_id)
@@ -414,6 +492,49 @@ ORACLE: dict[str, str] = {
         SELECT id, flag, term, {rs(4, 'estimate', 'std_error')},
                {r('estimate / nullif(std_error, 0)', 4, 'statistic')}
         FROM t""",
+    "q_quad_p_values": f"""WITH {FITS},
+        v AS (
+          SELECT *, {_sse_var} AS s2e, k00/det + v_crit**2*k11/det + v_crit**4*k22/det
+                 - 2*v_crit*k01/det + 2*v_crit**2*k02/det - 2*v_crit**3*k12/det AS v0,
+                 k11/det - 4*v_crit*k12/det + 4*v_crit**2*k22/det AS v1, k22/det AS v2
+          FROM fit
+        ),
+        t AS (
+          SELECT id, flag, n, '(Intercept)' AS term, b0 AS estimate,
+                 sqrt(CASE WHEN s2e*v0 < 0 THEN 0 ELSE s2e*v0 END) AS std_error FROM v
+          UNION ALL
+          SELECT id, flag, n, 'v', b1, sqrt(CASE WHEN s2e*v1 < 0 THEN 0 ELSE s2e*v1 END) FROM v
+          UNION ALL
+          SELECT id, flag, n, 'v^2', b2, sqrt(CASE WHEN s2e*v2 < 0 THEN 0 ELSE s2e*v2 END) FROM v
+        ),
+        s AS (
+          SELECT id, flag, term, (n - 3)::BIGINT AS df, estimate, std_error,
+                 estimate / nullif(std_error, 0) AS statistic
+          FROM t
+        ),
+        -- the finite series of the t distribution for whole degrees of freedom
+        a AS (
+          SELECT *, atan(abs(statistic) / sqrt(df)) AS angle,
+                 unnest(range(greatest((df - df % 2) // 2, 1))) AS j
+          FROM s WHERE df > 0 AND statistic IS NOT NULL
+        ),
+        terms AS (
+          SELECT *, coalesce(exp(sum(CASE WHEN j = 0 THEN 0 WHEN df % 2 = 1 THEN ln(2.0*j / (2*j + 1))
+                                          ELSE ln((2.0*j - 1) / (2*j)) END)
+                    OVER (PARTITION BY id, flag, term ORDER BY j)), 1)
+                    * pow(cos(angle), 2*j + df % 2) AS part
+          FROM a
+        ),
+        inside AS (
+          SELECT id, flag, term,
+                 CASE WHEN any_value(df) % 2 = 0 THEN sin(any_value(angle)) * sum(part)
+                      WHEN any_value(df) = 1 THEN 2 / pi() * any_value(angle)
+                      ELSE 2 / pi() * (any_value(angle) + sin(any_value(angle)) * sum(part)) END AS p_in
+          FROM terms GROUP BY id, flag, term
+        )
+        SELECT id, flag, term, df::DOUBLE AS df_residual, {rs(6, 'estimate', 'std_error', 'statistic')},
+               {r('1 - p_in', 6, 'p_value')}
+        FROM s LEFT JOIN inside USING (id, flag, term)""",
     "q_quad_curve": f"""WITH {FITS},
         g AS (SELECT unnest(range(-25, 26))::DOUBLE AS v)
         SELECT id, flag, v, {r('b0 + b1*v + b2*v*v', 3, 'fitted')} FROM fit, g""",

@@ -12,6 +12,7 @@ Stand-ins for recordings:
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from math import inf
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,7 @@ from sweepframe.functions.scalars import (
     ratio,
     step_grid,
     tokens,
+    two_exp,
     underscored,
 )
 from sweepframe.operators import cohort, expfit, polyfit, reshape
@@ -38,7 +40,7 @@ from sweepframe.operators.annotate import (
     number_sweeps,
 )
 from sweepframe.operators.crossing import first_crossing, smoothed_half_time
-from sweepframe.operators.features import derive, mean_where, window_means
+from sweepframe.operators.features import derive, mean_where, tail_norm, window_means
 from sweepframe.operators.keyed import attach, attach_aggregates, positions
 from sweepframe.operators.normalise import (
     flag_pairs,
@@ -68,7 +70,7 @@ TRACE_WINDOWS = {
 FIRST3, LAST3 = Window(-1, 3), Window(12, 16)
 LRC1, LRC2 = (4.0, 5.0, 6.0), (1.5, 2.0, 2.5)
 # Offsets per region; one region has none on purpose.
-REGION_OFFSET = {"AFRICA": -6.8, "AMERICA": -9.8, "ASIA": -2.9, "EUROPE": -5.9}
+REGION_OFFSET = {"AFRICA": -1.5, "AMERICA": -12.25, "ASIA": -4.5, "EUROPE": -7.75}
 MEASURE_CODE = {"l_quantity": 3.0, "l_discount": 50.0}
 
 
@@ -575,16 +577,98 @@ def component_curves(spark, sf):
     return rounded(out, 5, "t", "fitted")
 
 
+def known_trace(spark, sf) -> DataFrame:
+    """Noiseless relaxations whose parameters come from the table; every fiftieth trace
+    has no values."""
+    vec = F.col("vec_id")
+
+    def amplitude(k: int, middle: float) -> Column:
+        off = F.round(F.get("embedding", F.lit(k)).cast("double") * 100) / 1000
+        return middle + F.least(F.greatest(off, F.lit(-0.3)), F.lit(0.3))
+
+    truth = table(spark, sf, "embeddings").select(
+        "vec_id", amplitude(0, 0.6).alias("a1"), (4.4 + F.pmod(vec, F.lit(7)) / 10).alias("l1"),
+        amplitude(1, 0.4).alias("a2"), (1.6 + F.pmod(vec, F.lit(9)) / 10).alias("l2"),
+        (0.05 + F.pmod(vec, F.lit(5)) / 100).alias("c"),
+    )
+    return truth.select("*", F.explode(step_grid(0, 299, 0.002)).alias("t_fit")).select(
+        "vec_id", "t_fit",
+        F.when(vec % 50 != 0, two_exp("t_fit", "a1", "l1", "a2", "l2", "c")).alias("i_norm"),
+    )
+
+
+def _known_fits(spark, sf) -> DataFrame:
+    fit = expfit.refine_fit(known_trace(spark, sf), ["vec_id"], lrc1=LRC1, lrc2=LRC2)
+    return write_table(fit, "fits").df
+
+
 def biexp_refine(spark, sf):
-    return expfit.refine_fit(vector_trace(spark, sf), ["vec_id"], y="i", lrc1=LRC1, lrc2=LRC2)
+    out = _known_fits(spark, sf).select(
+        "vec_id", "n", (F.col("status") == "failed").alias("failed"), "error", *expfit.TERMS,
+        "df_residual",
+    )
+    return rounded(out, 6, *expfit.TERMS)
 
 
 def refine_terms(spark, sf):
-    return expfit.fit_terms(write_table(biexp_refine(spark, sf), "fits").df, ["vec_id"])
+    terms = expfit.fit_terms(_known_fits(spark, sf), ["vec_id"]).drop("statistic")
+    exact = rounded(terms, 6, "estimate", "std_error", "p_value")
+    return rounded(exact, 4, "conf_lo", "conf_hi")
 
 
 def refine_taus(spark, sf):
-    return expfit.time_constants(refine_terms(spark, sf), ["vec_id"])
+    terms = expfit.fit_terms(_known_fits(spark, sf), ["vec_id"])
+    taus = expfit.time_constants(terms, ["vec_id"])
+    return rounded(taus, 5, "tau", "conf_lo", "conf_hi")
+
+
+def refine_noise(spark, sf):
+    """Fits of noise: never worse than the grid, and level where they converged."""
+    samples = vector_trace(spark, sf)
+    fit = expfit.refine_fit(samples, ["vec_id"], y="i", lrc1=LRC1, lrc2=LRC2)
+    fit = write_table(fit, "fits").df
+    best = _grid(spark, sf).select("vec_id", F.col("sse").alias("grid_sse"))
+    t, res = F.col("t_fit"), F.col("i") - two_exp("t_fit", *expfit.TERMS[:4], "C")
+    e1, e2 = (F.exp(-F.exp(c) * t) for c in ("lrc1", "lrc2"))
+    slopes = (
+        e1, -F.col("A1") * F.exp("lrc1") * t * e1, e2, -F.col("A2") * F.exp("lrc2") * t * e2, F.lit(1.0),
+    )
+    joined = samples.join(fit.select("vec_id", "status", "sse", *expfit.TERMS), "vec_id")
+    # the part of the residual along each slope, as a cosine; the squares of a slope
+    # that has died out are no numbers
+    level = [
+        F.abs(F.sum(s * res)) <= 0.01 * F.sqrt(F.sum(s * s) * F.sum(res * res)) + 1e-100
+        for s in slopes
+    ]
+    flat = joined.groupBy("vec_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.first("sse").alias("sse"),
+        ((F.first("status") != "converged") | reduce(lambda a, b: a & b, level)).alias("flat"),
+    )
+    worse = F.col("sse") > F.col("grid_sse") * (1 + 1e-9)
+    return flat.join(best, "vec_id").select("vec_id", "n", (~worse).alias("no_worse"), "flat")
+
+
+def extremal_tail(spark, sf):
+    """Tail values per sweep relative to the sweeps at the extreme steps, with ties."""
+    idx = F.col("sample_idx")
+    features = swept(spark, sf).groupBy(F.col("user_id").alias("recording"), "sweep").agg(
+        F.max(F.when(idx == 2, F.round(F.col("i") / 2000))).alias("v_pulse"),
+        F.sum(F.when(idx < 4, F.col("i"))).alias("i_tail"),
+        F.sum(F.when(idx >= 4, F.col("i"))).alias("i_tail_ss"),
+    )
+    out = tail_norm(features)
+    return rounded(out, 8, "norm_tail", "td_tail", "thresh_tail", "i_tail_ss_full")
+
+
+def probe_beside(spark, sf):
+    """Voltage at a probe between two samples: the nearer, the earlier, or none."""
+    return swept(spark, sf).groupBy(*SWEEP).agg(
+        nearest("i", 8.3, 0.5, "sample_idx").alias("near_8"),
+        nearest("i", 8.7, 0.5, "sample_idx").alias("near_9"),
+        nearest("i", 8.5, 0.6, "sample_idx").alias("earlier"),
+        nearest("i", 8.5, 0.4, "sample_idx").alias("out_of_reach"),
+    )
 
 
 # --- text ------------------------------------------------------------------------
@@ -671,6 +755,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_biexp_refine": biexp_refine,
     "q_refine_terms": refine_terms,
     "q_refine_taus": refine_taus,
+    "q_refine_noise": refine_noise,
+    "q_extremal_tail": extremal_tail,
+    "q_probe_beside": probe_beside,
     "q_text_lines": lines,
     "q_label_clean": label_clean,
     "q_tokens": name_tokens,

@@ -39,6 +39,8 @@ LRC2_GRID = (1.5, 1.75, 2.0, 2.25, 2.5)
 #: An accepted step this small (relative), or an improvement this small
 #: (relative to the residual), ends the iteration.
 STEP_TOLERANCE, GAIN_TOLERANCE = 1e-8, 1e-8
+#: ... provided that the residual is at right angles to every slope up to this cosine.
+LEVEL_TOLERANCE = 1e-3
 
 
 # --- grid over the two log rates ------------------------------------------------
@@ -249,15 +251,18 @@ def advance(s: dict[str, np.ndarray], k: np.ndarray, sse, jtj, jtr, max_passes:
     s["status"][k[~ok & ~moved]] = "failed"
     gain = s["sse"][k] - sse
     step = np.abs(s["trial"][k] - s["p"][k]) / (1e-8 + np.abs(s["p"][k]))
-    still = (step.max(axis=1) < STEP_TOLERANCE) | (gain <= GAIN_TOLERANCE * sse)
+    short, dry = step.max(axis=1) < STEP_TOLERANCE, gain <= GAIN_TOLERANCE * sse
+    # no slope explains a noticeable part of the residual, or there is no residual
+    size = np.einsum("kii->ki", jtj) * sse[:, None]
+    level = (jtr**2 <= LEVEL_TOLERANCE**2 * size).all(axis=1) | (sse <= 1e-20 * jtj[:, 4, 4])
     good = k[ok]
     s["p"][good], s["sse"][good] = s["trial"][good], sse[ok]
     s["jtj"][good], s["jtr"][good] = jtj[ok], jtr[ok]
     s["damping"][k] = np.where(
         ok, np.maximum(s["damping"][k] / 10, 1e-12), s["damping"][k] * 10
     )
-    s["status"][k[s["damping"][k] > 1e12]] = "stalled"
-    s["status"][k[ok & moved & still]] = "converged"
+    s["status"][k[(s["damping"][k] > 1e12) | (ok & moved & short & ~level)]] = "stalled"
+    s["status"][k[ok & moved & (short | dry) & level]] = "converged"
     running = k[s["status"][k] == "running"]
     s["status"][running[s["passes"][running] >= max_passes]] = "max_passes"
     running = running[s["passes"][running] < max_passes]
@@ -290,9 +295,9 @@ def refine_fit(
     their samples per iteration, so none is ever gathered in one place. Both ways
     take the same steps.
 
-    Every sweep has a row. ``status`` is ``converged``, ``max_passes`` (still
-    improving when the passes ended), ``stalled`` (no step improves any more) or
-    ``failed`` (no values or no solvable grid point; ``error`` says so). Runs jobs.
+    Every sweep has a row. ``status`` is ``converged`` (nothing to gain, and the
+    residual level), ``max_passes`` (the passes ended first), ``stalled`` (no step
+    improves any more though the residual is not level) or ``failed`` (no values or no solvable grid point; ``error`` says so). Runs jobs.
     """
     keys = list(keys)
     spark = samples.sparkSession

@@ -44,29 +44,47 @@ def near_critical(
     )
 
 
+def per_voltage(df: DataFrame, keys: Sequence[str], v: str = "v", i: str = "i") -> DataFrame:
+    """Number, sum, sum of squares and smallest size of the currents at each voltage."""
+    y = F.col(i)
+    return (
+        df.filter(y.isNotNull() & F.col(v).isNotNull())
+        .groupBy(*keys, F.col(v).alias("v"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(y).alias("sy"),
+            F.sum(y * y).alias("syy"),
+            F.min(F.abs(y)).alias("low"),
+        )
+    )
+
+
 def quadratic_fit(
     df: DataFrame, keys: Sequence[str], v: str = "v", i: str = "i",
     half_width: float = 30.0,
 ) -> DataFrame:
-    """Least-squares parabola per group.
+    """Least-squares parabola per group, from one scan of the data. Runs jobs.
+
+    The scan sums the currents at each voltage; the critical voltage, the range around
+    it and the power sums come from that table.
 
     ``c0..c2`` belong to the centred voltage ``v - v_crit``, ``b0..b2`` to the
     voltage itself. NULL where fewer than three distinct voltages remain.
     """
-    x = F.col(v) - F.col("v_crit")
-    y = F.col(i)
-    rows = near_critical(df, keys, v, i, half_width).filter(y.isNotNull())
+    steps = write_table(per_voltage(df, keys, v, i), "per-voltage").df
+    x, m, y = F.col("v") - F.col("v_crit"), F.col("n"), F.col("sy")
+    rows = near_critical(steps, keys, "v", "low", half_width)
     sums = rows.groupBy(*keys).agg(
         F.min("v_crit").alias("v_crit"),
-        F.count(F.lit(1)).alias("n"),
-        F.sum(x).alias("sx1"),
-        F.sum(x * x).alias("sx2"),
-        F.sum(x * x * x).alias("sx3"),
-        F.sum(x * x * x * x).alias("sx4"),
+        F.sum(m).alias("n"),
+        F.sum(m * x).alias("sx1"),
+        F.sum(m * x * x).alias("sx2"),
+        F.sum(m * x * x * x).alias("sx3"),
+        F.sum(m * x * x * x * x).alias("sx4"),
         F.sum(y).alias("sy"),
         F.sum(x * y).alias("sxy"),
         F.sum(x * x * y).alias("sx2y"),
-        F.sum(y * y).alias("syy"),
+        F.sum("syy").alias("syy"),
     )
     n, s1, s2, s3, s4 = (F.col(c) for c in ("n", "sx1", "sx2", "sx3", "sx4"))
     with_cofactors = sums.withColumns(
