@@ -55,12 +55,32 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/sweepframe/{application}/{label}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever store it lies on."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of the application.
+
+    Nothing that was returned before can be read afterwards, unless it was written
+    to a place of its own.
+    """
+    remove(spark, f"{shared_dir(spark)}/sweepframe/{spark.sparkContext.applicationId}")
+
+
 @dataclass(frozen=True)
 class Written:
     """A table on the shared folder together with its measured row count."""
 
     df: DataFrame
     rows: int
+    path: str
+
+    def drop(self) -> None:
+        """Delete the table once nothing reads it any more."""
+        remove(self.df.sparkSession, self.path)
 
 
 def write_table(df: DataFrame, label: str) -> Written:
@@ -74,7 +94,7 @@ def write_table(df: DataFrame, label: str) -> Written:
     path = scratch_path(spark, label)
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return Written(spark.read.schema(df.schema).parquet(path), seen.get["rows"])
+    return Written(spark.read.schema(df.schema).parquet(path), seen.get["rows"], path)
 
 
 def fix_splits(spark: SparkSession) -> None:

@@ -47,8 +47,9 @@ def summarise_new_files(
                 batch.sparkSession, paths, n_per_sweep, glob=glob, **read_options
             )
             # a summary reads its samples more than once: parse the text once
-            landed = write_table(samples, "samples").df
-            write_summaries(summarise(landed), out)
+            landed = write_table(samples, "samples")
+            write_summaries(summarise(landed.df), out)
+            landed.drop()
 
     query = (
         names.writeStream.foreachBatch(run)

@@ -67,6 +67,16 @@ def test_mixed_lengths(spark, samples):
     assert got[1].lrc2 == pytest.approx(2.0, abs=1e-6)
 
 
+def test_samples_are_shuffled_once(samples, tight_limits):
+    begin = expfit.grid_candidates(samples, KEYS).selectExpr(
+        *KEYS, "n", "transform(candidates, c -> array(c.A1, c.lrc1, c.A2, c.lrc2, c.C)) AS starts"
+    )
+    slim = samples.selectExpr(*KEYS, "t_fit AS _t", "i_norm AS _y")
+    plan = expfit._refine_grouped(slim, begin, KEYS, 5)._jdf.queryExecution().optimizedPlan()
+    assert "Join" not in plan.toString()
+    assert plan.toString().count("RepartitionByExpression") == 1
+
+
 def test_both_solvers_agree(spark):
     """On noisy traces: same parameters, residuals, status and number of passes."""
     from sweepframe.session import GROUP_ROWS

@@ -145,6 +145,19 @@ def test_summaries_share_folders(spark, tmp_path):
     assert len(list((tmp_path / "out").glob("_bucket=*"))) <= 3
 
 
+def test_intermediate_tables_can_be_removed(spark, tmp_path):
+    from pathlib import Path
+
+    from sweepframe import session
+
+    one = session.write_table(spark.range(5), "one")
+    two = session.write_table(spark.range(5), "two")
+    assert one.rows == 5 and one.df.count() == 5
+    one.drop()
+    assert not Path(one.path.removeprefix("file://")).exists()
+    assert two.df.count() == 5
+
+
 def test_partitioned_table_keeps_text_keys(spark, tmp_path):
     df = spark.createDataFrame([("007", 1), ("7", 2), (None, 3)], "k string, v int")
     tables.write_table(df, str(tmp_path / "t"), "k")
