@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from fnmatch import fnmatch
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from sweepframe.functions.scalars import before_dot, tokens
 from sweepframe.operators.annotate import number_sweeps
 from sweepframe.operators.keyed import attach
-from sweepframe.session import fix_splits
+from sweepframe.session import fix_splits, write_table
 
 META = ("id", "channel", "Pip", "file")
 
@@ -103,9 +105,11 @@ def read_traces(
 ) -> DataFrame:
     """Samples of all matching files with metadata, sweep and sample number.
 
-    Line order is the data, yet files of any size are read in parallel: lines
-    are counted per file split, and a line's position is its number in the split
-    plus the lines of the splits before it. Blank lines do not count.
+    Line order is the data, yet files of any size are read in parallel: a line's
+    position is its number in the file split, counted as the split is read, plus the
+    lines of the splits before it. Lines are not shuffled unless files have several
+    splits (or ``strict`` is off) and the splits are too many to broadcast. Blank lines
+    do not count.
 
     A recording whose length is not a multiple of ``n_per_sweep`` stops the job
     when ``strict``; otherwise its last rows have ``complete = false``.
@@ -125,51 +129,49 @@ def read_traces(
             F.col("_metadata.file_block_start").alias("_start"),
         )
         .filter(F.col("line") != "")
-        .withColumn("_row", F.monotonically_increasing_id())
     )
     # one row per file split; a file has as many as its bytes / split size
     in_file, of_name = W.partitionBy("_path"), W.partitionBy("_name")
     ordered = in_file.orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
     splits = (
         lines.groupBy("_path", "_name", "_start")
-        .agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+        .agg(F.count(F.lit(1)).alias("_lines"))
         .withColumns(
             {
                 "_before": F.coalesce(F.sum("_lines").over(ordered), F.lit(0)),
                 "n_samples": F.sum("_lines").over(in_file),
+                "_shared": F.min("_path").over(of_name) != F.max("_path").over(of_name),
             }
         )
     )
+    splits = write_table(splits, "splits").df
     by_path = recursive or _folders(path, glob) > 1
-    if not by_path:
-        # a pattern in the path may reach into several folders
-        shared = F.min("_path").over(of_name) != F.max("_path").over(of_name)
-        splits = splits.withColumn("_shared", shared)
-    splits = splits.drop("_name")
-    placed = attach(lines, splits, ["_path", "_start"])
-    local = F.col("_row") - F.col("_first")
-    ragged = F.col("n_samples") % n_per_sweep != 0
-    pos = F.when(
-        local.between(0, F.col("_lines") - 1), local + F.col("_before")
-    ).otherwise(
-        F.raise_error(
-            F.concat(F.lit("file splits changed between scans: "), F.col("_path"))
-        ).cast("long")
+    faults = F.when(
+        F.lit(strict) & (F.col("n_samples") % n_per_sweep != 0),
+        F.concat(F.lit("incomplete last sweep: "), F.col("_path")),
     )
-    if strict:
-        pos = F.when(
-            ragged,
-            F.raise_error(
-                F.concat(F.lit("incomplete last sweep: "), F.col("_path"))
-            ).cast("long"),
-        ).otherwise(pos)
     if not by_path:
+        # a pattern in the path may reach into several folders
+        text = F.lit("files of several folders share the name ")
+        faults = F.when(F.col("_shared"), F.concat(text, F.col("_name"))).otherwise(faults)
+    _stop_on(splits, faults)
+
+    numbered = _numbered(lines)
+    changed = F.raise_error(
+        F.concat(F.lit("file splits changed between scans: "), F.col("_path"))
+    ).cast("long")
+    local = F.col("_local")
+    if strict and splits.filter("_start > 0").isEmpty():
+        # every file is one split, in which its lines are numbered already
+        placed = numbered.withColumn("n_samples", F.lit(None).cast("long"))
+        pos = F.when(F.col("_start") == 0, local).otherwise(changed)
+    else:
+        placed = attach(
+            numbered, splits.drop("_name", "_shared"), ["_path", "_start"]
+        )
         pos = F.when(
-            F.col("_shared"),
-            F.raise_error(
-                F.concat(F.lit("files of several folders share the name "), F.col("_name"))
-            ).cast("long"),
-        ).otherwise(pos)
+            local.between(0, F.col("_lines") - 1), local + F.col("_before")
+        ).otherwise(changed)
     recording = decoded(F.col("_path" if by_path else "_name"))
     name = decoded(F.col("_name"))
     samples = placed.select(
@@ -179,5 +181,43 @@ def read_traces(
         "n_samples",
         *parse_sample(F.col("line")),
     )
-    numbered = number_sweeps(samples, n_per_sweep, "pos", "n_samples")
-    return numbered.drop("pos", "n_samples")
+    swept = number_sweeps(samples, n_per_sweep, "pos", None if strict else "n_samples")
+    if strict:
+        # anything else has stopped the job
+        swept = swept.withColumn("complete", F.lit(True))
+    return swept.drop("pos", "n_samples")
+
+
+def _stop_on(splits: DataFrame, fault: Column) -> None:
+    """Stop with the first fault, if there is one."""
+    found = splits.select(fault.alias("fault")).filter("fault IS NOT NULL").limit(1)
+    found.select(F.raise_error(F.col("fault"))).collect()
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``_local``, their number within the file split.
+
+    A task reads its splits one after the other, so counting needs no shuffle.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carried = None, 0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            path = batch.column("_path").dictionary_encode()
+            code = path.indices.to_numpy(zero_copy_only=False)
+            start = batch.column("_start").to_numpy(zero_copy_only=False)
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = (np.diff(code) != 0) | (np.diff(start) != 0)
+            heads = np.flatnonzero(new)
+            place = np.arange(batch.num_rows)
+            local = place - np.repeat(heads, np.diff(np.append(heads, len(place))))
+            if (path.dictionary[int(code[0])].as_py(), int(start[0])) == last:
+                local[: heads[1] if len(heads) > 1 else None] += carried
+            last = (path.dictionary[int(code[-1])].as_py(), int(start[-1]))
+            carried = int(local[-1]) + 1
+            yield batch.append_column("_local", pa.array(local, pa.int64()))
+
+    schema = ", ".join(f"{c} {kind}" for c, kind in lines.dtypes)
+    return lines.mapInArrow(count, f"{schema}, _local long")

@@ -165,6 +165,18 @@ def test_partitioned_table_keeps_text_keys(spark, tmp_path):
     assert {tuple(r) for r in back.collect()} == {tuple(r) for r in df.collect()}
 
 
+def test_lines_are_not_shuffled(spark, tmp_path, tight_limits):
+    for k in range(4):
+        write_file(tmp_path, f"a{k} c p f.txt", 10)
+    got = read_traces(spark, str(tmp_path), 5)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Repartition" not in plan and "Aggregate" not in plan
+    rows = got.toPandas()
+    assert len(rows) == 40 and rows["complete"].all()
+    places = rows.groupby(["recording", "sweep"])["sample_idx"].agg(sorted)
+    assert len(places) == 8 and all(p == [0, 1, 2, 3, 4] for p in places)
+
+
 def test_equal_names_in_two_folders_are_two_recordings(spark, tmp_path):
     for folder in ("x", "y"):
         write_file(tmp_path / folder, "a c p f.txt", 10)
