@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from sweepframe.operators.keyed import attach
 from sweepframe.operators.polyfit import predict
 from sweepframe.operators.reshape import gather
 from sweepframe.operators.smooth import savgol
+from sweepframe.plans.relax import RelaxationFits
 from sweepframe.protocol import Protocol, Window
 
 
@@ -28,7 +30,11 @@ def cohort_iv(by_channel: DataFrame, channel: str) -> DataFrame:
 def cohort_iv_near_zero(
     by_channel: DataFrame, lo: float = -200.0, hi: float = 500.0
 ) -> DataFrame:
-    return inside_limits(by_channel, "i_avg", lo, hi)
+    """Cohort curves inside the axis limits; an edge of the band outside is NULL."""
+    shown = inside_limits(by_channel, "i_avg", lo, hi)
+    return shown.withColumns(
+        {c: F.when(F.col(c).between(lo, hi), F.col(c)) for c in ("i_lo", "i_hi")}
+    )
 
 
 def recording_box(quality: DataFrame, channel: str, value: str) -> DataFrame:
@@ -47,6 +53,12 @@ def instant_and_steady_iv(features: DataFrame) -> DataFrame:
     )
 
 
+def tail_iv(features: DataFrame) -> DataFrame:
+    """Normalised tail current against the step voltage, per sweep."""
+    shown = features.filter(F.col("v_pulse").isNotNull() & F.col("norm_tail").isNotNull())
+    return shown.select("recording", "sweep", "v_pulse", "norm_tail")
+
+
 def smoothed_trace(
     samples: DataFrame, features: DataFrame, p: Protocol, phase: Window, anchor: float,
     levels: Sequence[str], keys: Sequence[str] = SWEEP_KEYS,
@@ -68,6 +80,32 @@ def polynomial_overlay(
     return predict(fits, step_grid(-120, 100), keys, "v_pulse")
 
 
+def fit_traces(
+    relaxation: DataFrame, fits: RelaxationFits, keys: Sequence[str] = SWEEP_KEYS,
+    t: Window = Window(0.0, 0.6), y: Window = Window(0.0, 1.0),
+) -> DataFrame:
+    """Normalised samples, fitted curve and components of each sweep on one axis.
+
+    ``kind`` is ``sample``, ``fitted``, ``fast`` or ``slow``. Rows outside the axis
+    limits are left out; the limits themselves are inside.
+    """
+    keys = list(keys)
+    parts = (
+        relaxation.select(
+            *keys, F.lit("sample").alias("kind"), F.col("t_fit").alias("t"),
+            F.col("i_norm").alias("value"),
+        ),
+        fits.curves(keys).select(
+            *keys, F.lit("fitted").alias("kind"), "t", F.col("fitted").alias("value")
+        ),
+        fits.component_curves(keys).select(
+            *keys, F.col("speed").alias("kind"), "t", F.col("fitted").alias("value")
+        ),
+    )
+    shown = F.col("t").between(t.lo, t.hi) & F.col("value").between(y.lo, y.hi)
+    return reduce(DataFrame.unionByName, parts).filter(shown)
+
+
 def fit_overlay(parameters: DataFrame) -> DataFrame:
     """Component parameters in long form."""
     return gather(

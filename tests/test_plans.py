@@ -173,6 +173,8 @@ def test_ramp_analysis(spark):
     assert plots.cohort_iv(out.by_channel, "Chan7x").count() == 2 * 499
     near = plots.cohort_iv_near_zero(out.by_channel, -20.0, 50.0)
     assert 0 < near.count() < 2 * 499
+    band = near.select(F.max("i_hi").alias("top"), F.min("i_lo").alias("low")).first()
+    assert band.top <= 50 and band.low >= -20
     box = plots.recording_box(out.quality, "Chan7x", "block").first()
     assert box.median == pytest.approx(90)
 
@@ -217,6 +219,12 @@ def test_relaxation_fits(spark):
     assert parts[2, "slow"].tau == pytest.approx(np.exp(-2.2), rel=1e-4)
     overlay = plots.fit_overlay(tails.by_component)
     assert overlay.count() == 6
+    traces = plots.fit_traces(relax.tail(samples, p, invert=False), tails)
+    kinds = {r.kind: r for r in traces.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("n"), F.max("value").alias("top"), F.max("t").alias("end")
+    ).collect()}
+    assert set(kinds) == {"sample", "fitted", "fast", "slow"}
+    assert kinds["fitted"].n > 5900 and all(r.top <= 1 and r.end <= 0.6 for r in kinds.values())
 
 
 def test_relaxation_from_recorded_text(spark, tmp_path):
@@ -276,6 +284,8 @@ def test_smoothed_trace_table(spark, two_recordings):
     assert out.filter("thresh is null").count() == 0
     assert plots.step_timecourse(df, p).agg(F.max("t")).first()[0] < 1.9
     assert plots.instant_and_steady_iv(features).count() == 12
+    tails = plots.tail_iv(features).collect()
+    assert len(tails) == 6 and all(r.norm_tail is not None for r in tails)
 
 
 def write_trace(folder, name, part):

@@ -24,8 +24,8 @@ def write_file(folder, name, n, newline="\n", pad="", blank=False):
 
 
 def test_reads_names_sweeps_and_order(spark, tmp_path):
-    write_file(tmp_path, "190101a Trek2b-FL 5K-Na baseline.001.txt", 40)
-    write_file(tmp_path, "b+c Trek2b-FL 5K-Li TPA.002.txt", 20, newline="\r\n", pad=" ")
+    write_file(tmp_path, "190101a Chan7x 5K-Na baseline.001.txt", 40)
+    write_file(tmp_path, "b+c Chan7x 5K-Li TPA.002.txt", 20, newline="\r\n", pad=" ")
     write_file(tmp_path, "b2 X 5K-Li TPA.003.txt", 20, blank=True)
     write_file(tmp_path, "ignored.csv", 3)
     got = add_condition(read_traces(spark, str(tmp_path), 10)).toPandas()
@@ -35,7 +35,7 @@ def test_reads_names_sweeps_and_order(spark, tmp_path):
     assert first["sweep"].tolist() == [k // 10 + 1 for k in range(40)]
     assert first["sample_idx"].tolist() == [k % 10 for k in range(40)]
     assert set(first["cond"]) == {"baseline"}
-    assert set(first["recording"]) == {"190101a Trek2b-FL 5K-Na baseline.001.txt"}
+    assert set(first["recording"]) == {"190101a Chan7x 5K-Na baseline.001.txt"}
     plus = got[got["id"] == "b+c"].sort_values(["sweep", "sample_idx"])
     assert plus["v"].tolist() == [-k for k in range(20)]
     assert got[got["id"] == "b2"].sort_values(["sweep", "sample_idx"])["i"].tolist() == list(range(20))
