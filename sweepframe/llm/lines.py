@@ -149,12 +149,14 @@ def without_repeats(
     )
     windows = write_table(_windows(source, run), "windows").df
     often = windows.groupBy("mark").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("mark")
+    # sums are written before they are joined, so that a hot line or window can be split
+    often = write_table(often, "often").df
     again = windows.join(often.hint("merge"), "mark", "left_semi").select("num", "at", "a", "b")
     again = write_table(again, "again").df
     place = F.struct("num", "at")
     first = again.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    first = first.where("first < last").select("a", "b", "first")
-    hits = again.join(first, ["a", "b"]).where(place > F.col("first"))
+    first = write_table(first.where("first < last").select("a", "b", "first"), "first").df
+    hits = again.join(first.hint("merge"), ["a", "b"]).where(place > F.col("first"))
     hits = hits.groupBy("num").agg(F.collect_list(F.struct("at", "a")).alias("hits"))
     marked = source.join(hits.hint("merge"), "num", "left").select("id", "text", "hits")
 
