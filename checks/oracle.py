@@ -267,6 +267,11 @@ def _known(name: str, digits: int = 6) -> str:
     return f"CASE WHEN NOT empty THEN round({name}, {digits}) + 0.0 END"
 
 
+#: The reversal potentials with the line number as part of the flag.
+TWO_TIMES = REVERSAL.replace(
+    "l_returnflag AS flag", "l_returnflag || ':' || l_linenumber AS flag"
+).replace("FROM lineitem", "FROM lineitem WHERE l_linenumber <= 2")
+
 ORACLE: dict[str, str] = {
     "q_biexp_refine": f"""WITH {KNOWN}
         SELECT vec_id, CASE WHEN empty THEN 0 ELSE 300 END::BIGINT AS n, empty AS failed,
@@ -546,6 +551,23 @@ ORACLE: dict[str, str] = {
         )
         SELECT id, {rs(4, 'e_rev_inst', 'e_rev_steady')},
                {r('e_rev_inst - e_rev_steady', 4, 'e_rev_shift')} FROM p""",
+    "q_cell_measures": f"""WITH {TWO_TIMES},
+        p AS (
+          SELECT id, split_part(flag, ':', 1) AS channel,
+                 max(e_rev) FILTER (split_part(flag, ':', 2) = '1') AS e_rev_inst,
+                 max(e_rev) FILTER (split_part(flag, ':', 2) = '2') AS e_rev_steady
+          FROM rev GROUP BY 1, 2
+        ),
+        c AS (
+          SELECT l_suppkey AS id, l_returnflag AS channel,
+                 sum(l_quantity) FILTER (l_linenumber = 2) AS top,
+                 count(*) FILTER (l_linenumber = 2) AS n
+          FROM lineitem GROUP BY 1, 2
+        )
+        SELECT id, channel, {r('top / nullif(n, 0)', 4, 'fold_100')}, 'deactivating' AS prepulse,
+               {rs(4, 'e_rev_inst', 'e_rev_steady')},
+               {r('e_rev_inst - e_rev_steady', 4, 'e_rev_shift')}
+        FROM c LEFT JOIN p USING (id, channel)""",
     "q_pick_ratio": f"""WITH {IV}
         SELECT id, {r("sum(v) FILTER (flag = 'N')"
                       " / nullif(count(*) FILTER (flag = 'N'), 0) * 100", 6,

@@ -52,6 +52,7 @@ from sweepframe.operators.normalise import (
     to_extremes,
 )
 from sweepframe.operators.smooth import savgol
+from sweepframe.plans import steps
 from sweepframe.protocol import Window
 from sweepframe.session import scratch_path, write_table
 from sweepframe.sources import arrays, tables
@@ -476,6 +477,24 @@ def reversal_shift(spark, sf):
     return rounded(out, 4, "e_rev_inst", "e_rev_steady", "e_rev_shift")
 
 
+def cell_measures(spark, sf):
+    """Per-cell measures with the shift of the reversal joined to them; the first two
+    lines of an order stand for the first and last time after the jump."""
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("id"), F.col("l_returnflag").alias("channel"),
+        F.col("l_linenumber").alias("sweep"), "l_quantity",
+        (F.round(F.col("l_extendedprice") * 100) / 100 - 35000).alias("i"),
+    )
+    time = F.when(F.col("sweep") == 1, 3.0).when(F.col("sweep") == 2, 600.0)
+    curves = rows.withColumn("time", time).withColumn("v_pulse", F.col("l_quantity") - 25)
+    fits = steps.reversals(curves.filter("sweep <= 2"))
+    summaries = rows.groupBy("id", "channel", "sweep").agg(
+        F.sum("l_quantity").alias("i_ss"), F.count(F.lit(1)).cast("double").alias("i_inst")
+    )
+    out = steps.cell_measures_deactivating(summaries, fits, sweep=2)
+    return rounded(out, 4, "fold_100", "e_rev_inst", "e_rev_steady", "e_rev_shift")
+
+
 def pick_ratio(spark, sf):
     totals = iv(spark, sf).groupBy(*IV_KEYS).agg(
         F.sum("v").alias("sum_v"), F.count(F.lit(1)).alias("n")
@@ -740,6 +759,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_quad_p_values": quad_p_values,
     "q_quad_curve": quad_curve,
     "q_reversal_shift": reversal_shift,
+    "q_cell_measures": cell_measures,
     "q_pick_ratio": pick_ratio,
     "q_reversal_summary": reversal_summary,
     "q_box_stats": box,
