@@ -89,8 +89,10 @@ def _grouped(rows: DataFrame, block: int) -> DataFrame:
     ids = write_table(rows.drop("norm").join(_identities(rows.select("row", "norm"), block), "row"), "ids").df
     first = F.min(F.struct(F.col("id").isNull(), "id", "row"))
     found = ids.groupBy("round", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
+    # written, so that both sides are shuffled as they are and a hot name can be split
+    found = write_table(found, "groups").df
     return (
-        ids.join(found, ["round", "name"])
+        ids.join(found.hint("merge"), ["round", "name"])
         .withColumn("keep_id", F.col("first.id"))
         .withColumn("kept", F.col("row") == F.col("first.row"))
     )
