@@ -29,10 +29,12 @@ def components(links: DataFrame) -> DataFrame:
         if seen[0] == 0 or seen == state:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = seen
+        # sums are written before they are joined, so that a node with many links can be split
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = write_table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least").df
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = write_table(large.distinct(), "large").df
+        least = write_table(large.groupBy("a").agg(F.min("b").alias("m")), "least").df
         moved = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         links = write_table(
             moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links"

@@ -229,8 +229,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most
     """Per row: the fingerprint in hex and the smallest id of its component. Runs jobs."""
     rows = write_table(fingerprints(docs, id_col, text_col), "fingerprints").df
     rows = write_table(_components(rows, most), "rooted").df
-    smallest = rows.groupBy("root").agg(F.min("id").alias("component_id"))
-    return rows.join(smallest, "root").select(
+    # written, so that both sides are shuffled as they are and a hot root can be split
+    smallest = write_table(rows.groupBy("root").agg(F.min("id").alias("component_id")), "smallest").df
+    return rows.join(smallest.hint("merge"), "root").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
