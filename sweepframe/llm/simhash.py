@@ -37,6 +37,8 @@ SEED = 42
 RADIUS = 2
 #: Fingerprints a block may hold; larger ones are cut.
 BLOCK = 4096
+#: Shingles hashed at a time.
+SHINGLES = 1 << 17
 #: (query, word) pairs compared at a time.
 PAIRS = 1 << 19
 ALL = (1 << 64) - 1
@@ -59,19 +61,19 @@ def fingerprint_array(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     # the last word of each shingle; texts with fewer words have one shingle
     shingles = np.where(w.counts == 0, 0, np.maximum(w.counts - shingle + 1, 1))
     head = spread(w.first[:-1], shingles)
-    last = head + np.repeat(np.minimum(w.counts, shingle), shingles) - 1
+    owner = np.repeat(np.arange(len(texts)), shingles)
+    last = head + np.minimum(w.counts, shingle)[owner] - 1
     text, digest = memoryview(joined.tobytes()), xxhash.xxh64_intdigest
-    ends = (begin + size)[last]
-    hashes = [digest(text[a:b], SEED) for a, b in zip(begin[head].tolist(), ends.tolist())]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
-    out = np.zeros(len(texts), np.uint64)
-    some = np.flatnonzero(shingles)
-    if len(some):
-        first = np.cumsum(shingles) - shingles
-        ones = np.add.reduceat(bits, first[some], axis=0, dtype=np.int32)
-        more = 2 * ones.astype(np.int64) > shingles[some, None]
-        out[some] = np.packbits(more, axis=1, bitorder="little").view("<u8")[:, 0]
-    return out
+    starts, ends = begin[head], (begin + size)[last]
+    ones = np.zeros((len(texts), 64), np.int64)
+    for at in range(0, len(head), SHINGLES):
+        part = slice(at, at + SHINGLES)
+        hashes = [digest(text[a:b], SEED) for a, b in zip(starts[part].tolist(), ends[part].tolist())]
+        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
+        heads = np.flatnonzero(np.diff(owner[part], prepend=-1))
+        ones[owner[part][heads]] += np.add.reduceat(bits, heads, axis=0, dtype=np.int32)
+    more = 2 * ones > shingles[:, None]
+    return np.packbits(more, axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
