@@ -172,7 +172,7 @@ def records(source: Source, start: int, end: int) -> Iterator[bytes]:
 
 
 def marked(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: int) -> DataFrame:
-    """``page``, ``url``, ``payload`` and, for revisits, ``refers_to``."""
+    """``page``, ``url``, ``payload`` and, for revisits, ``refers_to``. Runs a job."""
     payload = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(
         F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")
@@ -182,7 +182,8 @@ def marked(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: in
     first = (
         rows.where(large).groupBy("same").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("rows"))
     )
-    first = first.where("rows > 1").drop("rows")
+    # written, so that both sides are shuffled as they are and a hot payload can be split
+    first = write_table(first.where("rows > 1").drop("rows"), "first").df.hint("merge")
     other = F.col("first").isNotNull() & ~F.col("page").eqNullSafe(F.col("first"))
     return rows.join(first, "same", "left").select(
         "page", "url", "payload", F.when(other, F.col("first")).alias("refers_to")
