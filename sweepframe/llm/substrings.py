@@ -484,8 +484,9 @@ def without_repeats(
     going = found.where("text IS NOT NULL").withColumn("num", F.coalesce("id", F.lit(NO_ID)))
     windows = going.select("row", "num", F.inline(F.arrays_zip("a", "b", "at")))
     least = windows.groupBy("a", "b").agg(F.min("num").alias("least"), F.max("num").alias("most"))
-    least = least.where("least < most").select("a", "b", "least")
-    hits = windows.join(least, ["a", "b"]).where("num > least")
+    # written, so that both sides are shuffled as they are and a hot window can be split
+    least = write_table(least.where("least < most").select("a", "b", "least"), "least").df
+    hits = windows.join(least.hint("merge"), ["a", "b"]).where("num > least")
     hits = hits.groupBy("row").agg(F.collect_list("at").alias("hits"))
     last = going.join(hits, "row", "left").select("id", "text", "done", "hits")
     last = _each_slice(last, lambda part: _last_pass(part, window, texts), RESULT)
