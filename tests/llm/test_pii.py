@@ -71,6 +71,14 @@ def test_odd_rows(spark):
     check(rows, pii.digests(frame(spark, rows)).collect())
 
 
+def test_zero_parts_of_addresses(spark):
+    texts = ["10.0.0.1", "0.0.0.0", "8.8.8.00", "192.168.0.1 127.0.0.1", "000.0001.0255.0", "0.0.0.256 1.0.0.0999", "1.00.10.100"]
+    rows = list(enumerate(texts))
+    got = pii.digests(frame(spark, rows)).collect()
+    check(rows, got)
+    assert {r.doc_id: r.n_ip for r in got} == {0: 1, 1: 1, 2: 1, 3: 2, 4: 1, 5: 0, 6: 1}
+
+
 def test_added_kinds(spark):
     rows = [
         (1, "Pay to GB82 WEST 1234 5698 7654 32, please"),
