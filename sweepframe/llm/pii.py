@@ -61,6 +61,26 @@ def mod97(value: Column) -> Column:
 BYTE = "(?:0++(?![1-9])|0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?))"
 
 
+#: Countries by the length of their account numbers.
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG",
+    25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV",
+    29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """Numbers of their country's length, or else of any; a word behind is not taken in."""
+    every = []
+    for n, countries in LENGTHS.items():
+        fours, rest = divmod(n - 4, 4)
+        last = rf"\x20?[A-Z0-9]{{{rest}}}" if rest else ""
+        every.append(rf"(?:{countries})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{fours}}}{last}(?![A-Za-z0-9])")
+    every.append(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+    return rf"(?<![A-Za-z0-9])(?:{'|'.join(every)})"
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
@@ -108,7 +128,7 @@ KINDS = (
     ),
     Kind(
         "iban",
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+        _iban(),
         "", 0.6, "iban|account|bank|konto|compte|cuenta",
     ),
     Kind(
@@ -136,6 +156,29 @@ def _tried(text: Column, k: int, kind: Kind) -> Column:
     return F.transform(F.array(matches), both)
 
 
+def _before(i: Column) -> Column:
+    """The last ``NEAR`` characters before match ``i`` of ``found``, other matches included."""
+    # a match has two characters at least
+    n = F.least(i, F.lit(NEAR // 2))
+    cut = lambda x: F.right(x, F.lit(NEAR))
+    both = F.zip_with(
+        F.slice("found.pieces", i - n + 1, n), F.slice("found.matches", i - n + 1, n), lambda p, m: F.concat(cut(p), cut(m))
+    )
+    return cut(F.concat(F.array_join(both, ""), cut(F.col("piece"))))
+
+
+def _behind(i: Column) -> Column:
+    """The first ``NEAR`` characters behind match ``i`` of ``found``, other matches included."""
+    n = F.lit(NEAR // 2 + 1)
+    cut = lambda x: F.substring(x, 1, NEAR)
+    both = F.zip_with(
+        F.slice("found.pieces", i + 2, n),
+        F.slice("found.matches", i + 2, n),
+        lambda p, m: F.concat(cut(F.coalesce(p, F.lit(""))), cut(F.coalesce(m, F.lit("")))),
+    )
+    return cut(F.array_join(both, ""))
+
+
 def _of_kind(items: Column, kind: str) -> Column:
     return F.filter(items, lambda s: s.kind == kind)
 
@@ -151,9 +194,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = rows.select("row", "id", F.explode_outer(found).alias("found"))
     rows = rows.select("row", "id", F.col("found.k").alias("k"), "found", F.posexplode_outer("found.pieces").alias("i", "piece"))
     value = F.get("found.matches", F.col("i"))
-    context = F.lower(
-        F.concat(F.right("piece", F.lit(NEAR)), F.lit(" "), F.substring(F.get("found.pieces", F.col("i") + 1), 1, NEAR))
-    )
+    context = F.lower(F.concat(_before(F.col("i")), F.lit(" "), _behind(F.col("i"))))
     rows = rows.select(
         "row", "id", "k", "i", F.length("piece").alias("gap"), value.alias("value"),
         F.when(value.isNotNull(), context).alias("context"),

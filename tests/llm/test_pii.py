@@ -91,6 +91,34 @@ def test_added_kinds(spark):
     assert got == {1: "iban:7:34", 2: "", 3: "iban:0:22", 4: "ssn:11:22", 5: ""}
 
 
+def test_lists_behind_one_label(spark):
+    rows = [
+        (1, "SSN: 123-45-6789, 987-65-4321, 111-22-3333"),
+        (2, "123-45-6789, 987-65-4321 (social security)"),
+        (3, "SSN" + " " * 46 + "123-45-6789"),
+        (4, "123-45-6789, 987-65-4321"),
+        (5, "SSN: 123-45-6789" + " " * 40 + "987-65-4321"),
+    ]
+    got = {r.doc_id: r.spans for r in pii.digests(frame(spark, rows)).collect()}
+    assert got == {
+        1: "ssn:5:16,ssn:18:29,ssn:31:42", 2: "ssn:0:11,ssn:13:24", 3: "", 4: "", 5: "ssn:5:16"
+    }
+
+
+def test_account_numbers_before_capitals(spark):
+    at, de = "AT61 1904 3002 3457 3201", "DE89 3704 0044 0532 0130 00"
+    rows = [
+        (1, f"{at} BIC"),
+        (2, f"{at.replace(' ', '')} BANK CODE"),
+        (3, f"{at} {de}"),
+        (4, f"{de} BIC"),
+        (5, f"{at}BANK"),
+    ]
+    got = {r.doc_id: r.spans for r in pii.digests(frame(spark, rows)).collect()}
+    assert got == {1: "iban:0:24", 2: "iban:0:20", 3: "iban:0:24,iban:25:52", 4: "iban:0:27", 5: ""}
+    assert {r.text for r in pii.masked(frame(spark, rows[:1])).collect()} == {"[iban] BIC"}
+
+
 def test_context_adjusts_scores(spark):
     rows = [(1, "call +1 (555) 555-1234"), (2, "with +1 (555) 555-1234")]
     got = {r.doc_id: r.spans[0].score for r in pii.spans(frame(spark, rows)).collect()}
