@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sweepframe.llm import bpe, exact, lines, mixing, pii, quality, simhash, substrings, token_counts, warc
+from sweepframe.llm import bpe, exact, lines, mixing, pii, quality, simhash, substrings, token_counts, warc, whitening
 from sweepframe.session import scratch_path
 
 #: Folder of the public vocabulary files; its ``path(name)`` is used if importable.
@@ -78,6 +78,10 @@ def op10_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return pii.digests(table(spark, sf, "documents"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_repeated_substrings,
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bpe_round_trip,
         op9_repeated_lines,
         op10_personal_data,
+        op13_embedding_whitening,
     )
 }
 
