@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sweepframe.llm import bpe, exact, lines, mixing, pii, quality, simhash, substrings, token_counts, warc, whitening
+from sweepframe.llm import bpe, conversations, exact, lines, mixing, pii, quality, simhash, substrings, token_counts, warc, whitening
 from sweepframe.session import scratch_path
 
 #: Folder of the public vocabulary files; its ``path(name)`` is used if importable.
@@ -78,6 +78,11 @@ def op10_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return pii.digests(table(spark, sf, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    found = conversations.digests(conversations.damaged(table(spark, sf, "conversations")))
+    return found.withColumnRenamed("conv", "conv_id")
+
+
 def op13_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
     return whitening.whitened(table(spark, sf, "embeddings"))
 
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bpe_round_trip,
         op9_repeated_lines,
         op10_personal_data,
+        op11_conversation_repair,
         op13_embedding_whitening,
     )
 }
