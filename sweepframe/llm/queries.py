@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sweepframe.llm import bpe, conversations, exact, lines, mixing, pii, quality, simhash, substrings, token_counts, warc, whitening
+from sweepframe.llm import bpe, conversations, exact, lines, mixing, pii, quality, secrets, simhash, substrings
+from sweepframe.llm import token_counts, warc, whitening
 from sweepframe.session import scratch_path
 
 #: Folder of the public vocabulary files; its ``path(name)`` is used if importable.
@@ -83,6 +84,10 @@ def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumnRenamed("conv", "conv_id")
 
 
+def op12_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.digests(table(spark, sf, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
     return whitening.whitened(table(spark, sf, "embeddings"))
 
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_repeated_lines,
         op10_personal_data,
         op11_conversation_repair,
+        op12_secret_scan,
         op13_embedding_whitening,
     )
 }
