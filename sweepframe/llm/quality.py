@@ -123,8 +123,8 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def fail_bits() -> Column:
-    columns = {m: F.col(m) for m in MEASURES}
+def fail_bits(columns: dict[str, Column] | None = None) -> Column:
+    columns = columns or {m: F.col(m) for m in MEASURES}
     bits = [F.when(fails(columns), 1 << k).otherwise(0) for k, fails in enumerate(RULES.values())]
     return reduce(Column.bitwiseOR, bits).cast("long")
 
@@ -167,15 +167,27 @@ def ablations(entries: DataFrame, policy: str = "v2") -> DataFrame:
     return rows.select("documents", F.inline("rules"))
 
 
-def accepted(docs: DataFrame, policy: str = "v2", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that a policy keeps, all columns as they are."""
-    rules = [RULES[r] for r in POLICIES[policy]]
+def with_ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with its entry of the ledger as a struct column ``__ledger``."""
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    schema = StructType([*docs.schema.fields, *(StructField(f"__{m}", LongType()) for m in MEASURES)])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for part in batches.slices(batch, text_col):
                 found = measure(batches.as_text(part.column(text_col)))
-                failed = np.any([fails(found) for fails in rules], axis=0)
-                yield part.filter(pa.array(~failed))
+                columns = [*part.columns, *(pa.array(found[m], pa.int64()) for m in MEASURES)]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    rows = docs.mapInArrow(run, schema)
+    entry = F.struct(*(F.col(f"__{m}").alias(m) for m in MEASURES))
+    columns = {m: F.col(f"__{m}") for m in MEASURES}
+    return rows.select(*docs.columns, entry.withField("fail_bits", fail_bits(columns)).alias("__ledger"))
 
-    return docs.mapInArrow(run, docs.schema)
+
+def accepted(docs: DataFrame, policy: str = "v2", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` that a policy keeps by their ledger's bits, all columns as they are."""
+    rejected = mask(POLICIES["base"]) | mask(POLICIES[policy])
+    bits = F.col("__ledger.fail_bits")
+    return with_ledger(docs, text_col).where(bits.bitwiseAND(rejected) == 0).select(*docs.columns)

@@ -137,9 +137,13 @@ def blocks(fps: DataFrame, most: int = BLOCK) -> DataFrame:
 # -- bit-sliced comparison -----------------------------------------------------------
 
 
-def links(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+def links(
+    fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS, queries: slice = slice(None)
+) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of places in ``fps`` (blocks of ``sizes``, one after the other) whose
-    fingerprints differ in at most ``radius`` bits."""
+    fingerprints differ in at most ``radius`` bits. Fingerprints may be rows of several
+    words. ``queries``: only pairs whose first place is one of these."""
+    fps = fps.reshape(len(fps), -1)
     first = np.cumsum(sizes) - sizes
     block = np.repeat(np.arange(len(sizes)), sizes)
     lane = np.arange(len(fps)) - first[block]
@@ -151,27 +155,32 @@ def links(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> tuple[np.
     one = np.uint64(1)
     filled = np.add.reduceat(one << bit, heads)
     # a query meets the lanes after it: the rest of its word and the words behind
-    count = (first_word + words)[block] - word
-    query = np.repeat(np.arange(len(fps)), count)
-    other = spread(word, count)
+    count = ((first_word + words)[block] - word)[queries]
+    query = np.repeat(np.arange(len(fps))[queries], count)
+    other = spread(word[queries], count)
     over = ~filled[other]
     own = np.cumsum(count) - count
-    over[own] |= (one << bit) | ((one << bit) - one)
+    mine = bit[queries]
+    over[own] |= (one << mine) | ((one << mine) - one)
     # counters begin so that they overflow with one bit more than the radius
     width = radius.bit_length()
     begin = (1 << width) - 1 - radius
     counters = [np.full(len(query), np.uint64(ALL if begin >> k & 1 else 0)) for k in range(width)]
-    for p in range(64):
-        mine = fps >> np.uint64(p) & one
+    planes = 64 * fps.shape[1]
+    for p in range(planes):
+        mine = fps[:, p // 64] >> np.uint64(p % 64) & one
         plane = np.add.reduceat(mine << bit, heads)
         carry = plane[other] ^ (np.uint64(0) - mine)[query]
         for k in range(width):
             counters[k], carry = counters[k] ^ carry, counters[k] & carry
         over |= carry
-        if p % 8 == 7:
+        # a word can be over the radius after so many planes at the earliest
+        if p >= radius and p % (planes // 8) == planes // 8 - 1:
             alive = over != np.uint64(ALL)
             query, other, over = query[alive], other[alive], over[alive]
             counters = [c[alive] for c in counters]
+            if len(query) == 0:
+                break
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for k in range(64):
         hit = (~over >> np.uint64(k) & one).astype(bool)
@@ -179,9 +188,37 @@ def links(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> tuple[np.
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
+def near_pairs(
+    fps: np.ndarray, sizes: np.ndarray, radius: int, pairs: int = PAIRS
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """:func:`links` in parts of about so many (query, word) pairs; large blocks are cut."""
+    cost = np.cumsum(sizes * ((sizes + 63) // 64))
+    first = np.cumsum(sizes) - sizes
+    start = 0
+    while start < len(sizes):
+        stop = max(start + 1, int(np.searchsorted(cost, (cost[start - 1] if start else 0) + pairs, "right")))
+        part = sizes[start:stop]
+        rows = int(part.sum())
+        step = max(1, pairs // ((rows + 63) // 64)) if len(part) == 1 else rows
+        here = fps[first[start] : first[start] + rows]
+        for at in range(0, rows, step):
+            a, b = links(here, part, radius, slice(at, min(at + step, rows)))
+            yield a + first[start], b + first[start]
+        start = stop
+
+
+def distances(fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which the fingerprints (rows of words) of pairs of places differ."""
+    return np.bitwise_count(fps[a] ^ fps[b]).sum(1, dtype=np.int64)
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest place each place is connected to."""
-    root = np.arange(n)
+    return joined(np.arange(n), a, b)
+
+
+def joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``root`` (the smallest place each place is connected to) with further links."""
     while True:
         least = np.minimum(root[a], root[b])
         new = root.copy()

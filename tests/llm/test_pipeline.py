@@ -6,7 +6,7 @@ import pytest
 import corpus_pipeline
 from checks.compare import connect, difference
 from sweepframe.llm.queries import ORACLE, QUERIES, vocabulary
-from tests.llm import test_exact, test_mixing, test_quality, test_simhash, test_tokens
+from tests.llm import test_exact, test_mixing, test_near, test_quality, test_tokens
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,9 +26,9 @@ def plain(rows):
     for i, t, _ in rows:
         first[test_exact.norm(t)] = min(first.get(test_exact.norm(t), i), i)
     rows = [r for r in rows if first[test_exact.norm(r[1])] == r[0]]
-    fps = [test_simhash.plain_fingerprint(t) for _, t, _ in rows]
-    names = test_simhash.plain_components([i for i, _, _ in rows], fps)
-    rows = [r for r, c in zip(rows, names) if r[0] == c]
+    texts = [(i, t) for i, t, _ in rows]
+    stay = set(test_near.smallest(texts, test_near.similar(texts)))
+    rows = [r for r in rows if r[0] in stay]
     taken = {i: words for i, _, _, _, words in test_mixing.plain(rows)}
     out = []
     for i, t, s in rows:
