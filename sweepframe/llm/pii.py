@@ -2,8 +2,8 @@
 
 Everything is DataFrame functions. The pieces between the matches of a kind and the
 matches themselves give each span's place as a running sum of lengths, which is a
-window over the few rows that documents with matches unfold into; texts are not
-shuffled.
+window over the rows that documents with matches unfold into, one for each match with
+the characters around it; texts are not shuffled.
 
 The base kinds are always reported. The further kinds count only from a score on:
 a start value for the kind, more if a word that belongs to it stands near the span.
@@ -23,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sweepframe.session import write_table
+
 #: Characters before and after a span in which a context word counts.
 NEAR = 48
 THRESHOLD = 0.5
@@ -156,27 +158,41 @@ def _tried(text: Column, k: int, kind: Kind) -> Column:
     return F.transform(F.array(matches), both)
 
 
+def _joined(places: Column, cut) -> Column:
+    """Pieces and matches of ``found`` at some places; single ones, as slices copy whole arrays."""
+    each = lambda name, j: cut(F.coalesce(F.get(name, j), F.lit("")))
+    return F.array_join(
+        F.transform(places, lambda j: F.concat(each("found.pieces", j), each("found.matches", j))), ""
+    )
+
+
 def _before(i: Column) -> Column:
     """The last ``NEAR`` characters before match ``i`` of ``found``, other matches included."""
-    # a match has two characters at least
-    n = F.least(i, F.lit(NEAR // 2))
     cut = lambda x: F.right(x, F.lit(NEAR))
-    both = F.zip_with(
-        F.slice("found.pieces", i - n + 1, n), F.slice("found.matches", i - n + 1, n), lambda p, m: F.concat(cut(p), cut(m))
-    )
-    return cut(F.concat(F.array_join(both, ""), cut(F.col("piece"))))
+    # a match has two characters at least
+    places = F.sequence(F.greatest(i - NEAR // 2, F.lit(0)), i - 1)
+    both = F.when(i > 0, _joined(places, cut)).otherwise("")
+    return cut(F.concat(both, cut(F.get("found.pieces", i))))
 
 
 def _behind(i: Column) -> Column:
     """The first ``NEAR`` characters behind match ``i`` of ``found``, other matches included."""
-    n = F.lit(NEAR // 2 + 1)
     cut = lambda x: F.substring(x, 1, NEAR)
-    both = F.zip_with(
-        F.slice("found.pieces", i + 2, n),
-        F.slice("found.matches", i + 2, n),
-        lambda p, m: F.concat(cut(F.coalesce(p, F.lit(""))), cut(F.coalesce(m, F.lit("")))),
+    return cut(_joined(F.sequence(i + 1, i + NEAR // 2 + 1), cut))
+
+
+def _items() -> Column:
+    """What is needed of each match of ``found``, so that no match carries all others."""
+    places = F.sequence(F.lit(0), F.size("found.matches") - 1)
+    return F.transform(
+        places,
+        lambda i: F.struct(
+            i.alias("i"),
+            F.length(F.get("found.pieces", i)).alias("gap"),
+            F.get("found.matches", i).alias("value"),
+            F.lower(F.concat(_before(i), F.lit(" "), _behind(i))).alias("context"),
+        ),
     )
-    return cut(F.array_join(both, ""))
 
 
 def _of_kind(items: Column, kind: str) -> Column:
@@ -186,19 +202,18 @@ def _of_kind(items: Column, kind: str) -> Column:
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: its spans (``kind, start, end, value, score``) in order of
     start and kind. Places count characters, ends are exclusive."""
-    text = F.col("text")
-    tried = [_tried(text, k, kind) for k, kind in enumerate(KINDS)]
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return _spans(rows).select(F.col("id").alias(id_col), "spans")
+
+
+def _spans(rows: DataFrame) -> DataFrame:
+    """``row``, ``id`` and ``spans`` for ``rows`` (row, id, text)."""
+    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
+    tried = [_tried(F.col("text"), k, kind) for k, kind in enumerate(KINDS)]
     found = F.filter(F.concat(*tried), lambda x: x.isNotNull())
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
     rows = rows.select("row", "id", F.explode_outer(found).alias("found"))
-    rows = rows.select("row", "id", F.col("found.k").alias("k"), "found", F.posexplode_outer("found.pieces").alias("i", "piece"))
-    value = F.get("found.matches", F.col("i"))
-    context = F.lower(F.concat(_before(F.col("i")), F.lit(" "), _behind(F.col("i"))))
-    rows = rows.select(
-        "row", "id", "k", "i", F.length("piece").alias("gap"), value.alias("value"),
-        F.when(value.isNotNull(), context).alias("context"),
-    ).repartition("row")
+    rows = rows.select("row", "id", F.col("found.k").alias("k"), F.explode_outer(_items()).alias("item"))
+    rows = rows.select("row", "id", "k", "item.*").repartition("row")
     upto = Window.partitionBy("row", "k").orderBy("i")
     size = F.coalesce(F.length("value"), F.lit(0))
     rows = rows.withColumn("end", F.sum(F.col("gap") + size).over(upto)).withColumn("start", F.col("end") - size)
@@ -216,7 +231,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     span = F.struct("start", "k", "end", name.alias("kind"), "value", F.round(score, 2).alias("score"))
     ordered = F.sort_array(F.collect_list(F.when(F.col("value").isNotNull() & chosen, span)))
     listed = F.transform(ordered, lambda s: F.struct(s.kind, s.start, s.end, s.value, s.score))
-    return rows.groupBy("row", "id").agg(listed.alias("spans")).select(F.col("id").alias(id_col), "spans")
+    return rows.groupBy("row", "id").agg(listed.alias("spans"))
 
 
 def _written(items: Column) -> Column:
@@ -226,20 +241,22 @@ def _written(items: Column) -> Column:
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: spans counted by base kind and written out."""
     base = F.filter("spans", lambda s: s.kind.isin(*BASE))
-    counts = [F.size(_of_kind(F.col("spans"), kind)).cast("long").alias(f"n_{kind}") for kind in BASE]
+    counts = [F.size(_of_kind(F.col("spans"), kind.name)).cast("long").alias(f"n_{kind.name}") for kind in KINDS]
     return spans(docs, id_col, text_col).select(
         id_col, *counts, F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans")
     )
 
 
 def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with each span replaced by its kind in brackets. Ids must be distinct.
+    """``docs`` with each span replaced by its kind in brackets. Runs a job.
 
     Of overlapping spans the one that starts first (then by kind) is replaced and the
     others as far as they go beyond it.
     """
-    found = spans(docs, id_col, text_col).where(F.size("spans") > 0)
-    found = found.select(F.col(id_col).alias("__id"), F.col("spans").alias("__spans"))
+    # written, so that a row has the same number on both sides
+    rows = write_table(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered").df
+    found = _spans(rows.select(F.col("__row").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    found = found.where(F.size("spans") > 0).select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
     text = F.col(text_col)
 
     def add(done: Column, s: Column) -> Column:
@@ -251,5 +268,5 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     clean = F.aggregate(
         "__spans", start, add, lambda done: F.concat(done.out, F.substring(text, done.place + 1, F.length(text)))
     )
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    joined = rows.join(found, "__row", "left")
     return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(clean)).select(*docs.columns)

@@ -237,8 +237,11 @@ def write(
 FIELDS = "page string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string"
 
 
-def read(manifest: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = True) -> DataFrame:
-    """Records of the files of a manifest (``file``, ``bytes``), with their payloads."""
+def read(
+    manifest: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = True, tasks: int | None = None
+) -> DataFrame:
+    """Records of the files of a manifest (``file``, ``bytes``), with their payloads, read
+    by so many tasks (as many as a shuffle has, if not given)."""
     starts = F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))
     ranges = manifest.where("bytes > 0").select("file", "bytes", F.explode(starts).alias("start"))
     schema = pa.schema([(n, pa.string()) for n in ("page", "url", "record_type", "refers_to")])
@@ -260,4 +263,6 @@ def read(manifest: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = T
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
     kinds = FIELDS + ", payload binary" if payloads else FIELDS
-    return ranges.repartition("file", "start").mapInArrow(run, kinds)
+    # a number, because adaptive execution would join the ranges, which are small rows, in few tasks
+    n = tasks or int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ranges.repartition(n, "file", "start").mapInArrow(run, kinds)

@@ -56,6 +56,16 @@ def test_round_trip(spark, tmp_path, least, range_bytes, file_bytes):
     assert all((r.page, bytes(r.payload)) in texts for r in got if r.record_type == "response")
 
 
+def test_ranges_are_read_by_as_many_tasks_as_asked_for(spark, tmp_path):
+    manifest = warc.write(pages(spark, [(k, "u", f"page {k} " * 40) for k in range(600)]), f"{tmp_path}/w")
+    total = manifest.agg({"bytes": "sum"}).first()[0]
+    ranges = warc.read(manifest, total // 1000, tasks=300)
+    assert ranges.rdd.getNumPartitions() == 300
+    spread = ranges.selectExpr("spark_partition_id() p").groupBy("p").count().collect()
+    assert len(spread) > 200 and sum(r["count"] for r in spread) == 600
+    assert warc.read(manifest).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_files_are_plain_gzip(spark, tmp_path):
     manifest = warc.write(pages(spark, PAGES).coalesce(1), f"{tmp_path}/w")
     for row in manifest.collect():
