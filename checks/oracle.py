@@ -377,6 +377,12 @@ ORACLE: dict[str, str] = {
     "q_summary_files": f"""WITH {SWEPT}
         SELECT event_type, sample_idx, count(*) AS n, {r('avg(i)', 6, 'i_avg')}
         FROM sw GROUP BY event_type, sample_idx""",
+    "q_summary_commits": f"""WITH {TRACE},
+        s AS (SELECT user_id, count(*) AS n, sum(i) AS sum_i, max(i) AS hi, min(i) AS lo FROM ev GROUP BY user_id)
+        SELECT user_id, n, CASE WHEN lo >= 100 THEN sum_i END AS sum_i,
+               CASE WHEN lo >= 100 AND sum_i > 5000 * n THEN hi END AS hi,
+               CASE WHEN lo < 100 THEN lo END AS lo
+        FROM s""",
     "q_landed_table": f"""WITH {TRACE}
         SELECT user_id, event_type, count(*) AS n, sum(i) AS sum_i FROM ev
         GROUP BY user_id, event_type""",

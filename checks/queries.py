@@ -259,6 +259,28 @@ def summary_files(spark, sf):
     )
 
 
+def summary_commits(spark, sf):
+    """Summaries of all recordings, committed three times with changing columns.
+
+    Recordings with a high mean are measured again with their maximum, then those that
+    come near zero with their minimum alone. The last batch is tried twice.
+    """
+    per = trace(spark, sf).groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("i").alias("sum_i"), F.max("i").alias("hi"), F.min("i").alias("lo")
+    )
+    per = write_table(per, "summaries").df
+    path = scratch_path(spark, "summary-commits")
+    parts = [
+        per.select("user_id", "n", "sum_i"),
+        per.where("sum_i > 5000 * n").select("user_id", "n", "sum_i", "hi"),
+        per.where("lo < 100").select("user_id", "n", "lo"),
+        per.select("user_id", F.lit(0).cast("long").alias("n")),
+    ]
+    for part, number in zip(parts, (0, 1, 2, 2)):
+        tables.write_summaries(part, path, "user_id", batch=("lab", number))
+    return tables.read_table(spark, path)
+
+
 def landed_table(spark, sf):
     """Samples landed as Parquet, one folder per event type, and read back."""
     path = scratch_path(spark, "landed")
@@ -737,6 +759,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_cohort_curve": cohort_curve,
     "q_nest_unnest": nest_unnest,
     "q_summary_files": summary_files,
+    "q_summary_commits": summary_commits,
     "q_landed_table": landed_table,
     "q_trace_files": trace_files,
     "q_preview": preview,

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweepframe.operators.keyed import matched
-from sweepframe.session import write_table as landed
+from sweepframe.sources import commits
 
 # Column names of the summary files and the names used here.
 SUMMARY_NAMES = {
@@ -46,9 +45,9 @@ SUMMARY_NAMES = {
 _TEXT = ("id", "channel", "Pip", "file", "recording", "cond")
 
 
-#: Folder columns of written tables; the key itself stays a column of the data, because
+#: Folder column of written tables; the key itself stays a column of the data, because
 #: folder names lose its type.
-FOLDER, BUCKET = "_folder", "_bucket"
+FOLDER = "_folder"
 #: Folders of a summary table.
 BUCKETS = 64
 
@@ -75,19 +74,26 @@ def _write_folders(df: DataFrame, path: str, by: str, mode: str) -> None:
     )
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A written table with the columns it was written from."""
-    return spark.read.parquet(path).drop(FOLDER, BUCKET)
+def read_table(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A written table with all columns that it was ever written with.
+
+    ``version``: an older version of a table of summaries.
+    """
+    if commits.is_table(spark, path.rstrip("/")):
+        return commits.read(spark, path, version)
+    return spark.read.option("mergeSchema", True).parquet(path).drop(FOLDER)
 
 
 def write_summaries(
-    df: DataFrame, path: str, by: str = "recording", csv: bool = False, buckets: int = BUCKETS
+    df: DataFrame, path: str, by: str = "recording", csv: bool = False, buckets: int = BUCKETS,
+    batch: tuple[str, int] | None = None,
 ):
     """Add summaries to a table; recordings that are in it already are replaced.
 
     Parquet has a fixed number of folders, so millions of recordings are not millions
-    of files: a folder that gets new recordings is written again with the others it
-    holds. The number of folders must not change between writes. Runs jobs.
+    of files, and changes by whole commits (see ``commits``): readers see all of a write or
+    nothing, columns are added and never lost, and ``batch`` makes a repeated write count
+    once. Runs jobs.
 
     CSV has a folder per recording with header and no row names, for exchange.
     """
@@ -102,22 +108,7 @@ def write_summaries(
             .csv(path)
         )
         return
-    new = df.withColumn(BUCKET, F.pmod(F.xxhash64(by), F.lit(buckets)).cast("int"))
-    spark = df.sparkSession
-    if _exists(spark, path):
-        new = landed(new, "new-summaries").df
-        touched = new.select(BUCKET).distinct()
-        old = spark.read.parquet(path)
-        old = old.join(F.broadcast(touched), BUCKET, "left_semi")
-        old = matched(old, new.select(by).distinct(), [by], "left_anti")
-        # the folders are read and replaced: go through the shared folder
-        new = landed(new.unionByName(old, allowMissingColumns=True), "summaries").df
-    _write_folders(new, path, BUCKET, "overwrite")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    commits.upsert(df, path, by, buckets, batch)
 
 
 def read_summaries(

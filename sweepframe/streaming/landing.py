@@ -1,8 +1,9 @@
 """Summarise recordings as they arrive, combine them later.
 
 The stream carries file names only. Each micro-batch reads its new files as an
-ordinary batch job and replaces the summaries of just those recordings, so a
-retried batch gives the same table.
+ordinary batch job and commits the summaries of just those recordings as a whole. The
+commit carries the number of the batch, so a batch that is tried again after its
+commit changes nothing; summaries may get columns from one batch to the next.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def summarise_new_files(
         .select(decoded(F.col("_metadata.file_path")).alias("path"))
     )
 
-    def run(batch: DataFrame, _: int) -> None:
+    def run(batch: DataFrame, number: int) -> None:
         # at most ``files_per_batch`` names
         paths = [r.path for r in batch.select("path").collect()]
         if paths:
@@ -48,7 +49,7 @@ def summarise_new_files(
             )
             # a summary reads its samples more than once: parse the text once
             landed = write_table(samples, "samples")
-            write_summaries(summarise(landed.df), out)
+            write_summaries(summarise(landed.df), out, batch=(checkpoint, number))
             landed.drop()
 
     query = (
