@@ -3,13 +3,16 @@
 For given rates the model is linear in A1, A2 and C, so a grid over the two
 log rates needs nothing but sums over the samples: ``grid_fit`` is a single
 partially aggregated pass. ``refine_fit`` starts from the best grid points and
-iterates Levenberg-Marquardt on all five parameters.
+iterates Levenberg-Marquardt on all five parameters. Sweeps too long for a task are
+compressed first: their samples are summed against Chebyshev polynomials on a few dozen
+blocks, from which the sums of any iteration follow to rounding.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,7 +41,7 @@ LRC1_GRID = (4.0, 4.5, 5.0, 5.5, 6.0)
 LRC2_GRID = (1.5, 1.75, 2.0, 2.25, 2.5)
 #: An accepted step this small (relative), or an improvement this small
 #: (relative to the residual), ends the iteration.
-STEP_TOLERANCE, GAIN_TOLERANCE = 1e-8, 1e-8
+STEP_TOLERANCE, GAIN_TOLERANCE = 1e-8, 1e-12
 #: ... provided that the residual is at right angles to every slope up to this cosine.
 LEVEL_TOLERANCE = 1e-3
 
@@ -58,7 +61,8 @@ def grid_candidates(
 
     The grid lives in aggregate columns: samples are neither copied nor
     collected, and a sweep of any length is summed on the map side. A sweep
-    without any value has ``n = 0`` and no candidate.
+    without any value has ``n = 0`` and no candidate. The range of the times and the
+    sum of squares come along.
     """
     rates = sorted({*lrc1, *lrc2})
     level = {r: F.exp(-F.lit(math.exp(r)) * F.col(t)) for r in rates}
@@ -66,12 +70,16 @@ def grid_candidates(
     usable = F.col(y).isNotNull() & F.col(t).isNotNull()
     rows = samples.select(
         *keys,
+        F.col(t).cast("double").alias("_t"),
         F.when(usable, F.col(y)).alias("_y"),
         *[F.when(usable, e).alias(f"_e{label[r]}") for r, e in level.items()],
     )
+    usable_t = F.col("_y").isNotNull()
     e = {r: F.col(f"_e{label[r]}") for r in rates}
     wanted = [
         F.count("_y").alias("n"),
+        F.min(F.when(usable_t, F.col("_t"))).alias("t_min"),
+        F.max(F.when(usable_t, F.col("_t"))).alias("t_max"),
         F.sum("_y").alias("sy"),
         F.sum(F.col("_y") * F.col("_y")).alias("syy"),
     ]
@@ -104,9 +112,12 @@ def grid_candidates(
         ]
     )
     stages = F.transform(F.transform(F.col("_grid"), _cofactors), _amplitudes)
-    return sums.select(*keys, "n", "sy", "syy", grid.alias("_grid")).select(
+    return sums.select(*keys, "n", "t_min", "t_max", "sy", "syy", grid.alias("_grid")).select(
         *keys,
         "n",
+        "t_min",
+        "t_max",
+        "syy",
         F.array_sort(
             F.filter(F.transform(stages, _residual), lambda c: c["sse"].isNotNull())
         ).alias("candidates"),
@@ -239,22 +250,29 @@ def fresh_state(points: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def advance(s: dict[str, np.ndarray], k: np.ndarray, sse, jtj, jtr, max_passes: int):
+def advance(s: dict[str, np.ndarray], k: np.ndarray, sse, jtj, jtr, max_passes: int, noise=0.0):
     """One Levenberg-Marquardt step of the running rows ``k``.
 
     Judges their trial points by the new sums, keeps or rejects them, and
-    proposes the next trial points.
+    proposes the next trial points. ``noise``: rounding error of ``sse``, within which
+    a residual is none and a gain is not measurable.
     """
     moved = s["passes"][k] > 0
     s["passes"][k] += 1
-    ok = np.isfinite(sse) & np.isfinite(jtj).all(axis=(1, 2)) & (sse <= s["sse"][k])
+    ok = np.isfinite(sse) & np.isfinite(jtj).all(axis=(1, 2)) & (sse <= s["sse"][k] + noise)
     s["status"][k[~ok & ~moved]] = "failed"
     gain = s["sse"][k] - sse
-    step = np.abs(s["trial"][k] - s["p"][k]) / (1e-8 + np.abs(s["p"][k]))
-    short, dry = step.max(axis=1) < STEP_TOLERANCE, gain <= GAIN_TOLERANCE * sse
+    scale = np.abs(s["p"][k])
+    # an amplitude that is none is only known to the rounding of the others
+    most = scale[:, ::2].max(axis=1, keepdims=True)
+    scale[:, ::2] = np.where(np.reshape(noise, (-1, 1)) > 0, most, scale[:, ::2])
+    step = np.abs(s["trial"][k] - s["p"][k]) / (1e-8 + scale)
+    short = step.max(axis=1) < STEP_TOLERANCE
+    dry = (gain <= GAIN_TOLERANCE * sse) & (GAIN_TOLERANCE * sse >= noise)
     # no slope explains a noticeable part of the residual, or there is no residual
     size = np.einsum("kii->ki", jtj) * sse[:, None]
-    level = (jtr**2 <= LEVEL_TOLERANCE**2 * size).all(axis=1) | (sse <= 1e-20 * jtj[:, 4, 4])
+    none = sse <= np.maximum(1e-20 * jtj[:, 4, 4], 100 * noise)
+    level = (jtr**2 <= LEVEL_TOLERANCE**2 * size).all(axis=1) | none
     good = k[ok]
     s["p"][good], s["sse"][good] = s["trial"][good], sse[ok]
     s["jtj"][good], s["jtr"][good] = jtj[ok], jtr[ok]
@@ -291,9 +309,9 @@ def refine_fit(
     """Least-squares fit per sweep: the best of all solvable grid points refined.
 
     Sweeps up to the group limit are refined in one grouped pass, each in its
-    own task slice. Longer sweeps are refined together, one aggregate over
-    their samples per iteration, so none is ever gathered in one place. Both ways
-    take the same steps.
+    own task slice. Longer sweeps are never gathered: one pass of sums compresses them to
+    a few hundred weighted points, on which both ways take the same steps, and one more
+    gives the exact sums at the end.
 
     Every sweep has a row. ``status`` is ``converged`` (nothing to gain, and the
     residual level), ``max_passes`` (the passes ended first), ``stalled`` (no step
@@ -313,6 +331,9 @@ def refine_fit(
         grid_candidates(slim, keys, "_t", "_y", lrc1, lrc2).select(
             *keys,
             "n",
+            "t_min",
+            "t_max",
+            "syy",
             F.transform("candidates", lambda c: F.array(*[c[x] for x in TERMS])).alias("starts"),
         ),
         "fit-starts",
@@ -320,13 +341,12 @@ def refine_fit(
     small = F.col("n") <= limit(spark, GROUP_ROWS)
     longest = begin.agg(F.max("n")).first()[0] or 0
     if longest <= limit(spark, GROUP_ROWS):
-        states = _refine_grouped(slim, begin, keys, max_passes)
-    else:
-        short = begin.filter(small)
-        kept = attach(slim, short.select(*keys), keys, "inner")
-        states = _refine_grouped(kept, short, keys, max_passes).unionByName(
-            _refine_by_passes(slim, begin.filter(~small), keys, max_passes)
-        )
+        return _report(_refine_grouped(slim, begin, keys, max_passes), keys)
+    states = _refine_compressed(slim, begin.filter(~small), keys, max_passes)
+    short = write_table(begin.filter(small), "short-sweeps")
+    if short.rows:
+        kept = attach(slim, short.df.select(*keys), keys, "inner")
+        states = states.unionByName(_refine_grouped(kept, short.df, keys, max_passes))
     return _report(states, keys)
 
 
@@ -344,11 +364,6 @@ def _row(s: dict[str, np.ndarray], k: int) -> dict:
     }
 
 
-def _state_fields(keys: list[str], like: DataFrame) -> T.StructType:
-    key_fields = [like.schema[k] for k in keys]
-    return T.StructType([*key_fields, T.StructField("n", T.LongType()), *STATE.fields])
-
-
 def _refine_grouped(
     slim: DataFrame, begin: DataFrame, keys: list[str], max_passes: int
 ) -> DataFrame:
@@ -409,79 +424,129 @@ def _refine_grouped(
     return traces.withColumn("_fit", fit("_ts", "_ys", "starts")).select(*keys, "n", "_fit.*")
 
 
-def _refine_by_passes(
+# --- long sweeps ---------------------------------------------------------------------
+
+#: Blocks double in length away from the first sample; the first is 2 ** -LEVELS of all.
+LEVELS = 30
+#: Chebyshev polynomials per block. On a block from a to 2a (times since the first
+#: sample) exp(-k t) is exp(-1.5 k a) times a series whose m-th term is at most
+#: 2 I_m(k a / 2). With 24 terms the rest is below 1e-18 of the largest value for every
+#: rate k, as a block that is long for a rate lies where the exponential has died out.
+TERMS_PER_BLOCK = 25
+#: Rounding of sums over compressed samples, relative to their absolute values.
+ROUNDING = 1e-15
+
+
+def _moments(slim: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """Per sweep and block: sums of the polynomials, plain (``m``) and times y (``v``)."""
+    present = slim.filter(F.col("_y").isNotNull())
+    rows = attach(present, ranges, keys, "inner")
+    since, whole = F.col("_t") - F.col("t_min"), F.col("t_max") - F.col("t_min")
+    level = F.greatest(F.lit(0), F.lit(LEVELS) + F.ceil(F.log2(since / whole)).cast("int"))
+    block = F.when((since > 0) & (whole > 0), level).otherwise(0)
+    rows = rows.select(*keys, "_y", since.alias("_s"), whole.alias("_w"), block.alias("block"))
+    high = F.col("_w") * F.pow(F.lit(2.0), F.col("block") - LEVELS)
+    centre, half = (F.when(F.col("block") == 0, high / 2).otherwise(high * c) for c in (0.75, 0.25))
+    place = F.when(high > 0, (F.col("_s") - centre) / half).otherwise(0.0)
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), place)))
+    rows = rows.select(*keys, "block", "_y", angle.alias("_a"))
+    each = [F.cos(m * F.col("_a")) if m else F.lit(1.0) for m in range(TERMS_PER_BLOCK)]
+    named = [F.sum(c).alias(f"_m{m}") for m, c in enumerate(each)]
+    named += [F.sum(c * F.col("_y")).alias(f"_v{m}") for m, c in enumerate(each)]
+    sums = rows.groupBy(*keys, "block").agg(*named)
+    both = [F.array(*[f"_{x}{m}" for m in range(TERMS_PER_BLOCK)]).alias(x) for x in "mv"]
+    return sums.select(*keys, "block", *both)
+
+
+def weighted_points(block: np.ndarray, m: np.ndarray, v: np.ndarray, whole: float):
+    """Times since the first sample, with weights for sums of g(t) and of y g(t).
+
+    A sum over a block's samples is a sum over its Chebyshev nodes, exact for polynomials.
+    """
+    n = TERMS_PER_BLOCK
+    angle = np.pi * (np.arange(n) + 0.5) / n
+    to_nodes = np.cos(np.outer(angle, np.arange(n))) * (2 / n)
+    to_nodes[:, 0] /= 2
+    high = whole * 2.0 ** (block - LEVELS)
+    centre = np.where(block == 0, high / 2, 0.75 * high)
+    half = np.where(block == 0, high / 2, 0.25 * high)
+    since = centre[:, None] + half[:, None] * np.cos(angle)
+    return since.ravel(), (m @ to_nodes.T).ravel(), (v @ to_nodes.T).ravel()
+
+
+def weighted_sums(t: np.ndarray, w: np.ndarray, v: np.ndarray, syy: float, p: np.ndarray):
+    """What ``normal_sums`` gives at points ``p[k]``, from weighted points, and the
+    rounding error of the residual."""
+    k1, k2 = np.exp(p[:, 1:2]), np.exp(p[:, 3:4])
+    jac = np.empty((len(p), 5, len(t)))
+    np.exp(-k1 * t, out=jac[:, 0])
+    np.exp(-k2 * t, out=jac[:, 2])
+    np.multiply(jac[:, 0], (-p[:, 0:1] * k1) * t, out=jac[:, 1])
+    np.multiply(jac[:, 2], (-p[:, 2:3] * k2) * t, out=jac[:, 3])
+    jac[:, 4] = 1.0
+    model = p[:, 0:1] * jac[:, 0] + p[:, 2:3] * jac[:, 2] + p[:, 4:5]
+    jtj = (jac * w) @ jac.transpose(0, 2, 1)
+    jtr = jac @ v - (jac @ (w * model)[:, :, None])[:, :, 0]
+    sse = syy - 2 * model @ v + model**2 @ w
+    noise = ROUNDING * (syy + 2 * np.abs(model) @ np.abs(v) + model**2 @ np.abs(w))
+    return sse, jtj, jtr, noise
+
+
+def _refine_compressed(
     slim: DataFrame, begin: DataFrame, keys: list[str], max_passes: int
 ) -> DataFrame:
-    """Same iteration with the sums over the samples taken by Spark.
+    """All iterations of a sweep on its weighted points; the samples are read twice."""
+    state_type = to_arrow_type(STATE)
+    nothing = dict.fromkeys(STATE.names) | {"passes": 0, "status": "failed"}
 
-    The state is one row per sweep and start. It is written after every pass,
-    which cuts the lineage and keeps finished work when executors are lost.
-    """
-    present = slim.filter(F.col("_y").isNotNull())
-    rows = write_table(attach(present, begin.select(*keys), keys, "inner"), "long-sweeps").df
-    schema = T.StructType(
-        [*_state_fields(keys, begin).fields, T.StructField("start", T.IntegerType())]
-    )
-    zeros = F.array_repeat(F.lit(0.0), 25), F.array_repeat(F.lit(0.0), 5)
-    initial = begin.select(
-        *keys, "n", F.posexplode_outer("starts").alias("start", "p")
-    ).select(
-        *keys, "n", "p", F.col("p").alias("trial"), F.lit(math.inf).alias("sse"),
-        zeros[0].alias("jtj"), zeros[1].alias("jtr"), F.lit(1e-3).alias("damping"),
-        F.lit(0).alias("passes"),
-        F.when(F.col("p").isNull(), "failed").otherwise("running").alias("status"),
-        "start",
-    )
-    state = write_table(initial, "fit-state").df
-
-    def update(batches):
-        for pdf in batches:
-            k = np.flatnonzero(pdf["status"].to_numpy() == "running")
-            if len(k):
-                run = pdf.iloc[k]
-                s = {
-                    "p": np.stack(run["p"].to_list()),
-                    "trial": np.stack(run["trial"].to_list()),
-                    "sse": run["sse"].to_numpy().copy(),
-                    "jtj": np.stack(run["jtj"].to_list()).reshape(-1, 5, 5),
-                    "jtr": np.stack(run["jtr"].to_list()),
-                    "damping": run["damping"].to_numpy().copy(),
-                    "passes": run["passes"].to_numpy().copy(),
-                    "status": run["status"].to_numpy().astype("U10"),
-                }
-                sums = np.stack(run["sums"].to_list()).astype(float)
-                jtj = np.zeros((len(k), 5, 5))
-                for m, (a, b) in enumerate(_UPPER):
-                    jtj[:, a, b] = jtj[:, b, a] = sums[:, 1 + m]
-                with np.errstate(all="ignore"):
-                    advance(s, np.arange(len(k)), sums[:, 0], jtj, sums[:, 16:], max_passes)
-                fresh = pd.DataFrame([_row(s, j) for j in range(len(k))], index=run.index)
-                for name in STATE.names:
-                    pdf[name] = fresh[name].reindex(pdf.index).where(
-                        pdf.index.isin(run.index), pdf[name]
-                    )
-            yield pdf[schema.names]
-
-    for _ in range(max_passes):
-        running = state.filter(F.col("status") == "running")
-        if running.isEmpty():
-            break
-        points = running.select(
-            *keys, "start", *[F.col("trial")[k].alias(f"_p{k}") for k in range(5)]
-        )
-        state = write_table(
-            matched(state, _pass_sums(rows, points, keys), [*keys, "start"])
-            .select(*schema.names, "sums")
-            .mapInPandas(update, schema),
-            "fit-state",
-        ).df
-    usable = F.when(F.col("status") != "failed", F.col("sse"))
-    order = F.struct(F.coalesce(usable, F.lit(math.inf)), F.col("start"))
-    return (
-        state.groupBy(*keys)
-        .agg(F.min_by(F.struct("n", *STATE.names), order).alias("best"))
-        .select(*keys, "best.*")
+    @F.arrow_udf(STATE)
+    def fit(blocks: pa.Array, first: pa.Array, last: pa.Array, syy: pa.Array, starts: pa.Array) -> pa.Array:
+        out = []
+        for own, t0, t1, yy, points in zip(*(x.to_pylist() for x in (blocks, first, last, syy, starts))):
+            if not points or not own:
+                out.append(nothing)
+                continue
+            numbers = [np.array([b[c] for b in own], float) for c in ("block", "m", "v")]
+            since, w, v = weighted_points(*numbers, t1 - t0)
+            s = fresh_state(np.array(points))
+            with np.errstate(all="ignore"):
+                while len(k := running_rows(s)):
+                    *sums, noise = weighted_sums(t0 + since, w, v, yy, s["trial"][k])
+                    advance(s, k, *sums, max_passes, noise)
+            quality = np.where(s["status"] == "failed", np.inf, s["sse"])
+            out.append(_row(s, int(np.argmin(quality))))
+        return pa.array(out, state_type)
+
+    moments = write_table(_moments(slim, begin.select(*keys, "t_min", "t_max"), keys), "moments").df
+    # at most LEVELS + 1 blocks a sweep
+    blocks = moments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "m", "v"))).alias("blocks"))
+    found = matched(begin, blocks, keys).withColumn("_fit", fit("blocks", "t_min", "t_max", "syy", "starts"))
+    states = write_table(found.select(*keys, "n", "_fit.*"), "fit-state").df
+    return _exact(slim, states, keys)
+
+
+def _exact(slim: DataFrame, states: DataFrame, keys: list[str]) -> DataFrame:
+    """``states`` with the sums taken from the samples themselves."""
+    points = states.filter(F.col("p").isNotNull()).select(
+        *keys, F.lit(0).alias("start"), *[F.col("p")[k].alias(f"_p{k}") for k in range(5)]
     )
+    sums = _pass_sums(slim.filter(F.col("_y").isNotNull()), points, keys).drop("start")
+    joined = matched(states, sums, keys)
+    at = {pair: 1 + m for m, pair in enumerate(_UPPER)}
+    jtj = F.array(*[F.col("sums")[at[min(a, b), max(a, b)]] for a in range(5) for b in range(5)])
+    sse, size = F.col("sums")[0], [F.col("sums")[at[k, k]] for k in range(5)]
+    slope = [F.col("sums")[16 + k] for k in range(5)]
+    level = reduce(
+        lambda a, b: a & b, [g * g <= LEVEL_TOLERANCE**2 * d * sse for g, d in zip(slope, size)]
+    ) | (sse <= 1e-20 * size[4])
+    changed = {
+        "jtj": jtj,
+        "jtr": F.slice("sums", 17, 5),
+        "sse": sse,
+        "status": F.when((F.col("status") == "converged") & ~level, "stalled").otherwise(F.col("status")),
+    }
+    known = F.col("sums").isNotNull()
+    return joined.withColumns({c: F.when(known, x).otherwise(F.col(c)) for c, x in changed.items()}).drop("sums")
 
 
 def _pass_sums(rows: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:

@@ -26,9 +26,6 @@ from sweepframe.session import BROADCAST_ROWS, GROUP_ROWS, limit, write_table
 
 #: Samples per block of a cut sweep.
 BLOCK = 16_384
-#: A key is heavy when it holds more than this share of the rows (so there are
-#: at most ``1 / HEAVY_SHARE`` heavy keys, whatever the data).
-HEAVY_SHARE = 0.001
 
 
 def matched(
@@ -52,8 +49,8 @@ def attach(
     """Join a table with one row per key to many rows.
 
     The per-key table is written and counted first. Up to the broadcast limit
-    the rows are not shuffled at all. Beyond it the join is shuffled on the
-    keys, with the heavy keys spread over several salts.
+    the rows are not shuffled at all. Beyond it both sides are shuffled on the keys,
+    so that adaptive execution can split the partition of a heavy key.
     """
     spark = rows.sparkSession
     keys = list(keys)
@@ -61,43 +58,11 @@ def attach(
     if table.rows <= limit(spark, BROADCAST_ROWS):
         joined = matched(rows, F.broadcast(table.df), keys, how)
     else:
-        joined = _salted_join(rows, table.df, keys, how)
+        joined = matched(rows, table.df.hint("merge"), keys, how)
     added = [c for c in per_key.columns if c not in keys]
     return joined.select(*rows.columns, *added)
 
 
-def _salted_join(
-    rows: DataFrame, per_key: DataFrame, keys: list[str], how: str
-) -> DataFrame:
-    counts = write_table(
-        rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "key-counts"
-    ).df
-    # a scalar aggregate: one row, read once on the driver
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    share = max(1.0, total * HEAVY_SHARE)
-    heavy = F.broadcast(
-        counts.filter(F.col("_n") > share).select(
-            *keys, F.ceil(F.col("_n") / F.lit(share)).cast("int").alias("_salts")
-        )
-    )
-    row_hash = F.xxhash64(*[F.col(c) for c in rows.columns])
-    left = matched(rows, heavy, keys).withColumn(
-        "_salt",
-        F.when(F.col("_salts").isNull(), F.lit(0))
-        .otherwise(F.pmod(row_hash, F.col("_salts")))
-        .cast("int"),
-    )
-    right = (
-        matched(per_key, heavy, keys)
-        .withColumn(
-            "_salt",
-            F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)),
-        )
-        .drop("_salts")
-    )
-    return matched(left.drop("_salts"), right, [*keys, "_salt"], how)
-
-
 def attach_aggregates(
     rows: DataFrame, keys: Sequence[str], aggregates: dict[str, Column]
 ) -> DataFrame:

@@ -94,6 +94,72 @@ def test_both_solvers_agree(spark):
         assert [r[x] for x in expfit.TERMS] == pytest.approx([other[k][x] for x in expfit.TERMS], rel=1e-5, abs=1e-7)
 
 
+def test_compressed_sums_are_exact():
+    """Sums from the weighted points equal those over the samples, for slow and fast rates."""
+    rng = np.random.default_rng(5)
+    for n, t0, span in ((3000, 0.0, 0.7), (500, 0.2, 0.7), (40, 3.0, 100.0), (1, 0.5, 0.0)):
+        t = np.sort(t0 + span * np.append(0.0, rng.random(n - 1)))
+        y = rng.standard_normal(n)
+        t[-1] = t0 + span
+        since, level = t - t[0], expfit.LEVELS
+        with np.errstate(all="ignore"):
+            block = np.where(since > 0, np.maximum(0, level + np.ceil(np.log2(since / (t[-1] - t[0])))), 0)
+        high = (t[-1] - t[0]) * 2.0 ** (block - level)
+        centre = np.where(block == 0, high / 2, 0.75 * high)
+        half = np.where(block == 0, high / 2, 0.25 * high)
+        with np.errstate(all="ignore"):
+            angle = np.arccos(np.clip(np.where(high > 0, (since - centre) / half, 0), -1, 1))
+        kinds = np.unique(block)
+        each = np.cos(angle[:, None] * np.arange(expfit.TERMS_PER_BLOCK))
+        m = np.array([each[block == b].sum(0) for b in kinds])
+        v = np.array([(each * y[:, None])[block == b].sum(0) for b in kinds])
+        points, w, wy = expfit.weighted_points(kinds, m, v, t[-1] - t[0])
+        assert len(points) <= (level + 1) * expfit.TERMS_PER_BLOCK
+        for l1 in (-3.0, 0.0, 2.0, 5.0, 8.0, 12.0):
+            p = np.array([[0.65, l1, 0.3, l1 / 2, 0.1]])
+            want = expfit.normal_sums(t[None], y[None], p)
+            *got, noise = expfit.weighted_sums(t[0] + points, w, wy, float(y @ y), p)
+            scale = 1 + np.abs(want[1]).max()
+            assert abs(got[0] - want[0]) <= 1e-11 * n + noise
+            assert np.abs(got[1] - want[1]).max() <= 1e-11 * scale
+            assert np.abs(got[2] - want[2]).max() <= 1e-11 * (scale + n)
+
+
+def scanned_rows(spark, label):
+    """Rows read so far from the written tables with a label, by Spark's own counts."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    executions = store.executionsList()
+    for k in range(executions.size()):
+        number = executions.apply(k).executionId()
+        counts, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for j in range(nodes.size()):
+            node = nodes.apply(j)
+            if node.name().startswith("Scan parquet") and label in node.desc():
+                metrics = node.metrics()
+                for i in range(metrics.size()):
+                    metric = metrics.apply(i)
+                    if metric.name() == "number of output rows" and counts.contains(metric.accumulatorId()):
+                        total += int(counts.apply(metric.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_long_sweeps_are_scanned_three_times(spark, tight_limits):
+    """Whatever the number of passes, with the same parameters to 1e-8."""
+    sweeps = {k: biexp(n=700, noise=0.002 * k, seed=k) for k in range(4)}
+    long = frame(spark, sweeps).cache()
+    rows = long.count()
+    before = scanned_rows(spark, "fit-samples")
+    got = {r.sweep: r for r in expfit.refine_fit(long, KEYS).collect()}
+    assert scanned_rows(spark, "fit-samples") - before <= 3 * rows
+    spark.conf.unset("sweepframe.groupRows")
+    want = {r.sweep: r for r in expfit.refine_fit(long, KEYS).collect()}
+    for k, r in want.items():
+        assert got[k].status == r.status == "converged"
+        assert [got[k][x] for x in expfit.TERMS] == pytest.approx([r[x] for x in expfit.TERMS], abs=1e-8)
+        assert got[k].std_errors == pytest.approx(r.std_errors, rel=1e-5, abs=1e-10)
+
+
 def test_more_starts_never_fit_worse(samples):
     """All grid points are refined: no better residual is left from any of them."""
     got = {r.sweep: r.sse for r in expfit.refine_fit(samples, KEYS).collect()}
