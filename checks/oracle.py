@@ -263,6 +263,74 @@ terms AS (
 )"""
 
 
+def _swept(k: int, names: list[str]) -> str:
+    """The symmetric matrix after the sweep of pivot ``k``, an entry a column."""
+    at = lambda i, j: f"m{min(i, j)}{max(i, j)}"
+    n = len(names)
+    out = []
+    for i in range(n):
+        for j in range(i, n):
+            if i == k and j == k:
+                e = f"-1 / {at(k, k)}"
+            elif k in (i, j):
+                e = f"{at(i, j)} / {at(k, k)}"
+            else:
+                e = f"{at(i, j)} - {at(i, k)} * {at(k, j)} / {at(k, k)}"
+            out.append(f"{e} AS {at(i, j)}")
+    return ", ".join(out)
+
+
+#: Chance that |t| with 295 degrees of freedom is below some value, as a finite series.
+def _within(t: str) -> str:
+    angle = f"atan(abs({t}) / sqrt(295.0))"
+    series = f"""list_sum([exp(lgamma(j) - lgamma(j + 0.5)) * sqrt(pi()) / 2 * pow(cos({angle}), 2 * j - 1)
+                           for j in range(1, 148)])"""
+    return f"(2 / pi() * ({angle} + sin({angle}) * {series}))"
+
+
+_SLOPES = ["e1", "-a1 * k1 * t * e1", "e2", "-a2 * k2 * t * e2", "1.0", "off"]
+#: Parameters, residual and covariance of the traces with a known residual.
+RESIDUAL = f"""
+  RECURSIVE width(k, lo, hi) AS (
+    SELECT 0, 0.0::DOUBLE, 10.0::DOUBLE
+    UNION ALL
+    SELECT k + 1, CASE WHEN {_within('(lo + hi) / 2')} < 0.95 THEN (lo + hi) / 2 ELSE lo END,
+           CASE WHEN {_within('(lo + hi) / 2')} < 0.95 THEN hi ELSE (lo + hi) / 2 END
+    FROM width WHERE k < 50
+  ),
+  truth AS (
+    SELECT vec_id, embedding,
+           0.6 + least(greatest(round(embedding[1]::DOUBLE * 100) / 1000, -0.3), 0.3) AS a1,
+           4.4 + (vec_id % 7) / 10 AS l1,
+           0.4 + least(greatest(round(embedding[2]::DOUBLE * 100) / 1000, -0.3), 0.3) AS a2,
+           1.6 + (vec_id % 9) / 10 AS l2, (vec_id % 5) / 500 AS c
+    FROM embeddings
+  ),
+  points AS (
+    SELECT vec_id, a1, a2, exp(l1) AS k1, exp(l2) AS k2, i * 0.002 AS t, 0.1 * embedding[i % 64 + 1]::DOUBLE AS off
+    FROM truth, range(300) AS r(i)
+  ),
+  slopes AS (
+    SELECT vec_id, {', '.join(f'{e} AS s{k}' for k, e in enumerate(_SLOPES))}
+    FROM (SELECT *, exp(-k1 * t) AS e1, exp(-k2 * t) AS e2 FROM points)
+  ),
+  w0 AS (
+    SELECT vec_id, {', '.join(f'sum(s{i} * s{j}) AS m{i}{j}' for i in range(6) for j in range(i, 6))}
+    FROM slopes GROUP BY vec_id
+  ),
+  {', '.join(f'w{k + 1} AS (SELECT vec_id, {_swept(k, _SLOPES)} FROM w{k})' for k in range(5))},
+  -- what is left of the squares, and less the inverse of the slopes' products
+  terms AS (
+    SELECT vec_id, unnest(['A1', 'lrc1', 'A2', 'lrc2', 'C']) AS term,
+           unnest([a1, l1, a2, l2, c]) AS value,
+           unnest([-m00, -m11, -m22, -m33, -m44]) * m55 / 295 AS variance
+    FROM truth JOIN w5 USING (vec_id)
+  ),
+  errors AS (
+    SELECT *, sqrt(variance) AS std_error, (SELECT lo FROM width WHERE k = 50) * sqrt(variance) AS half FROM terms
+  )"""
+
+
 def _known(name: str, digits: int = 6) -> str:
     return f"CASE WHEN NOT empty THEN round({name}, {digits}) + 0.0 END"
 
@@ -290,8 +358,19 @@ ORACLE: dict[str, str] = {
                {_known('exp(-value)', 5)} AS conf_hi,
                CASE WHEN term = 'lrc1' THEN 'fast' ELSE 'slow' END AS component
         FROM terms WHERE term LIKE 'lrc%'""",
-    "q_refine_noise": """
-        SELECT vec_id, len(embedding)::BIGINT AS n, true AS no_worse, true AS flat FROM embeddings""",
+    "q_refine_errors": f"""WITH {RESIDUAL}
+        SELECT vec_id, 295.0::DOUBLE AS df_residual, term, {r('value', 3, 'estimate')},
+               {r('std_error', 6, 'std_error')}, {r('value / std_error', 1, 'statistic')},
+               {r(f"1 - {_within('value / std_error')}", 3, 'p_value')},
+               {r('value - half', 3, 'conf_lo')}, {r('value + half', 3, 'conf_hi')}
+        FROM errors""",
+    "q_refine_tau_limits": f"""WITH {RESIDUAL}
+        SELECT vec_id, term, {r('exp(-value)', 4, 'tau')}, {r('exp(-(value + half))', 4, 'conf_lo')},
+               {r('exp(-(value - half))', 4, 'conf_hi')},
+               CASE WHEN term = 'lrc1' THEN 'fast' ELSE 'slow' END AS component
+        FROM errors WHERE term LIKE 'lrc%'""",
+    "q_refine_noise": f"""WITH {GRID}
+        SELECT vec_id, n, true AS same, true AS no_worse, round(sse, 6) AS grid_sse FROM best""",
     "q_extremal_tail": f"""WITH {SWEPT},
         f AS (
           SELECT user_id AS recording, sweep, max(round(i / 2000)) FILTER (sample_idx = 2) AS v_pulse,

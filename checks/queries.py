@@ -12,9 +12,10 @@ Stand-ins for recordings:
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 from math import inf
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -618,20 +619,25 @@ def component_curves(spark, sf):
     return rounded(out, 5, "t", "fitted")
 
 
-def known_trace(spark, sf) -> DataFrame:
-    """Noiseless relaxations whose parameters come from the table; every fiftieth trace
-    has no values."""
+def _truth(spark, sf) -> DataFrame:
+    """Parameters of a relaxation per vector."""
     vec = F.col("vec_id")
 
     def amplitude(k: int, middle: float) -> Column:
         off = F.round(F.get("embedding", F.lit(k)).cast("double") * 100) / 1000
         return middle + F.least(F.greatest(off, F.lit(-0.3)), F.lit(0.3))
 
-    truth = table(spark, sf, "embeddings").select(
+    return table(spark, sf, "embeddings").select(
         "vec_id", amplitude(0, 0.6).alias("a1"), (4.4 + F.pmod(vec, F.lit(7)) / 10).alias("l1"),
         amplitude(1, 0.4).alias("a2"), (1.6 + F.pmod(vec, F.lit(9)) / 10).alias("l2"),
-        (0.05 + F.pmod(vec, F.lit(5)) / 100).alias("c"),
+        (0.05 + F.pmod(vec, F.lit(5)) / 100).alias("c"), "embedding",
     )
+
+
+def known_trace(spark, sf) -> DataFrame:
+    """Noiseless relaxations whose parameters come from the table; every fiftieth trace
+    has no values."""
+    vec, truth = F.col("vec_id"), _truth(spark, sf).drop("embedding")
     return truth.select("*", F.explode(step_grid(0, 299, 0.002)).alias("t_fit")).select(
         "vec_id", "t_fit",
         F.when(vec % 50 != 0, two_exp("t_fit", "a1", "l1", "a2", "l2", "c")).alias("i_norm"),
@@ -663,31 +669,64 @@ def refine_taus(spark, sf):
     return rounded(taus, 5, "tau", "conf_lo", "conf_hi")
 
 
+def residual_trace(spark, sf) -> DataFrame:
+    """Relaxations with a residual at right angles to the five slopes, from the vectors.
+
+    The parameters they are made from are the best ones, though every sample is off, and
+    the residual and its errors are known.
+    """
+    vec = F.col("vec_id")
+
+    @F.pandas_udf("array<double>")
+    def off(a1: pd.Series, l1: pd.Series, a2: pd.Series, l2: pd.Series, vectors: pd.Series) -> pd.Series:
+        t = np.arange(300) * 0.002
+        out = []
+        for *p, v in zip(a1, l1, a2, l2, vectors):
+            e1, e2 = (np.exp(-np.exp(x) * t) for x in p[1::2])
+            slopes = np.column_stack([e1, t * e1, e2, t * e2, np.ones_like(t)])
+            q = np.linalg.qr(slopes)[0]
+            raw = 0.1 * np.resize(np.asarray(v, float), 300)
+            for _ in range(2):
+                raw = raw - q @ (q.T @ raw)
+            out.append(raw)
+        return pd.Series(out)
+
+    truth = _truth(spark, sf).withColumn("c", F.pmod(vec, F.lit(5)) / 500)
+    truth = truth.withColumn("off", off("a1", "l1", "a2", "l2", "embedding")).drop("embedding")
+    rows = truth.select("*", F.posexplode("off").alias("_i", "_off")).withColumn("t_fit", F.col("_i") * 0.002)
+    y = two_exp("t_fit", "a1", "l1", "a2", "l2", "c") + F.col("_off")
+    return rows.select("vec_id", "t_fit", y.alias("i_norm"))
+
+
+def _residual_terms(spark, sf) -> DataFrame:
+    fit = expfit.refine_fit(residual_trace(spark, sf), ["vec_id"], lrc1=LRC1, lrc2=LRC2)
+    return expfit.fit_terms(write_table(fit, "fits").df, ["vec_id"])
+
+
+def refine_errors(spark, sf):
+    """Errors, t, probabilities and limits of fits with a known residual."""
+    out = rounded(_residual_terms(spark, sf), 3, "estimate", "conf_lo", "conf_hi", "p_value")
+    return rounded(rounded(out, 6, "std_error"), 1, "statistic")
+
+
+def refine_tau_limits(spark, sf):
+    """Time constants of the same fits, with their limits."""
+    taus = expfit.time_constants(_residual_terms(spark, sf), ["vec_id"])
+    return rounded(taus, 4, "tau", "conf_lo", "conf_hi")
+
+
 def refine_noise(spark, sf):
-    """Fits of noise: never worse than the grid, and level where they converged."""
-    samples = vector_trace(spark, sf)
-    fit = expfit.refine_fit(samples, ["vec_id"], y="i", lrc1=LRC1, lrc2=LRC2)
+    """Fits of noise, their residuals taken from the samples again."""
+    fit = expfit.refine_fit(vector_trace(spark, sf), ["vec_id"], y="i", lrc1=LRC1, lrc2=LRC2)
     fit = write_table(fit, "fits").df
     best = _grid(spark, sf).select("vec_id", F.col("sse").alias("grid_sse"))
-    t, res = F.col("t_fit"), F.col("i") - two_exp("t_fit", *expfit.TERMS[:4], "C")
-    e1, e2 = (F.exp(-F.exp(c) * t) for c in ("lrc1", "lrc2"))
-    slopes = (
-        e1, -F.col("A1") * F.exp("lrc1") * t * e1, e2, -F.col("A2") * F.exp("lrc2") * t * e2, F.lit(1.0),
-    )
-    joined = samples.join(fit.select("vec_id", "status", "sse", *expfit.TERMS), "vec_id")
-    # the part of the residual along each slope, as a cosine; the squares of a slope
-    # that has died out are no numbers
-    level = [
-        F.abs(F.sum(s * res)) <= 0.01 * F.sqrt(F.sum(s * s) * F.sum(res * res)) + 1e-100
-        for s in slopes
-    ]
-    flat = joined.groupBy("vec_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.first("sse").alias("sse"),
-        ((F.first("status") != "converged") | reduce(lambda a, b: a & b, level)).alias("flat"),
-    )
+    res = F.col("i") - two_exp("t_fit", *expfit.TERMS[:4], "C")
+    left = vector_trace(spark, sf).join(fit.select("vec_id", *expfit.TERMS), "vec_id")
+    left = left.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), F.sum(res * res).alias("left"))
+    out = fit.select("vec_id", "sse", "status").join(left, "vec_id").join(best, "vec_id")
+    same = F.abs(F.col("sse") - F.col("left")) <= 1e-9 * F.col("left")
     worse = F.col("sse") > F.col("grid_sse") * (1 + 1e-9)
-    return flat.join(best, "vec_id").select("vec_id", "n", (~worse).alias("no_worse"), "flat")
+    return out.select("vec_id", "n", same.alias("same"), (~worse).alias("no_worse"), F.round("grid_sse", 6).alias("grid_sse"))
 
 
 def extremal_tail(spark, sf):
@@ -798,6 +837,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_biexp_refine": biexp_refine,
     "q_refine_terms": refine_terms,
     "q_refine_taus": refine_taus,
+    "q_refine_errors": refine_errors,
+    "q_refine_tau_limits": refine_tau_limits,
     "q_refine_noise": refine_noise,
     "q_extremal_tail": extremal_tail,
     "q_probe_beside": probe_beside,

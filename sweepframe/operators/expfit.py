@@ -428,6 +428,9 @@ def _refine_grouped(
 
 #: Blocks double in length away from the first sample; the first is 2 ** -LEVELS of all.
 LEVELS = 30
+#: The block of samples at the very first time, which are kept as they are: a rate may be
+#: so high that only they differ from the rest.
+FIRST = -1
 #: Chebyshev polynomials per block. On a block from a to 2a (times since the first
 #: sample) exp(-k t) is exp(-1.5 k a) times a series whose m-th term is at most
 #: 2 I_m(k a / 2). With 24 terms the rest is below 1e-18 of the largest value for every
@@ -443,9 +446,9 @@ def _moments(slim: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
     rows = attach(present, ranges, keys, "inner")
     since, whole = F.col("_t") - F.col("t_min"), F.col("t_max") - F.col("t_min")
     level = F.greatest(F.lit(0), F.lit(LEVELS) + F.ceil(F.log2(since / whole)).cast("int"))
-    block = F.when((since > 0) & (whole > 0), level).otherwise(0)
+    block = F.when(since > 0, level).otherwise(FIRST)
     rows = rows.select(*keys, "_y", since.alias("_s"), whole.alias("_w"), block.alias("block"))
-    high = F.col("_w") * F.pow(F.lit(2.0), F.col("block") - LEVELS)
+    high = F.when(F.col("block") == FIRST, 0.0).otherwise(F.col("_w") * F.pow(F.lit(2.0), F.col("block") - LEVELS))
     centre, half = (F.when(F.col("block") == 0, high / 2).otherwise(high * c) for c in (0.75, 0.25))
     place = F.when(high > 0, (F.col("_s") - centre) / half).otherwise(0.0)
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), place)))
@@ -467,7 +470,7 @@ def weighted_points(block: np.ndarray, m: np.ndarray, v: np.ndarray, whole: floa
     angle = np.pi * (np.arange(n) + 0.5) / n
     to_nodes = np.cos(np.outer(angle, np.arange(n))) * (2 / n)
     to_nodes[:, 0] /= 2
-    high = whole * 2.0 ** (block - LEVELS)
+    high = np.where(block == FIRST, 0.0, whole * 2.0 ** (block - LEVELS))
     centre = np.where(block == 0, high / 2, 0.75 * high)
     half = np.where(block == 0, high / 2, 0.25 * high)
     since = centre[:, None] + half[:, None] * np.cos(angle)
@@ -518,7 +521,7 @@ def _refine_compressed(
         return pa.array(out, state_type)
 
     moments = write_table(_moments(slim, begin.select(*keys, "t_min", "t_max"), keys), "moments").df
-    # at most LEVELS + 1 blocks a sweep
+    # at most LEVELS + 2 blocks a sweep
     blocks = moments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "m", "v"))).alias("blocks"))
     found = matched(begin, blocks, keys).withColumn("_fit", fit("blocks", "t_min", "t_max", "syy", "starts"))
     states = write_table(found.select(*keys, "n", "_fit.*"), "fit-state").df

@@ -103,8 +103,8 @@ def test_compressed_sums_are_exact():
         t[-1] = t0 + span
         since, level = t - t[0], expfit.LEVELS
         with np.errstate(all="ignore"):
-            block = np.where(since > 0, np.maximum(0, level + np.ceil(np.log2(since / (t[-1] - t[0])))), 0)
-        high = (t[-1] - t[0]) * 2.0 ** (block - level)
+            block = np.where(since > 0, np.maximum(0, level + np.ceil(np.log2(since / (t[-1] - t[0])))), -1)
+        high = np.where(block < 0, 0, (t[-1] - t[0]) * 2.0 ** (block - level))
         centre = np.where(block == 0, high / 2, 0.75 * high)
         half = np.where(block == 0, high / 2, 0.25 * high)
         with np.errstate(all="ignore"):
@@ -114,8 +114,8 @@ def test_compressed_sums_are_exact():
         m = np.array([each[block == b].sum(0) for b in kinds])
         v = np.array([(each * y[:, None])[block == b].sum(0) for b in kinds])
         points, w, wy = expfit.weighted_points(kinds, m, v, t[-1] - t[0])
-        assert len(points) <= (level + 1) * expfit.TERMS_PER_BLOCK
-        for l1 in (-3.0, 0.0, 2.0, 5.0, 8.0, 12.0):
+        assert len(points) <= (level + 2) * expfit.TERMS_PER_BLOCK
+        for l1 in (-3.0, 0.0, 2.0, 5.0, 8.0, 12.0, 16.0, 40.0):
             p = np.array([[0.65, l1, 0.3, l1 / 2, 0.1]])
             want = expfit.normal_sums(t[None], y[None], p)
             *got, noise = expfit.weighted_sums(t[0] + points, w, wy, float(y @ y), p)
