@@ -289,6 +289,21 @@ def _within(t: str) -> str:
 
 
 _SLOPES = ["e1", "-a1 * k1 * t * e1", "e2", "-a2 * k2 * t * e2", "1.0", "off"]
+#: Names of the trace files, one for each event type.
+NAMES = """
+  kinds AS (
+    SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS k FROM (SELECT DISTINCT event_type FROM events)
+  ),
+  names AS (
+    SELECT *, 'c' || k AS id, 'Chan' || event_type AS channel, '5K-Na' AS "Pip",
+           event_type || '+tpa.00' || k || '.txt' AS last, CASE WHEN k = 1 THEN 'again ' ELSE '' END AS extra
+    FROM kinds
+  ),
+  files AS (
+    SELECT event_type, k, id, channel, "Pip", id || ' ' || channel || ' ' || "Pip" || ' ' || extra || last AS file_name,
+           CASE WHEN k = 1 THEN 'again' ELSE last END AS file
+    FROM names
+  )"""
 #: Parameters, residual and covariance of the traces with a known residual.
 RESIDUAL = f"""
   RECURSIVE width(k, lo, hi) AS (
@@ -467,6 +482,19 @@ ORACLE: dict[str, str] = {
         GROUP BY user_id, event_type""",
     "q_trace_files": """
         SELECT event_id, round(value * 100) AS i, true AS in_place FROM events""",
+    "q_trace_meta": f"""WITH {NAMES},
+        ev AS (
+          SELECT event_type, event_id, round(value * 100) AS i, count(*) OVER (PARTITION BY event_type) AS n,
+                 row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS pos
+          FROM events
+        )
+        SELECT file_name, id, channel, "Pip", file, string_split(file, '.')[1] AS cond, pos // 16 + 1 AS sweep,
+               pos % 16 AS sample_idx, 0.25::DOUBLE AS t, i, event_id, pos < n - n % 16 AS complete
+        FROM ev JOIN files USING (event_type)""",
+    "q_trace_names": f"""WITH {NAMES}
+        SELECT file_name, id, channel, "Pip", file, len(string_split(file_name, ' ')) AS n_tokens, k <> 1 AS ok,
+               true AS has_bytes, CASE WHEN k = 2 THEN 'late' ELSE 'top' END AS folder
+        FROM files""",
     "q_preview": """SELECT event_id, user_id, event_type, value FROM events
         ORDER BY ts, event_id LIMIT 6""",
     "q_union_protocols": """

@@ -57,7 +57,7 @@ from sweepframe.plans import steps
 from sweepframe.protocol import Window
 from sweepframe.session import scratch_path, write_table
 from sweepframe.sources import arrays, tables
-from sweepframe.sources.traces import read_traces, text_lines
+from sweepframe.sources.traces import add_condition, check_filenames, list_files, read_traces, text_lines
 
 PER_SWEEP = 16
 #: Open windows on the sample number of a whole trace.
@@ -308,6 +308,50 @@ def trace_files(spark, sf):
     )
 
 
+def _named_files(spark, sf) -> str:
+    """Folder with a trace file per event type, named as recordings are; one name has a
+    token too many, and one file lies in a folder of its own."""
+    folder = scratch_path(spark, "recordings")
+    events = table(spark, sf, "events").select("event_type", "ts", "event_id", hundredths("value"))
+    # a handful of types; a file is written by one task, as a recording is
+    for k, (kind,) in enumerate(events.select("event_type").distinct().orderBy("event_type").collect()):
+        part = f"{folder}-{k}"
+        rows = events.where(F.col("event_type") == kind).repartition(1).sortWithinPartitions("ts", "event_id")
+        rows.select(F.concat_ws("\t", F.lit(0.25), "i", "event_id").alias("value")).write.text(part)
+        extra = "again " if k == 1 else ""
+        own = f"{folder}/late" if k == 2 else folder
+        _move_only_file(spark, part, own, f"c{k} Chan{kind} 5K-Na {extra}{kind}+tpa.00{k}.txt")
+    return folder
+
+
+def _move_only_file(spark, source: str, folder: str, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path(folder))
+    (found,) = [s.getPath() for s in store.listStatus(path(source)) if s.getPath().getName().startswith("part-")]
+    store.rename(found, path(folder, name))
+
+
+def trace_meta(spark, sf):
+    """Named files of two folders as samples with metadata and condition."""
+    back = read_traces(spark, _named_files(spark, sf), PER_SWEEP, recursive=True, strict=False)
+    name = F.substring_index("recording", "/", -1).alias("file_name")
+    return add_condition(back).select(
+        name, "id", "channel", "Pip", "file", "cond", "sweep", "sample_idx", "t", "i",
+        F.col("v").cast("long").alias("event_id"), "complete",
+    )
+
+
+def trace_names(spark, sf):
+    """Files of a folder and all below it, and whether their names have the right parts."""
+    files = list_files(spark, _named_files(spark, sf), recursive=True)
+    folders = files.select("file_name", F.substring_index("folder", "/", -1).alias("folder"))
+    sized = files.select("file_name", (F.col("bytes") > 0).alias("has_bytes"))
+    folder = F.when(F.col("folder") == "late", "late").otherwise("top").alias("folder")
+    found = check_filenames(files).join(folders, "file_name").join(sized, "file_name")
+    return found.select("file_name", "id", "channel", "Pip", "file", "n_tokens", "ok", "has_bytes", folder)
+
+
 def preview(spark, sf):
     ev = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", "ts")
     return ev.orderBy("ts", "event_id").limit(6).drop("ts")
@@ -801,6 +845,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_summary_commits": summary_commits,
     "q_landed_table": landed_table,
     "q_trace_files": trace_files,
+    "q_trace_meta": trace_meta,
+    "q_trace_names": trace_names,
     "q_preview": preview,
     "q_union_protocols": union_protocols,
     "q_baseline_norm": baseline_norm,
