@@ -491,6 +491,15 @@ ORACLE: dict[str, str] = {
         SELECT file_name, id, channel, "Pip", file, string_split(file, '.')[1] AS cond, pos // 16 + 1 AS sweep,
                pos % 16 AS sample_idx, 0.25::DOUBLE AS t, i, event_id, pos < n - n % 16 AS complete
         FROM ev JOIN files USING (event_type)""",
+    "q_trace_landed": f"""WITH {NAMES},
+        ev AS (
+          SELECT event_type, event_id, round(value * 100) AS i, count(*) OVER (PARTITION BY event_type) AS n,
+                 row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS pos
+          FROM events
+        )
+        SELECT id, channel, "Pip", file, pos // 16 + 1 AS sweep, pos % 16 AS sample_idx, i, event_id,
+               pos < n - n % 16 AS complete
+        FROM ev JOIN files USING (event_type)""",
     "q_trace_names": f"""WITH {NAMES}
         SELECT file_name, id, channel, "Pip", file, len(string_split(file_name, ' ')) AS n_tokens, k <> 1 AS ok,
                true AS has_bytes, CASE WHEN k = 2 THEN 'late' ELSE 'top' END AS folder

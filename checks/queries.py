@@ -57,7 +57,15 @@ from sweepframe.plans import steps
 from sweepframe.protocol import Window
 from sweepframe.session import scratch_path, write_table
 from sweepframe.sources import arrays, tables
-from sweepframe.sources.traces import add_condition, check_filenames, list_files, read_traces, text_lines
+from sweepframe.sources.traces import (
+    add_condition,
+    check_filenames,
+    land_traces,
+    list_files,
+    read_landed,
+    read_traces,
+    text_lines,
+)
 
 PER_SWEEP = 16
 #: Open windows on the sample number of a whole trace.
@@ -342,6 +350,15 @@ def trace_meta(spark, sf):
     )
 
 
+def trace_landed(spark, sf):
+    """The same files landed as a table with one reading of the text."""
+    path = scratch_path(spark, "landed-traces")
+    land_traces(spark, _named_files(spark, sf), path, PER_SWEEP, recursive=True, strict=False)
+    return read_landed(spark, path, PER_SWEEP).select(
+        "id", "channel", "Pip", "file", "sweep", "sample_idx", "i", F.col("v").cast("long").alias("event_id"), "complete"
+    )
+
+
 def trace_names(spark, sf):
     """Files of a folder and all below it, and whether their names have the right parts."""
     files = list_files(spark, _named_files(spark, sf), recursive=True)
@@ -846,6 +863,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_landed_table": landed_table,
     "q_trace_files": trace_files,
     "q_trace_meta": trace_meta,
+    "q_trace_landed": trace_landed,
     "q_trace_names": trace_names,
     "q_preview": preview,
     "q_union_protocols": union_protocols,

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from sweepframe.functions.scalars import before_dot, tokens
 from sweepframe.operators.annotate import number_sweeps
-from sweepframe.operators.keyed import attach
-from sweepframe.session import fix_splits, write_table
+from sweepframe.session import BROADCAST_ROWS, fix_splits, limit, write_table
 
 META = ("id", "channel", "Pip", "file")
 
@@ -118,18 +117,7 @@ def read_traces(
     is read. Runs a job that counts the lines, and fixes the session's file splits.
     """
     fix_splits(spark)
-    lines = (
-        spark.read.option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", recursive)
-        .text(path)
-        .select(
-            F.trim("value").alias("line"),
-            F.col("_metadata.file_path").alias("_path"),
-            F.col("_metadata.file_name").alias("_name"),
-            F.col("_metadata.file_block_start").alias("_start"),
-        )
-        .filter(F.col("line") != "")
-    )
+    lines = _lines(spark, path, glob, recursive)
     # one row per file split; a file has as many as its bytes / split size
     in_file, of_name = W.partitionBy("_path"), W.partitionBy("_name")
     ordered = in_file.orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
@@ -146,15 +134,7 @@ def read_traces(
     )
     splits = write_table(splits, "splits").df
     by_path = recursive or _folders(path, glob) > 1
-    faults = F.when(
-        F.lit(strict) & (F.col("n_samples") % n_per_sweep != 0),
-        F.concat(F.lit("incomplete last sweep: "), F.col("_path")),
-    )
-    if not by_path:
-        # a pattern in the path may reach into several folders
-        text = F.lit("files of several folders share the name ")
-        faults = F.when(F.col("_shared"), F.concat(text, F.col("_name"))).otherwise(faults)
-    _stop_on(splits, faults)
+    _stop_on(splits, _faults(n_per_sweep, strict, by_path))
 
     numbered = _numbered(lines)
     changed = F.raise_error(
@@ -166,9 +146,7 @@ def read_traces(
         placed = numbered.withColumn("n_samples", F.lit(None).cast("long"))
         pos = F.when(F.col("_start") == 0, local).otherwise(changed)
     else:
-        placed = attach(
-            numbered, splits.drop("_name", "_shared"), ["_path", "_start"]
-        )
+        placed = _with_splits(numbered, splits.drop("_name", "_shared"))
         pos = F.when(
             local.between(0, F.col("_lines") - 1), local + F.col("_before")
         ).otherwise(changed)
@@ -188,6 +166,112 @@ def read_traces(
     return swept.drop("pos", "n_samples")
 
 
+def _with_splits(rows: DataFrame, splits: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their splits, if these are known; broadcast up to the limit.
+
+    A split has as many lines as fit into its bytes, so beyond the limit a plain shuffle
+    is even, and is given a number of tasks that small inputs do not reduce.
+    """
+    keys = ["_path", "_start"]
+    if splits.count() <= limit(rows.sparkSession, BROADCAST_ROWS):
+        return rows.join(F.broadcast(splits), keys, "left")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *keys).join(splits.repartition(n, *keys).hint("merge"), keys, "left")
+
+
+def _lines(spark: SparkSession, path: str | list[str], glob: str, recursive: bool) -> DataFrame:
+    """Lines that are not blank, with their file and the place where their split begins."""
+    return (
+        spark.read.option("pathGlobFilter", glob)
+        .option("recursiveFileLookup", recursive)
+        .text(path)
+        .select(
+            F.trim("value").alias("line"),
+            F.col("_metadata.file_path").alias("_path"),
+            F.col("_metadata.file_name").alias("_name"),
+            F.col("_metadata.file_block_start").alias("_start"),
+        )
+        .filter(F.col("line") != "")
+    )
+
+
+def _faults(n_per_sweep: int, strict: bool, by_path: bool) -> Column:
+    """What is wrong with a file, by a row of its splits."""
+    faults = F.when(
+        F.lit(strict) & (F.col("n_samples") % n_per_sweep != 0),
+        F.concat(F.lit("incomplete last sweep: "), F.col("_path")),
+    )
+    if by_path:
+        return faults
+    # a pattern in the path may reach into several folders
+    text = F.lit("files of several folders share the name ")
+    return F.when(F.col("_shared"), F.concat(text, F.col("_name"))).otherwise(faults)
+
+
+def land_traces(
+    spark: SparkSession,
+    path: str | list[str],
+    out: str,
+    n_per_sweep: int,
+    glob: str = "*.txt",
+    recursive: bool = False,
+    strict: bool = True,
+) -> None:
+    """Write the samples of all matching files as a table, reading the text once.
+
+    A sample keeps the number that it got as its task read it. These numbers run on
+    within a file split, so that a row for each split, counted from the written table
+    without another look at the text, is enough to tell a sample's place in its file:
+    ``read_landed`` adds the difference. Neither Python nor a shuffle is in the way of a
+    sample, and the splits need not stay the same afterwards. Faults stop as in
+    ``read_traces``, before anything can be read. Runs jobs.
+    """
+    out = out.rstrip("/")
+    lines = _lines(spark, path, glob, recursive)
+    # the number is given after blank lines are gone
+    numbered = lines.withColumn("_mark", F.monotonically_increasing_id())
+    numbered.select("_path", "_name", "_start", "_mark", *parse_sample(F.col("line"))).write.parquet(f"{out}/samples")
+    landed = spark.read.parquet(f"{out}/samples")
+    in_file, of_name = W.partitionBy("_path"), W.partitionBy("_name")
+    ordered = in_file.orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
+    splits = (
+        landed.groupBy("_path", "_name", "_start")
+        .agg(F.count(F.lit(1)).alias("_lines"), F.min("_mark").alias("_first"), F.max("_mark").alias("_last"))
+        .withColumns(
+            {
+                "_shift": F.coalesce(F.sum("_lines").over(ordered), F.lit(0)) - F.col("_first"),
+                "n_samples": F.sum("_lines").over(in_file),
+                "_shared": F.min("_path").over(of_name) != F.max("_path").over(of_name),
+            }
+        )
+    )
+    splits = write_table(splits, "splits").df
+    by_path = recursive or _folders(path, glob) > 1
+    torn = F.col("_last") - F.col("_first") + 1 != F.col("_lines")
+    text = F.concat(F.lit("lines of a split are not in a row: "), F.col("_path"))
+    _stop_on(splits, F.when(torn, text).otherwise(_faults(n_per_sweep, strict, by_path)))
+    kept = splits.select("_path", "_start", "_shift", "n_samples", F.lit(by_path).alias("_by_path"))
+    kept.write.parquet(f"{out}/splits")
+
+
+def read_landed(
+    spark: SparkSession, out: str, n_per_sweep: int, sep: str = "[ ]", meta: Sequence[str] = META
+) -> DataFrame:
+    """Samples of a folder of ``land_traces``, as ``read_traces`` gives them; those of an
+    incomplete last sweep have ``complete = false``."""
+    out = out.rstrip("/")
+    splits = spark.read.parquet(f"{out}/splits")
+    samples = _with_splits(spark.read.parquet(f"{out}/samples"), splits)
+    recording = decoded(F.when(F.col("_by_path"), F.col("_path")).otherwise(F.col("_name")))
+    named = samples.select(
+        recording.alias("recording"),
+        *[c.alias(m) for m, c in meta_columns(decoded(F.col("_name")), meta, sep).items()],
+        (F.col("_mark") + F.col("_shift")).alias("pos"),
+        "n_samples", "t", "i", "v",
+    )
+    return number_sweeps(named, n_per_sweep, "pos", "n_samples").drop("pos", "n_samples")
+
+
 def _stop_on(splits: DataFrame, fault: Column) -> None:
     """Stop with the first fault, if there is one."""
     found = splits.select(fault.alias("fault")).filter("fault IS NOT NULL").limit(1)

@@ -125,8 +125,8 @@ def test_compressed_sums_are_exact():
             assert np.abs(got[2] - want[2]).max() <= 1e-11 * (scale + n)
 
 
-def scanned_rows(spark, label):
-    """Rows read so far from the written tables with a label, by Spark's own counts."""
+def scanned_rows(spark, label, kind="Scan parquet"):
+    """Rows read so far from places with a label in their path, by Spark's own counts."""
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     store, total = spark._jsparkSession.sharedState().statusStore(), 0
     executions = store.executionsList()
@@ -135,7 +135,7 @@ def scanned_rows(spark, label):
         counts, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
         for j in range(nodes.size()):
             node = nodes.apply(j)
-            if node.name().startswith("Scan parquet") and label in node.desc():
+            if node.name().startswith(kind) and label in node.desc():
                 metrics = node.metrics()
                 for i in range(metrics.size()):
                     metric = metrics.apply(i)

@@ -8,8 +8,10 @@ from sweepframe.sources import arrays, tables
 from sweepframe.sources.traces import (
     add_condition,
     check_filenames,
+    land_traces,
     list_files,
     parse_sample,
+    read_landed,
     read_traces,
     text_lines,
 )
@@ -59,6 +61,48 @@ def test_large_file_is_read_in_pieces(spark, tmp_path, tight, request):
     assert got["sweep"].max() == n // 100
 
 
+@pytest.mark.parametrize("tight", [False, True])
+def test_landing_reads_the_text_once(spark, tmp_path, tight, request):
+    from tests.test_expfit import scanned_rows
+
+    if tight:
+        request.getfixturevalue("tight_limits")
+    n = 20_000
+    write_file(tmp_path / "in", "a c p f.txt", n)
+    write_file(tmp_path / "in", "b+x c p f.txt", 500, blank=True)
+    write_file(tmp_path / "in", "c c p f.txt", 300, newline="\r\n", pad=" ")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    before = scanned_rows(spark, str(tmp_path / "in"), "Scan text")
+    try:
+        land_traces(spark, str(tmp_path / "in"), str(tmp_path / "out"), 100)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = read_landed(spark, str(tmp_path / "out"), 100)
+    assert "Python" not in got._jdf.queryExecution().toString() and "Arrow" not in got._jdf.queryExecution().toString()
+    rows = got.toPandas().sort_values(["recording", "sweep", "sample_idx"])
+    # the blank line is read too
+    assert scanned_rows(spark, str(tmp_path / "in"), "Scan text") - before == n + 801
+    assert rows["i"].tolist() == [*range(n), *range(500), *range(300)]
+    assert rows["sweep"].max() == n // 100 and rows["complete"].all()
+    assert set(rows["id"]) == {"a", "b+x", "c"}
+    want = read_traces(spark, str(tmp_path / "in"), 100)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows.groupby("recording").size().to_dict() == want.toPandas().groupby("recording").size().to_dict()
+
+
+def test_landing_keeps_the_strict_check(spark, tmp_path):
+    write_file(tmp_path / "in", "a c p f.txt", 25)
+    with pytest.raises(SparkRuntimeException, match="incomplete last sweep"):
+        land_traces(spark, str(tmp_path / "in"), str(tmp_path / "x"), 10)
+    land_traces(spark, str(tmp_path / "in"), str(tmp_path / "y"), 10, strict=False)
+    got = read_landed(spark, str(tmp_path / "y"), 10).toPandas()
+    assert (~got["complete"]).sum() == 5 and set(got[~got["complete"]]["sweep"]) == {3}
+    for folder in ("p", "q"):
+        write_file(tmp_path / folder, "a c p f.txt", 10)
+    with pytest.raises(SparkRuntimeException, match="share the name"):
+        land_traces(spark, str(tmp_path / "[pq]"), str(tmp_path / "z"), 5)
+
+
 def test_incomplete_sweep(spark, tmp_path):
     write_file(tmp_path, "a c p f.txt", 25)
     with pytest.raises(SparkRuntimeException, match="incomplete last sweep"):
