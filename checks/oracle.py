@@ -466,6 +466,15 @@ ORACLE: dict[str, str] = {
                {r('avg(i) + stddev_samp(i) / sqrt(count(i))', 6, 'i_hi')},
                count(*) - count(i) AS i_null
         FROM sw GROUP BY event_type, sample_idx""",
+    "q_cohort_state": f"""WITH {SWEPT},
+        c AS (
+          SELECT event_type, sample_idx, count(*) AS n, avg(i) AS mean, stddev_samp(i) / sqrt(count(i)) AS se,
+                 count(*) - count(i) AS i_null
+          FROM sw GROUP BY event_type, sample_idx
+        )
+        SELECT event_type, sample_idx, n, round(mean + 1e-8, 6) AS i_avg, round(mean - se + 1e-8, 6) AS i_lo,
+               round(mean + se + 1e-8, 6) AS i_hi, i_null
+        FROM c""",
     "q_nest_unnest": f"""WITH {TRACE}
         SELECT user_id, count(*) AS n, sum(pos * i) AS checksum FROM ev GROUP BY user_id""",
     "q_summary_files": f"""WITH {SWEPT}

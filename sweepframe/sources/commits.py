@@ -27,7 +27,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -187,6 +187,24 @@ def read(spark: SparkSession, path: str, version: int | None = None) -> DataFram
     return _read(spark, path, found, list(found.folders))
 
 
+def _place(by: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(by).cast("string")), F.lit(buckets)).cast("int")
+
+
+def read_keys(keys: DataFrame, path: str, by: str) -> DataFrame:
+    """Rows of the table whose ``by`` is one of ``keys``; only their buckets are read.
+
+    Runs a job over the keys. The table must have a version.
+    """
+    spark, path = keys.sparkSession, path.rstrip("/")
+    found = current(spark, path)
+    # at most as many numbers as there are buckets
+    some = {r[0] for r in keys.select(_place(by, found.buckets).alias("k")).distinct().collect()}
+    rows = _read(spark, path, found, [k for k in found.folders if k in some])
+    kind = found.schema[by].dataType
+    return matched(rows, keys.select(F.col(by).cast(kind).alias(by)).distinct(), [by], "left_semi")
+
+
 def upsert(
     df: DataFrame, path: str, by: str, buckets: int, batch: tuple[str, int] | None = None, tries: int = 10
 ) -> Version:
@@ -201,9 +219,8 @@ def upsert(
         return base
     schema = all_columns(base.schema, df.schema)
     buckets = base.buckets or buckets
-    place = F.pmod(F.xxhash64(F.col(by).cast("string")), F.lit(buckets)).cast("int")
     # the rows may be dear to compute and are used three times
-    new = landed(df.withColumn(BUCKET, place), "new-rows")
+    new = landed(df.withColumn(BUCKET, _place(by, buckets)), "new-rows")
     # at most ``buckets`` numbers
     touched = sorted(r[0] for r in new.df.select(BUCKET).distinct().collect())
     keys = new.df.select(by).distinct()
@@ -219,7 +236,7 @@ def upsert(
                 rows = rows.unionByName(matched(kept, replaced, [by], "left_anti"))
             commit, seen = uuid.uuid4().hex, changed
             (
-                rows.withColumn(BUCKET, F.pmod(F.xxhash64(F.col(by).cast("string")), F.lit(buckets)).cast("int"))
+                rows.withColumn(BUCKET, _place(by, buckets))
                 .hint("rebalance", BUCKET)
                 .write.partitionBy(BUCKET)
                 .parquet(f"{path}/data/{commit}")
