@@ -1,26 +1,28 @@
 """Repeated runs of lines, found by winnowing over line hashes.
 
-Of every window of ``run`` neighbouring lines the one with the smallest hash (the
-rightmost of equal ones) is selected. Equal windows select the same line, so a run of
-at least that many lines that occurs twice shares a selected line at the same place in
-both. The selected lines are fingerprints:
-
-1. Fingerprints are counted by their hash. Windows whose fingerprint occurs once have no
-   equal and are left.
-2. Windows around the fingerprints that occur again are extended both ways to all their
-   lines, by 128-bit names, and the first place of each name found: the smallest id, and
+A run counts if it has ``RUN`` lines, or fewer with ``WORDS`` words together, so that a long
+passage is found however its lines are cut and a short stock line is left. Of the lines of
+each smallest such window the one with the smallest hash (the rightmost of equal ones) is
+selected. Equal windows select the same line, so a run that occurs twice has a selected line
+at the same place in both. The selected lines are fingerprints:
+
+1. A row for each selected line and its position. Positions are counted by the line's hash;
+   those whose hash occurs once have no equal and are left.
+2. Positions whose hash occurs again are extended both ways to the windows that selected
+   them, by 128-bit names, and the first place of each name found: the smallest id, and
    within a document the first line.
 3. Lines covered by a window that also starts at an earlier place go.
 
-A run longer than the window is the union of its windows, so matches extend as far as
-they go. Copies and frequent lines are sums and joins, never pairs or lists.
+A longer run is the union of its windows, so matches extend as far as they go. Copies and
+frequent lines are sums and joins, never pairs or lists.
 
 Lines are what stands between line feeds, unchanged. Those without a word are skipped:
-they are not removed and do not end a run.
+they are not removed and do not end a run. Words are as in ``batches``.
 
-Defined results: a NULL text has no lines; NULL ids count as larger than all others, and
-rows that share an id as one document, so that of windows at the same line of several
-such rows none is the earlier; empty tables give empty results; other columns are ignored.
+Defined results: a NULL text has no lines; ids are of any type that can be ordered, NULL ids
+count as larger than all others, and rows that share an id as one document, so that of
+windows at the same line of several such rows none is the earlier; empty tables give empty
+results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +41,8 @@ from sweepframe.llm.bpe import spread
 from sweepframe.session import write_table
 
 RUN = 3
-NO_ID = (1 << 63) - 1
+#: Words that make a window of fewer lines.
+WORDS = 25
 
 
 class Lines:
@@ -59,10 +62,19 @@ class Lines:
         names = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
         self.names = names[coded.indices.to_numpy(zero_copy_only=False)]
 
-    def windows(self, run: int) -> np.ndarray:
-        """Lines with which a window of lines of one text begins."""
+    def begins(self, run: int) -> np.ndarray:
+        """Lines with which ``run`` neighbouring lines of one text begin."""
         return spread(self.first[:-1], np.maximum(np.diff(self.first) - run + 1, 0))
 
+    def windows(self, run: int, least: int) -> Iterator[tuple[int, np.ndarray]]:
+        """The smallest windows that count, by their number of lines."""
+        start, _ = batches.tokens(~batches.SPACE[self.data], self.offsets)
+        words = np.append(0, np.cumsum(np.searchsorted(start, self.ends) - np.searchsorted(start, self.starts)))
+        for size in range(1, run):
+            begin = self.begins(size)
+            yield size, begin[words[begin + size] - words[begin] >= least]
+        yield run, self.begins(run)
+
 
 def selected(hashes: np.ndarray, windows: np.ndarray, run: int) -> np.ndarray:
     """The line each window selects: the smallest hash, the rightmost of equal ones."""
@@ -81,39 +93,53 @@ def _names_of(names: np.ndarray, begin: np.ndarray, run: int) -> np.ndarray:
     return np.frombuffer(named, np.int64).reshape(-1, 2)
 
 
-def _windows(source: DataFrame, run: int) -> DataFrame:
-    """``num``, ``at`` (number of the first line), ``mark`` (hash of the selected line),
-    ``a``, ``b`` (name of all lines) of every window."""
+WINDOW = "struct<at:long,size:long,a:long,b:long>"
+
+
+def _positions(source: DataFrame, run: int, words: int) -> DataFrame:
+    """``id``, ``digest``, ``mark`` (hash of the line) and ``windows`` (number of the first
+    line, of lines, name) of every selected line."""
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for part in batches.slices(batch, "text"):
                 lines = Lines(batches.as_text(part.column("text")))
-                begin = lines.windows(run)
+                found = []
+                for size, begin in lines.windows(run, words):
+                    chosen = selected(lines.names[:, 0], begin, size)
+                    named = _names_of(lines.names, begin, size)
+                    found.append(np.column_stack([chosen, begin, np.full(len(begin), size), named]))
+                chosen, begin, size, a, b = np.concatenate(found).T
+                order = np.argsort(chosen, kind="stable")
                 owner = np.searchsorted(lines.first, begin, "right") - 1
-                mark = lines.names[selected(lines.names[:, 0], begin, run), 0]
-                named = _names_of(lines.names, begin, run)
-                columns = [begin - lines.first[owner], mark, named[:, 0].copy(), named[:, 1].copy()]
+                columns = [c[order] for c in (begin - lines.first[owner], size, a, b)]
+                items = pa.StructArray.from_arrays([pa.array(c) for c in columns], ["at", "size", "a", "b"])
+                line, counts = np.unique(chosen, return_counts=True)
+                bounds = np.append(0, np.cumsum(counts)).astype(np.int32)
+                of = pa.array(np.searchsorted(lines.first, line, "right") - 1)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("num").take(pa.array(owner)), *map(pa.array, columns)], ["num", "at", "mark", "a", "b"]
+                    [
+                        part.column("id").take(of),
+                        part.column("digest").take(of),
+                        pa.array(lines.names[line, 0]),
+                        pa.ListArray.from_arrays(pa.array(bounds), items),
+                    ],
+                    ["id", "digest", "mark", "windows"],
                 )
 
-    return source.select("num", "text").mapInArrow(work, "num long, at long, mark long, a long, b long")
+    kind = source.schema["id"].dataType.simpleString()
+    return source.mapInArrow(work, f"id {kind}, digest string, mark long, windows array<{WINDOW}>")
 
 
-def _without(part: pa.RecordBatch, run: int, texts: bool) -> pa.RecordBatch:
+def _without(part: pa.RecordBatch, texts: bool) -> pa.RecordBatch:
     """Remove the marked windows of a slice's texts."""
     lines = Lines(batches.as_text(part.column("text")))
     lists = part.column("hits")
     owner = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
     hits = pc.list_flatten(lists)
-    at, name = (hits.field(c).to_numpy(zero_copy_only=False) for c in ("at", "a"))
-    # rows that share an id get each other's marks: the lines must have the mark's name
-    fits = np.flatnonzero(at + run <= np.diff(lines.first)[owner])
-    begin = lines.first[:-1][owner[fits]] + at[fits]
-    begin = begin[_names_of(lines.names, begin, run)[:, 0] == name[fits]]
+    at, size = (hits.field(c).to_numpy(zero_copy_only=False) for c in ("at", "size"))
     gone = np.zeros(len(lines.starts), bool)
-    gone[(begin[:, None] + np.arange(run)).ravel()] = True
+    gone[spread(lines.first[:-1][owner] + at, size)] = True
     feeds = np.append(0, np.cumsum(lines.data == 10))
     of = np.repeat(np.arange(part.num_rows), np.diff(lines.first))[gone]
     number = feeds[lines.starts[gone]] - feeds[lines.offsets[of]]
@@ -134,37 +160,39 @@ def _without(part: pa.RecordBatch, run: int, texts: bool) -> pa.RecordBatch:
 
 
 def without_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, texts: bool = True
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, words: int = WORDS,
+    texts: bool = True,
 ) -> DataFrame:
     """Per row of ``docs``: ``n_lines`` (with a word), ``n_removed`` and ``kept``, the
     text without the removed lines (with ``texts=False`` the SHA-256 of that). Runs jobs.
 
-    A line goes if it is in a window of ``run`` lines that also starts at an earlier
-    place: in a document with a smaller id, or further up in the same one.
+    A line goes if it is in a window of ``run`` lines, or of fewer with ``words`` words, that
+    also starts at an earlier place: in a document with a smaller id, or further up in the
+    same one.
     """
-    source = docs.select(
-        F.col(id_col).cast("long").alias("id"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("num"),
-        F.col(text_col).alias("text"),
-    )
-    windows = write_table(_windows(source, run), "windows").df
-    often = windows.groupBy("mark").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("mark")
+    text = F.col(text_col)
+    source = docs.select(F.col(id_col).alias("id"), F.md5(text).alias("digest"), text.alias("text"))
+    places = write_table(_positions(source, run, words), "positions").df
+    often = places.groupBy("mark").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("mark")
     # sums are written before they are joined, so that a hot line or window can be split
     often = write_table(often, "often").df
-    again = windows.join(often.hint("merge"), "mark", "left_semi").select("num", "at", "a", "b")
+    again = places.join(often.hint("merge"), "mark", "left_semi").select("id", "digest", F.inline("windows"))
     again = write_table(again, "again").df
-    place = F.struct("num", "at")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "at")
     first = again.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     first = write_table(first.where("first < last").select("a", "b", "first"), "first").df
     hits = again.join(first.hint("merge"), ["a", "b"]).where(place > F.col("first"))
-    hits = hits.groupBy("num").agg(F.collect_list(F.struct("at", "a")).alias("hits"))
-    marked = source.join(hits.hint("merge"), "num", "left").select("id", "text", "hits")
+    # rows that share id and text have the same windows: by row, not by id
+    hits = hits.groupBy("id", "digest").agg(F.collect_set(F.struct("at", "size")).alias("hits"))
+    hits = hits.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "hits")
+    same = F.col("id").eqNullSafe(F.col("__id")) & F.col("digest").eqNullSafe(F.col("__digest"))
+    marked = source.join(hits.hint("merge"), same, "left").select("id", "text", "hits")
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for part in batches.slices(batch, "text"):
-                yield _without(part, run, texts)
+                yield _without(part, texts)
 
-    found = marked.mapInArrow(work, "id long, n_lines long, n_removed long, kept string")
-    kind = docs.schema[id_col].dataType
-    return found.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = marked.mapInArrow(work, f"id {kind}, n_lines long, n_removed long, kept string")
+    return found.withColumnRenamed("id", id_col)

@@ -263,16 +263,26 @@ spoken AS (
   SELECT r, num, line, i, row_number() OVER (PARTITION BY r ORDER BY i) AS pos
   FROM every_line WHERE regexp_matches(line, '{WORD}')
 ),
+spoken_words AS (SELECT *, len(regexp_extract_all(line, '{WORD}')) AS n FROM spoken),
 wins AS (
-  SELECT r, num, pos, line AS l1, lead(line) OVER w AS l2, lead(line, 2) OVER w AS l3
-  FROM spoken WINDOW w AS (PARTITION BY r ORDER BY pos)
+  SELECT r, num, pos, line AS l1, lead(line) OVER w AS l2, lead(line, 2) OVER w AS l3, n AS n1,
+         n + lead(n) OVER w AS n2
+  FROM spoken_words WINDOW w AS (PARTITION BY r ORDER BY pos)
+),
+-- windows that count: three lines, or one or two with 25 words
+sized AS (
+  SELECT r, num, pos, 1 AS size, l1, NULL AS l2, NULL AS l3 FROM wins WHERE n1 >= 25
+  UNION ALL
+  SELECT r, num, pos, 2, l1, l2, NULL FROM wins WHERE n2 >= 25
+  UNION ALL
+  SELECT r, num, pos, 3, l1, l2, l3 FROM wins WHERE l3 IS NOT NULL
 ),
 again AS (
-  SELECT r, pos FROM wins WHERE l3 IS NOT NULL
-  QUALIFY min((num, pos)) OVER (PARTITION BY l1, l2, l3) < (num, pos)
+  SELECT r, pos, size FROM sized
+  QUALIFY min((num, pos)) OVER (PARTITION BY size, l1, l2, l3) < (num, pos)
 ),
 gone AS (
-  SELECT DISTINCT r, i FROM (SELECT r, pos + unnest(range(3)) AS pos FROM again) JOIN spoken USING (r, pos)
+  SELECT DISTINCT r, i FROM (SELECT r, pos + unnest(range(size)) AS pos FROM again) JOIN spoken USING (r, pos)
 ),
 kept AS (
   SELECT r, string_agg(line, chr(10) ORDER BY i) AS kept FROM every_line ANTI JOIN gone USING (r, i) GROUP BY r
