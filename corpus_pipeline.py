@@ -8,6 +8,11 @@ a source's cut is shortened. The last stage returns the token ids in place of th
 
 From the third stage on, rows are told apart by id and text; the second leaves none that
 share both.
+
+Defined results: a document without text (NULL, empty, spaces) has too few words and is
+rejected; of equal texts, and of near copies, the smallest id stays, NULL ids last; rows that
+share an id but not a text are documents of their own; further columns, whatever their names,
+are kept by all stages but the last; no documents give no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame:
-    """Of documents linked by five-word similarity of 0.8 or more, the one with the smallest id."""
+    """Of documents connected by five-word similarity of 0.8 or more, the one with the smallest id."""
     return near.representatives(docs)
 
 
