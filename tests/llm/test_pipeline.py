@@ -1,5 +1,7 @@
 """The registered queries and the pipeline on the smallest tables."""
 
+import random
+
 import pyarrow.parquet as pq
 import pytest
 
@@ -7,6 +9,7 @@ import corpus_pipeline
 from checks.compare import connect, difference
 from sweepframe.llm.queries import ORACLE, QUERIES, vocabulary
 from tests.llm import test_exact, test_mixing, test_near, test_quality, test_tokens
+from tests.llm.cases import frame
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,6 +66,34 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_stages_on_odd_rows(spark):
+    """NULLs, empty texts, repeated rows and ids, ties, near copies, clashing columns."""
+    rng = random.Random(11)
+
+    def text(n):
+        return " ".join(f"word{rng.randrange(10**6)}" for _ in range(n))
+
+    base, other, third = text(80), text(60), text(45)
+    near_copy = " ".join(base.split()[:-1] + ["changed"])
+    rows = [
+        (5, base), (2, base), (2, base), (3, base.replace(" ", "  \n")), (1, near_copy), (None, near_copy + " more"),
+        (None, other), (9, other), (9, text(50)), (None, third), (None, third), (7, None), (8, ""), (10, " \t\n"),
+        (11, text(3)), (None, None), (12, "long " * 3000), (13, text(20000)),
+    ]
+    docs = frame(spark, rows).repartition(3)
+    kept = [(1, near_copy), (9, other), (9, rows[8][1]), (None, third), (13, rows[-1][1])]
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, SF)
+    assert docs.columns == frame(spark, []).columns
+    assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == sorted(kept, key=str)
+    mixed = corpus_pipeline.STAGES[3][1](spark, docs, SF)
+    texts = {t for _, t in kept}
+    for r in mixed.collect():
+        assert any(t.startswith(r.text) for t in texts) and r.n_chars == len(r.text)
+    ids = corpus_pipeline.STAGES[4][1](spark, mixed, SF).collect()
+    assert len(ids) == mixed.count() and all(r.ids for r in ids)
+
+
 def test_vocabulary_files_exist():
     for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"):
         with open(vocabulary(name), "rb") as f:
