@@ -3,9 +3,11 @@
 Pieces of such a model never hold a space after another character, so no merge
 crosses the place where a space follows something else. A text therefore falls
 into pre-tokens (spaces and what follows them) that are encoded independently.
-:func:`prove` checks that property of a vocabulary and finds the vocabulary
-strings that, alone, are encoded as one token. Pre-tokens among them count one;
-only the distinct others are merged.
+:func:`prove` checks that property of a vocabulary, from its pieces and the settings
+that the model file has for what happens to texts first, and finds the vocabulary
+strings that, alone, are encoded as one token. That is done once, before any text is
+read; tasks get the strings. Pre-tokens among them count one; only the distinct others
+are merged.
 
 Defined results: a NULL text is empty and has no tokens; equal rows give equal
 rows; empty tables give empty results; other columns are ignored.
@@ -34,6 +36,15 @@ def load(path: str):
     return SentencePieceProcessor(model_file=path)
 
 
+def _settings(model):
+    """What the model does to a text before it encodes it."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(model.serialized_model_proto())
+    return proto.normalizer_spec
+
+
 def prove(model) -> set[bytes]:
     """Strings that, after a space, are one token each.
 
@@ -46,8 +57,12 @@ def prove(model) -> set[bytes]:
         raise ValueError("a piece of the vocabulary crosses a space")
     if model.encode("") or model.piece_to_id(SPACE_MARK) == model.unk_id():
         raise ValueError("the vocabulary needs a piece for one space")
-    if model.decode(model.encode(" ａ  ﬁ\n")) != " ａ  ﬁ\n":
+    settings = _settings(model)
+    changes = settings.precompiled_charsmap or settings.normalization_rule_tsv
+    if changes or settings.remove_extra_whitespaces or not settings.escape_whitespaces:
         raise ValueError("the model changes texts before it encodes them")
+    if not settings.add_dummy_prefix:
+        raise ValueError("the model puts no space before a text")
     bodies = [p[1:] for p in pieces if p.startswith(SPACE_MARK) and p.strip(SPACE_MARK)]
     ids = model.encode(bodies, num_threads=1)
     return {b.encode() for b, found in zip(bodies, ids) if len(found) == 1}
@@ -81,9 +96,9 @@ def pre_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 class Counter:
     """Counts tokens of text arrays with one model."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, whole: list[bytes] | None = None) -> None:
         self.model = load(path)
-        self.whole = pa.array(sorted(prove(self.model)), pa.large_binary())
+        self.whole = pa.array(sorted(prove(self.model)) if whole is None else whole, pa.large_binary())
         self.known: dict[bytes, int] = {}
 
     def merged(self, bodies: list[bytes]) -> list[int]:
@@ -115,11 +130,13 @@ def counted(
 ) -> DataFrame:
     """``n_bytes``, ``n_tokens`` and ``over_limit`` per row of ``docs``.
 
-    ``model_path`` must be readable on every executor.
+    ``model_path`` must be readable on the driver and on every executor.
     """
+    # tens of thousands of short strings at most: the size of the vocabulary
+    whole = sorted(prove(load(model_path)))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(model_path)
+        counter = Counter(model_path, whole)
         for batch in parts:
             for part in batches.slices(batch, "text"):
                 texts = batches.as_text(part.column("text"))
