@@ -477,6 +477,19 @@ ORACLE: dict[str, str] = {
         FROM c""",
     "q_nest_unnest": f"""WITH {TRACE}
         SELECT user_id, count(*) AS n, sum(pos * i) AS checksum FROM ev GROUP BY user_id""",
+    "q_pixel_columns": f"""WITH {TRACE},
+        c AS (
+          SELECT user_id, least(pos // 20, 49) AS pixel, min(pos)::DOUBLE AS x0, arg_min(i, pos) AS y0,
+                 max(pos)::DOUBLE AS x1, arg_max(i, pos) AS y1, min(i) AS low, max(i) AS high
+          FROM ev WHERE pos BETWEEN 0 AND 1000 GROUP BY ALL
+        )
+        SELECT user_id, pixel, 'first' AS kind, x0 AS sample_idx, y0 AS i FROM c
+        UNION ALL
+        SELECT user_id, pixel, 'low', (x0 + x1) / 2, low FROM c WHERE low < least(y0, y1)
+        UNION ALL
+        SELECT user_id, pixel, 'high', (x0 + x1) / 2, high FROM c WHERE high > greatest(y0, y1)
+        UNION ALL
+        SELECT user_id, pixel, 'last', x1, y1 FROM c WHERE x1 > x0""",
     "q_summary_files": f"""WITH {SWEPT}
         SELECT event_type, sample_idx, count(*) AS n, {r('avg(i)', 6, 'i_avg')}
         FROM sw GROUP BY event_type, sample_idx""",

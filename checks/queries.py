@@ -274,6 +274,11 @@ def nest_unnest(spark, sf):
     )
 
 
+def pixel_columns(spark, sf):
+    """Traces reduced to 50 pixel columns of 20 samples."""
+    return reshape.pixels(trace(spark, sf), ["user_id"], "sample_idx", "i", 0, 1000, 50)
+
+
 def summary_files(spark, sf):
     """Cohort curves written as CSV folders per group, read back as one table."""
     curves = cohort_curve(spark, sf).select("event_type", "sample_idx", "n", "i_avg")
@@ -879,6 +884,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_cohort_curve": cohort_curve,
     "q_cohort_state": cohort_state,
     "q_nest_unnest": nest_unnest,
+    "q_pixel_columns": pixel_columns,
     "q_summary_files": summary_files,
     "q_summary_commits": summary_commits,
     "q_landed_table": landed_table,

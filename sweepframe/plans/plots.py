@@ -13,7 +13,7 @@ from sweepframe.operators.annotate import SWEEP_KEYS, cut, shifted_time
 from sweepframe.operators.cohort import box_stats, inside_limits
 from sweepframe.operators.keyed import attach
 from sweepframe.operators.polyfit import predict
-from sweepframe.operators.reshape import gather
+from sweepframe.operators.reshape import gather, pixels
 from sweepframe.operators.smooth import savgol
 from sweepframe.plans.relax import RelaxationFits
 from sweepframe.protocol import Protocol, Window
@@ -43,8 +43,13 @@ def recording_box(quality: DataFrame, channel: str, value: str) -> DataFrame:
     return box_stats(shown, ["Pip"], value)
 
 
-def step_timecourse(samples: DataFrame, p: Protocol) -> DataFrame:
-    return cut(samples, Window(p.t_pre - 0.05, p.t_steady))
+def step_timecourse(
+    samples: DataFrame, p: Protocol, columns: int | None = None, keys: Sequence[str] = SWEEP_KEYS
+) -> DataFrame:
+    """Samples around the step; with ``columns`` at most four points per sweep and column."""
+    shown = Window(p.t_pre - 0.05, p.t_steady)
+    part = cut(samples, shown)
+    return part if columns is None else pixels(part, keys, "t", "i", shown.lo, shown.hi, columns)
 
 
 def instant_and_steady_iv(features: DataFrame) -> DataFrame:
@@ -82,12 +87,14 @@ def polynomial_overlay(
 
 def fit_traces(
     relaxation: DataFrame, fits: RelaxationFits, keys: Sequence[str] = SWEEP_KEYS,
-    t: Window = Window(0.0, 0.6), y: Window = Window(0.0, 1.0),
+    t: Window = Window(0.0, 0.6), y: Window = Window(0.0, 1.0), columns: int | None = None,
 ) -> DataFrame:
     """Normalised samples, fitted curve and components of each sweep on one axis.
 
     ``kind`` is ``sample``, ``fitted``, ``fast`` or ``slow``. Rows outside the axis
-    limits are left out; the limits themselves are inside.
+    limits are left out; the limits themselves are inside. With ``columns``, at most four
+    points per curve and pixel column come back, each with its place in the column as
+    ``point``.
     """
     keys = list(keys)
     parts = (
@@ -103,7 +110,12 @@ def fit_traces(
         ),
     )
     shown = F.col("t").between(t.lo, t.hi) & F.col("value").between(y.lo, y.hi)
-    return reduce(DataFrame.unionByName, parts).filter(shown)
+    curves = reduce(DataFrame.unionByName, parts).filter(shown)
+    if columns is None:
+        return curves
+    named = curves.withColumnRenamed("kind", "curve")
+    few = pixels(named, [*keys, "curve"], "t", "value", t.lo, t.hi, columns)
+    return few.withColumnsRenamed({"kind": "point", "curve": "kind"})
 
 
 def fit_overlay(parameters: DataFrame) -> DataFrame:
