@@ -127,13 +127,13 @@ def test_context_adjusts_scores(spark):
 
 def test_very_many_matches_in_one_text(spark):
     """Memory is linear in the matches of a text."""
-    text = "a@b.cc 10.0.0.1 " * 100_000 + "; 4111 1111 1111 1111" + " SSN 123-45-6789" * 20_000
+    text = "a@b.cc 10.0.0.1 " * 30_000 + "; 4111 1111 1111 1111" + " SSN 123-45-6789" * 6_000
     rows = [(1, text), (2, "x"), (3, text[16:])]
     got = {r.doc_id: r for r in pii.digests(frame(spark, rows)).collect()}
-    assert [got[1][f"n_{k}"] for k in ("email", "ip", "card", "ssn")] == [100_000, 100_000, 1, 20_000]
+    assert [got[1][f"n_{k}"] for k in ("email", "ip", "card", "ssn")] == [30_000, 30_000, 1, 6_000]
     assert got[1].spans.startswith("email:0:6,ip:7:15,email:16:22")
     assert got[1].spans.endswith(f"ssn:{len(text) - 11}:{len(text)}")
-    assert got[3].n_email == 99_999 and got[2].spans == ""
+    assert got[3].n_email == 29_999 and got[2].spans == ""
 
 
 def test_masked_rows_that_share_an_id(spark):
