@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sweepframe.functions.scalars import ratio
-from sweepframe.operators.keyed import attach, positions
+from sweepframe.operators.keyed import attach
+from sweepframe.operators.ranks import at_ranks, order_key
 from sweepframe.session import write_table
 
 
@@ -59,53 +60,48 @@ def inside_limits(df: DataFrame, column: str, lo: float, hi: float) -> DataFrame
 def quantiles(
     df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]
 ) -> tuple[DataFrame, DataFrame]:
-    """Exact interpolated quantiles, and the distinct values they came from.
+    """Exact interpolated quantiles, and the written values they came from.
 
-    Equal values are merged first; each distinct value then knows how many rows
-    lie before it, so the two order statistics around a quantile are found by
-    a plain aggregate.
+    The two order statistics around each quantile are found by counting (see ``ranks``):
+    values are neither sorted nor shuffled.
     """
     by = list(by)
-    counted = write_table(
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("_count")),
-        "value-counts",
-    ).df
-    ranked = positions(counted, by, [value], "_before", weight="_count")
-    placed = attach(ranked, counted.groupBy(*by).agg(F.sum("_count").alias("n")), by)
+    known = df.filter(F.col(value).isNotNull())
+    rows = write_table(known.select(*by, value, order_key(df, value).alias("_bits")), "values").df
+
+    def places(n: Column) -> dict[str, Column]:
+        return {name: F.lit(p) * (n - 1) for name, p in probs.items()}
+
+    def ranks(n: Column) -> Column:
+        both = [f(h) for h in places(n).values() for f in (F.floor, F.ceil)]
+        return F.array_distinct(F.array(*both))
 
     def at(rank: Column) -> Column:
-        here = (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_count"))
-        return F.max(F.when(here, F.col(value)))
+        return F.max(F.when(F.array_contains("_ranks", rank), F.col(value)))
 
-    picks = []
-    for name, p in probs.items():
-        h = F.lit(p) * (F.col("n") - 1)
+    picks, columns = [], []
+    for name, h in places(F.col("n")).items():
         picks += [at(F.floor(h)).alias(f"_{name}_0"), at(F.ceil(h)).alias(f"_{name}_1")]
-    found = placed.groupBy(*by).agg(F.min("n").alias("n"), *picks)
-    columns = []
-    for name, p in probs.items():
-        h = F.lit(p) * (F.col("n") - 1)
         low, high = F.col(f"_{name}_0"), F.col(f"_{name}_1")
         columns.append((low + (h - F.floor(h)) * (high - low)).alias(name))
-    return found.select(*by, "n", *columns), counted
+    found = at_ranks(rows, by, value, ranks).groupBy(*by).agg(F.min("n").alias("n"), *picks)
+    return found.select(*by, "n", *columns), rows.drop("_bits")
 
 
 def box_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Quartiles, whiskers at the last value within 1.5 IQR, and outlier count."""
-    quart, counted = quantiles(
+    quart, rows = quantiles(
         df, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}
     )
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        attach(counted, quart, by)
+        attach(rows, quart, by)
         .groupBy(*by, "n", "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col(value))).alias("whisker_lo"),
             F.max(F.when(inside, F.col(value))).alias("whisker_hi"),
-            F.sum(F.when(inside, 0).otherwise(F.col("_count"))).alias("n_outliers"),
+            F.count_if(~inside).alias("n_outliers"),
         )
     )
 
