@@ -585,6 +585,30 @@ ORACLE: dict[str, str] = {
                THEN true END AS ramp,
           CASE WHEN id IN (SELECT user_id FROM events) THEN true END AS dt
         FROM a""",
+    "q_coverage_state": """
+        WITH a AS (
+          SELECT o_custkey AS id FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')
+          UNION SELECT user_id FROM events
+        )
+        SELECT CAST(a.id AS VARCHAR) AS id,
+          CASE WHEN id IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')
+               THEN true END AS act_pre,
+          CASE WHEN id IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')
+               THEN true END AS deact_pre,
+          CASE WHEN id IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
+               THEN true END AS ramp,
+          CASE WHEN id IN (SELECT user_id FROM events) THEN true END AS dt
+        FROM a""",
+    "q_distinct_state": """
+        SELECT c_mktsegment AS segment, o_orderstatus AS cond,
+               count(DISTINCT o_custkey) AS n
+        FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""",
+    "q_common_ids": """
+        SELECT segment, count(*) AS n FROM (
+          SELECT c_mktsegment AS segment, o_custkey
+          FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2
+          HAVING count(DISTINCT o_orderstatus) = 3
+        ) GROUP BY segment""",
     "q_lookup_correct": f"""
         WITH k(region, e_junc) AS (VALUES {_lookup})
         SELECT c_custkey, r_name AS region, {r('c_acctbal + e_junc', 6, 'v_corr')}

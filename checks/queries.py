@@ -33,6 +33,7 @@ from sweepframe.functions.scalars import (
 )
 from sweepframe.operators import cohort, expfit, polyfit, reshape
 from sweepframe.operators import cohort_state as curves
+from sweepframe.operators import coverage_state as bitmaps
 from sweepframe.operators.annotate import (
     add_labels,
     add_lookup,
@@ -489,6 +490,38 @@ def coverage(spark, sf):
     return cohort.coverage(sources)
 
 
+def coverage_state(spark, sf):
+    """The same from stored bitmaps: a batch of two thirds of the orders, one of the events, one
+    of all orders; the second and the last are tried twice."""
+    path = scratch_path(spark, "coverage")
+    names = F.create_map(*[F.lit(x) for x in ("F", "act_pre", "O", "deact_pre", "P", "ramp")])
+    all_orders = table(spark, sf, "orders").select(
+        names[F.col("o_orderstatus")].alias("source"), F.col("o_custkey").alias("id"), "o_orderdate"
+    )
+    late = all_orders.filter(F.dayofmonth("o_orderdate") > 10)
+    events = table(spark, sf, "events").select(F.lit("dt").alias("source"), F.col("user_id").alias("id"))
+    for part in (late, events, events, all_orders, all_orders):
+        bitmaps.update(part.select("source", "id"), path, ["source"], parts=4)
+    return bitmaps.coverage(spark, path, "source", ["act_pre", "deact_pre", "ramp", "dt"])
+
+
+def _segment_bitmaps(spark, sf) -> str:
+    path = scratch_path(spark, "coverage")
+    rows = _by_segment(spark, sf)
+    for cond in (["F", "P"], ["O", "P"]):
+        bitmaps.update(rows.filter(F.col("cond").isin(cond)), path, ["segment", "cond"], parts=4)
+    return path
+
+
+def distinct_state(spark, sf):
+    return bitmaps.distinct_counts(spark, _segment_bitmaps(spark, sf), ["segment", "cond"])
+
+
+def common_ids(spark, sf):
+    """Customers per segment with orders of every status."""
+    return bitmaps.common_counts(spark, _segment_bitmaps(spark, sf), ["segment"], "cond", ["F", "O", "P"])
+
+
 def lookup_correct(spark, sf):
     customers = table(spark, sf, "customer").join(
         F.broadcast(table(spark, sf, "nation")),
@@ -902,6 +935,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_distinct_n": distinct_n,
     "q_id_listing": id_listing,
     "q_coverage": coverage,
+    "q_coverage_state": coverage_state,
+    "q_distinct_state": distinct_state,
+    "q_common_ids": common_ids,
     "q_lookup_correct": lookup_correct,
     "q_timepoints": timepoints,
     "q_critical_voltage": critical_voltage,

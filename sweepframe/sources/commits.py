@@ -213,6 +213,8 @@ def upsert(
     Only the buckets of the new rows are written again. ``buckets`` counts for a new table.
     ``batch``: name of the writer and number of the batch, which must grow.
     """
+    if BUCKET in df.columns:
+        raise ValueError(f"{BUCKET} is the table's own column")
     spark, path = df.sparkSession, path.rstrip("/")
     base = current(spark, path)
     if batch and base.batches.get(batch[0], -1) >= batch[1]:

@@ -130,3 +130,8 @@ def test_appended_plain_tables_keep_all_columns(spark, tmp_path):
     write_table(spark.createDataFrame([("b", 2)], "k string, y int"), path, "k")
     assert sorted(read_table(spark, path).columns) == ["k", "x", "y"]
     assert read_table(spark, path).count() == 2
+
+
+def test_its_own_column_is_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="own column"):
+        commits.upsert(spark.createDataFrame([("a", 1)], "k string, _bucket int"), str(tmp_path / "t"), "k", 2)
