@@ -767,6 +767,8 @@ ORACLE: dict[str, str] = {
         FROM x GROUP BY l_returnflag, n, q1, median, q3""",
     "q_savgol": f"""WITH {SMOOTH}
         SELECT vec_id, sample_idx, {rs(6, 'i_smooth')} FROM sm""",
+    "q_savgol_sums": f"""WITH {SMOOTH}
+        SELECT vec_id, sample_idx, {rs(6, 'i_smooth')} FROM sm""",
     "q_savgol_half_time": f"""WITH {SMOOTH},
         lv AS (SELECT vec_id, avg(i) AS thresh FROM tr GROUP BY vec_id),
         s AS (

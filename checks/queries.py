@@ -54,7 +54,7 @@ from sweepframe.operators.normalise import (
     to_baseline,
     to_extremes,
 )
-from sweepframe.operators.smooth import savgol
+from sweepframe.operators.smooth import savgol, savgol_sums
 from sweepframe.plans import steps
 from sweepframe.protocol import Window
 from sweepframe.session import scratch_path, write_table
@@ -676,6 +676,11 @@ def smooth(spark, sf):
     return rounded(out.select("vec_id", "sample_idx", "i_smooth"), 6, "i_smooth")
 
 
+def smooth_by_sums(spark, sf):
+    out = savgol_sums(vector_trace(spark, sf), 3, 11, ["vec_id"])
+    return rounded(out.select("vec_id", "sample_idx", "i_smooth"), 6, "i_smooth")
+
+
 def smooth_half_time(spark, sf):
     samples = vector_trace(spark, sf)
     levels = samples.groupBy("vec_id").agg(F.avg("i").alias("thresh"))
@@ -953,6 +958,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_reversal_summary": reversal_summary,
     "q_box_stats": box,
     "q_savgol": smooth,
+    "q_savgol_sums": smooth_by_sums,
     "q_savgol_half_time": smooth_half_time,
     "q_array_to_rows": array_to_rows,
     "q_tile_time": tile_time,

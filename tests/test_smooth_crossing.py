@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sweepframe.operators.crossing import first_crossing, smoothed_half_time
-from sweepframe.operators.smooth import projection, savgol, smooth_part
+from sweepframe.operators import smooth
+from sweepframe.operators.smooth import projection, savgol, savgol_sums, smooth_part
 
 
 def frame(spark, sweeps: dict, extra=None):
@@ -45,10 +46,11 @@ def test_cubic_comes_back_unchanged_with_edges(spark):
 
 @pytest.mark.parametrize("n", [11, 12, 40, 41, 97])
 @pytest.mark.parametrize("block", [11, 16, 1000])
-def test_smoothing_matches_brute_force_for_any_block(spark, n, block):
+@pytest.mark.parametrize("smoothed", [savgol, savgol_sums])
+def test_smoothing_matches_brute_force_for_any_block(spark, n, block, smoothed):
     y = np.random.default_rng(n).normal(size=n)
     df = frame(spark, {("a", 1): y, ("a", 2): y[::-1]}).repartition(7)
-    got = savgol(df, 3, 11, block=block).toPandas().sort_values(["sweep", "sample_idx"])
+    got = smoothed(df, 3, 11, block=block).toPandas().sort_values(["sweep", "sample_idx"])
     want = np.concatenate([brute_smooth(y, 3, 11), brute_smooth(y[::-1], 3, 11)])
     assert np.allclose(got["i_smooth"], want, atol=1e-10)
 
@@ -121,3 +123,43 @@ def test_null_threshold_gives_no_row(spark):
     df = df.withColumn("thresh", F.lit(None).cast("double"))
     assert first_crossing(df, "i", "thresh").count() == 0
     assert smoothed_half_time(df, levels(df), "thresh").count() == 0
+
+
+@pytest.mark.parametrize("smoothed", [savgol, savgol_sums])
+def test_missing_values_reach_as_far_as_the_window(spark, smoothed):
+    y = np.random.default_rng(6).normal(size=120) + 1e5
+    at = 60
+    want = brute_smooth(y, 3, 11)
+    for gone in (None, float("nan"), float("inf")):
+        df = frame(spark, {("a", 1): y}).withColumn("i", F.when(F.col("sample_idx") == at, gone).otherwise(F.col("i")))
+        got = smoothed(df, 3, 11, block=32).toPandas().sort_values("sample_idx")["i_smooth"].to_numpy()
+        hit = np.abs(np.arange(120) - at) <= 5
+        assert np.isnan(got[hit]).all()
+        assert np.allclose(got[~hit], want[~hit], rtol=1e-13, atol=1e-9)
+
+
+@pytest.mark.parametrize("order, length", [(0, 1), (1, 3), (2, 5), (4, 31), (5, 101)])
+def test_other_orders_and_lengths(spark, order, length):
+    y = np.random.default_rng(length).normal(size=400)
+    got = savgol_sums(frame(spark, {("a", 1): y}), order, length, block=64).toPandas().sort_values("sample_idx")
+    want = brute_smooth(y, order, length) if length > 1 else y
+    assert np.allclose(got["i_smooth"], want, atol=1e-9)
+
+
+def test_smoothing_stays_out_of_python_and_shuffles_once(spark):
+    df = frame(spark, {("a", 1): np.arange(300.0)})
+    plan = savgol_sums(df)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_wide_windows_take_sums(spark, monkeypatch):
+    y = np.random.default_rng(8).normal(size=500)
+    df = frame(spark, {("a", 1): y, ("a", 2): y[:100]}).filter("sample_idx >= 7")
+    one = savgol(df, 3, 101, block=128).toPandas().sort_values(["sweep", "sample_idx"])
+    monkeypatch.setattr(smooth, "WIDE", 99)
+    two = savgol(df, 3, 101, block=128)
+    assert "ArrowEvalPython" not in two._jdf.queryExecution().executedPlan().toString()
+    two = two.toPandas().sort_values(["sweep", "sample_idx"])
+    assert np.allclose(one["i_smooth"], two["i_smooth"], atol=1e-11, equal_nan=True)
+    assert two.loc[two["sweep"] == 2, "i_smooth"].isna().all()
