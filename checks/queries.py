@@ -491,8 +491,8 @@ def coverage(spark, sf):
 
 
 def coverage_state(spark, sf):
-    """The same from stored bitmaps: a batch of two thirds of the orders, one of the events, one
-    of all orders; the second and the last are tried twice."""
+    """The same from stored bitmaps: a batch of two thirds of the orders, then one of the events
+    and all orders, so that most ids come a second time."""
     path = scratch_path(spark, "coverage")
     names = F.create_map(*[F.lit(x) for x in ("F", "act_pre", "O", "deact_pre", "P", "ramp")])
     all_orders = table(spark, sf, "orders").select(
@@ -500,8 +500,9 @@ def coverage_state(spark, sf):
     )
     late = all_orders.filter(F.dayofmonth("o_orderdate") > 10)
     events = table(spark, sf, "events").select(F.lit("dt").alias("source"), F.col("user_id").alias("id"))
-    for part in (late, events, events, all_orders, all_orders):
-        bitmaps.update(part.select("source", "id"), path, ["source"], parts=4)
+    pairs = [df.select("source", "id") for df in (late, events, all_orders)]
+    for part in (pairs[0], pairs[1].unionByName(pairs[2])):
+        bitmaps.update(part, path, ["source"], parts=4)
     return bitmaps.coverage(spark, path, "source", ["act_pre", "deact_pre", "ramp", "dt"])
 
 
