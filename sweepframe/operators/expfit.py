@@ -17,6 +17,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +45,9 @@ LRC2_GRID = (1.5, 1.75, 2.0, 2.25, 2.5)
 STEP_TOLERANCE, GAIN_TOLERANCE = 1e-8, 1e-12
 #: ... provided that the residual is at right angles to every slope up to this cosine.
 LEVEL_TOLERANCE = 1e-3
+#: Samples, once for each starting point, that a task iterates on at a time: some 20 MB with
+#: all that is made from them, however many sweeps come in a batch.
+SAMPLES_AT_ONCE = 128_000
 
 
 # --- grid over the two log rates ------------------------------------------------
@@ -214,6 +218,8 @@ STATE = T.StructType(
         T.StructField("status", T.StringType()),
     ]
 )
+#: ... with the diagonal of the inverse of J'J, NULL where it has none.
+SOLVED = T.StructType([*STATE.fields, T.StructField("unscaled", T.ArrayType(T.DoubleType()))])
 _UPPER = [(a, b) for a in range(5) for b in range(a, 5)]
 
 
@@ -364,39 +370,64 @@ def _row(s: dict[str, np.ndarray], k: int) -> dict:
     }
 
 
+def _solved_rows(rows: dict[str, np.ndarray], known: np.ndarray) -> pa.Array:
+    """State rows as an Arrow array; those that are not ``known`` have no numbers."""
+    fields, columns = list(to_arrow_type(SOLVED)), []
+    for field in fields:
+        v = rows[field.name]
+        none = np.isnan(v).any(axis=1) if field.name == "unscaled" else ~known
+        if field.name in ("passes", "status"):
+            columns.append(pa.array(v, field.type))
+        elif v.ndim == 1:
+            columns.append(pa.array(v, field.type, mask=none))
+        else:
+            ends = pa.array(np.arange(len(v) + 1, dtype=np.int32) * math.prod(v.shape[1:]))
+            columns.append(pa.ListArray.from_arrays(ends, pa.array(v.ravel()), field.type, mask=pa.array(none)))
+    return pa.StructArray.from_arrays(columns, fields=fields)
+
+
 def _refine_grouped(
     slim: DataFrame, begin: DataFrame, keys: list[str], max_passes: int
 ) -> DataFrame:
-    """All iterations of a sweep at once, on its samples as two number arrays."""
-    state_type = to_arrow_type(STATE)
-    nothing = dict.fromkeys(STATE.names) | {"passes": 0, "status": "failed"}
+    """All iterations of a sweep at once, on its samples as two number arrays.
 
-    @F.arrow_udf(STATE)
+    Numbers stay in arrays from batch to batch, and a batch is worked off in slices, so a
+    worker holds Spark's batch, a state row for each sweep of it, and one slice.
+    """
+
+    @F.arrow_udf(SOLVED)
     def fit(times: pa.Array, values: pa.Array, starts: pa.Array) -> pa.Array:
-        ts, ys, points = split_lists(times), split_lists(values), starts.to_pylist()
-        out = [nothing] * len(points)
+        ts, ys = split_lists(times), split_lists(values)
+        counts = pc.fill_null(pc.list_value_length(starts), 0).to_numpy(zero_copy_only=False)
+        points = starts.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(TERMS))
+        ends = np.cumsum(counts)
+        out = {x: np.zeros((len(counts), *v.shape[1:]), v.dtype) for x, v in fresh_state(points[:0]).items()}
+        out["status"][:], out["unscaled"] = "failed", np.full((len(counts), 5), np.nan)
         by_length: dict[int, list[int]] = {}
-        for j, own in enumerate(points):
-            if own:
-                by_length.setdefault(len(ts[j]), []).append(j)
+        for j in np.flatnonzero(counts):
+            by_length.setdefault(len(ts[j]), []).append(int(j))
         for n, members in by_length.items():
-            # traces of equal length advance together, some tens of MB at a time
-            width = max(1, 1_000_000 // n)
+            # traces of equal length advance together
+            width = max(1, SAMPLES_AT_ONCE // (n * int(counts[members].max())))
             for first in range(0, len(members), width):
                 chunk = members[first : first + width]
                 t, y = (np.stack([x[j] for j in chunk]) for x in (ts, ys))
-                owner = np.repeat(np.arange(len(chunk)), [len(points[j]) for j in chunk])
-                s = fresh_state(np.concatenate([np.array(points[j]) for j in chunk]))
+                owner = np.repeat(np.arange(len(chunk)), counts[chunk])
+                s = fresh_state(np.concatenate([points[ends[j] - counts[j] : ends[j]] for j in chunk]))
                 with np.errstate(all="ignore"):
                     while len(running := running_rows(s)):
-                        for k in np.array_split(running, -(-len(running) * n // 1_000_000)):
+                        slices = min(len(running), -(-len(running) * n // SAMPLES_AT_ONCE))
+                        for k in np.array_split(running, slices):
                             sums = normal_sums(t[owner[k]], y[owner[k]], s["trial"][k])
                             advance(s, k, *sums, max_passes)
                 quality = np.where(s["status"] == "failed", np.inf, s["sse"])
-                for m, j in enumerate(chunk):
-                    mine = np.flatnonzero(owner == m)
-                    out[j] = _row(s, int(mine[np.argmin(quality[mine])]))
-        return pa.array(out, state_type)
+                # the first of the best points of each sweep
+                best = np.lexsort((quality, owner))[np.cumsum(counts[chunk]) - counts[chunk]]
+                for x, v in s.items():
+                    out[x][chunk] = v[best]
+                with np.errstate(all="ignore"):
+                    out["unscaled"][chunk] = _inverse_diagonals(s["jtj"][best])
+        return _solved_rows(out, counts > 0)
 
     # a fixed number of partitions: the work per byte is high, so small inputs
     # must not be merged into a few tasks
@@ -505,7 +536,9 @@ def _refine_compressed(
     @F.arrow_udf(STATE)
     def fit(blocks: pa.Array, first: pa.Array, last: pa.Array, syy: pa.Array, starts: pa.Array) -> pa.Array:
         out = []
-        for own, t0, t1, yy, points in zip(*(x.to_pylist() for x in (blocks, first, last, syy, starts))):
+        for row in zip(blocks, first, last, syy, starts):
+            # one sweep's blocks at a time as Python's numbers, which take several times the room
+            own, t0, t1, yy, points = (x.as_py() for x in row)
             if not points or not own:
                 out.append(nothing)
                 continue
@@ -549,7 +582,9 @@ def _exact(slim: DataFrame, states: DataFrame, keys: list[str]) -> DataFrame:
         "status": F.when((F.col("status") == "converged") & ~level, "stalled").otherwise(F.col("status")),
     }
     known = F.col("sums").isNotNull()
-    return joined.withColumns({c: F.when(known, x).otherwise(F.col(c)) for c, x in changed.items()}).drop("sums")
+    summed = joined.withColumns({c: F.when(known, x).otherwise(F.col(c)) for c, x in changed.items()})
+    inverse = inverse_diagonal(F.when(F.col("status") != "failed", F.col("jtj")))
+    return summed.drop("sums").withColumn("unscaled", inverse)
 
 
 def _pass_sums(rows: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
@@ -588,7 +623,6 @@ def _report(states: DataFrame, keys: list[str]) -> DataFrame:
     """Named parameters, their variances and the fit statistics."""
     ok = F.col("status") != "failed"
     terms = {x: F.when(ok, F.get("p", F.lit(k))) for k, x in enumerate(TERMS)}
-    inverse = inverse_diagonal(F.when(ok, F.col("jtj")))
     named = states.select(
         *keys, "n", *[c.alias(x) for x, c in terms.items()],
         F.when(ok, F.col("sse")).alias("sse"), "passes", "status",
@@ -596,7 +630,7 @@ def _report(states: DataFrame, keys: list[str]) -> DataFrame:
         .when(~ok, "no usable starting point")
         .alias("error"),
         (F.col("status") == "converged").alias("is_conv"),
-        inverse.alias("_unscaled"),
+        F.when(ok, F.col("unscaled")).alias("_unscaled"),
     )
     out = fit_stats(named)
     variance = F.col("sigma") * F.col("sigma")
@@ -605,6 +639,20 @@ def _report(states: DataFrame, keys: list[str]) -> DataFrame:
     ).drop("_unscaled")
 
 
+def _inverse_diagonals(m: np.ndarray) -> np.ndarray:
+    """Diagonals of the inverses of 5x5 matrices ``m[k]``; NaN where there is none."""
+    diagonal = np.einsum("kii->ki", m)
+    root = np.sqrt(np.where(diagonal > 0, diagonal, 1.0))
+    scaled = m / (root[:, :, None] * root[:, None, :])
+    ok = np.isfinite(scaled).all(axis=(1, 2))
+    # beyond this condition the inverse is rounding noise
+    ok[ok] = ~(np.linalg.cond(scaled[ok]) > 1e14)
+    out = np.full(diagonal.shape, np.nan)
+    out[ok] = np.einsum("kii->ki", np.linalg.inv(scaled[ok])) / root[ok] ** 2
+    out[~(np.isfinite(out) & (out >= 0)).all(axis=1)] = np.nan
+    return out
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def inverse_diagonal(jtj: pd.Series) -> pd.Series:
     """Diagonal of the inverse of each 5x5 matrix; NULL where it has none."""
@@ -612,14 +660,8 @@ def inverse_diagonal(jtj: pd.Series) -> pd.Series:
     def invert(flat):
         if flat is None:
             return None
-        m = np.array(flat, dtype=float).reshape(5, 5)
-        root = np.sqrt(np.where(np.diag(m) > 0, np.diag(m), 1.0))
-        scaled = m / np.outer(root, root)
-        # beyond this condition the inverse is rounding noise
-        if not np.all(np.isfinite(scaled)) or np.linalg.cond(scaled) > 1e14:
-            return None
-        diagonal = np.diag(np.linalg.inv(scaled)) / root**2
-        return diagonal if np.all(np.isfinite(diagonal) & (diagonal >= 0)) else None
+        (diagonal,) = _inverse_diagonals(np.array(flat, dtype=float).reshape(1, 5, 5))
+        return None if np.isnan(diagonal).any() else diagonal
 
     return jtj.map(invert)
 

@@ -77,6 +77,80 @@ def test_samples_are_shuffled_once(samples, tight_limits):
     assert plan.toString().count("RepartitionByExpression") == 1
 
 
+def grouped_fit(monkeypatch, samples, max_passes):
+    """The function that Spark calls with batches of sweeps, and the plan around it."""
+    functions, real = [], F.arrow_udf
+    monkeypatch.setattr(F, "arrow_udf", lambda kind: lambda f: functions.append(f) or real(kind)(f))
+    begin = expfit.grid_candidates(samples, KEYS).selectExpr(
+        *KEYS, "n", "transform(candidates, c -> array(c.A1, c.lrc1, c.A2, c.lrc2, c.C)) AS starts"
+    )
+    slim = samples.selectExpr(*KEYS, "t_fit AS _t", "i_norm AS _y")
+    states = expfit._refine_grouped(slim, begin, KEYS, max_passes)
+    return functions[0], expfit._report(states, KEYS)
+
+
+def test_memory_does_not_follow_the_batch(samples, monkeypatch):
+    """Python's memory beside the batch itself: a slice, and a few hundred bytes for a sweep."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    fit, _ = grouped_fit(monkeypatch, samples, 3)
+    rng = np.random.default_rng(8)
+    start = [[0.6, a, 0.3, b, 0.0] for a in (4.0, 5.0, 6.0) for b in (1.5, 2.0, 2.5)]
+
+    def peak(sweeps):
+        times = pa.array([np.arange(64) / 100] * sweeps)
+        batch = times, pa.array(list(rng.standard_normal((sweeps, 64)))), pa.array([start] * sweeps)
+        tracemalloc.start()
+        try:
+            assert len(fit(*batch)) == sweeps
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    few, many = peak(1000), peak(8000)
+    assert few < 30e6 and many - few < 7000 * 1500
+
+
+def test_one_python_worker_a_task(samples, monkeypatch):
+    """The errors of the parameters come from the worker that made the fit."""
+    plan = grouped_fit(monkeypatch, samples, 3)[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("EvalPython") == 1
+
+
+def test_batches_of_many_kinds(samples, monkeypatch):
+    """Sweeps of several lengths and numbers of starting points in one batch, each as alone."""
+    import pyarrow as pa
+
+    fit, _ = grouped_fit(monkeypatch, samples, 40)
+    monkeypatch.setattr(expfit, "SAMPLES_AT_ONCE", 1000, raising=False)
+    start = [[0.6, a, 0.3, b, 0.0] for a in (4.0, 5.0, 6.0) for b in (1.5, 2.0, 2.5)]
+    times, values, starts = [], [], []
+    for k in range(24):
+        t, y = biexp(n=(60, 90, 1100)[k % 3], noise=0.02, seed=k)
+        times.append(t)
+        values.append(y)
+        starts.append((start[: 1 + k % 9], [], None)[0 if k % 5 else 1 + k % 2])
+    starts[4] = [[np.nan] * 5]
+
+    def arrays(rows):
+        number = pa.list_(pa.float64())
+        return [pa.array([x[k] for k in rows], kind) for x, kind in ((times, number), (values, number), (starts, pa.list_(number)))]
+
+    together = fit(*arrays(range(24))).to_pylist()
+    for k, row in enumerate(together):
+        (alone,) = fit(*arrays([k])).to_pylist()
+        assert str(row) == str(alone)
+        assert (row["status"] == "failed") == (k == 4 or not starts[k])
+        assert (row["p"] is None) == (not starts[k])
+        if row["unscaled"]:
+            inverse = np.linalg.inv(np.reshape(row["jtj"], (5, 5)))
+            assert row["unscaled"] == pytest.approx(np.diag(inverse), rel=1e-3)
+    assert sum(bool(row["unscaled"]) for row in together) > 8
+    assert fit(*arrays([])).to_pylist() == []
+
+
 def test_both_solvers_agree(spark):
     """On noisy traces: same parameters, residuals, status and number of passes."""
     from sweepframe.session import GROUP_ROWS
